@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ()
+NAMES = ("queries_tokens",)
 
 
 def query_modules() -> list:
