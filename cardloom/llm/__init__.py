@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("queries_tokens",)
+NAMES = ("queries_tokens", "queries_text")
 
 
 def query_modules() -> list:
