@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("queries_tokens", "queries_text", "queries_spans")
+NAMES = ("queries_tokens", "queries_text", "queries_spans", "queries_cards")
 
 
 def query_modules() -> list:
