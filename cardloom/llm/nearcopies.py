@@ -1,16 +1,24 @@
 """Near copies of short records: generalised pigeonhole over the word multiset as a bit vector.
 
 A record is the set of its words, a word that comes k times giving k bits. Two records of sizes s >= l and similarity
-at least t share o >= t/(1+t) (s+l) bits, so they differ in at most tau = s+l-2o bits. The bits are spread over m
-partitions, all bits of one word (which go together) in the same one. If the thresholds T_i of the partitions have
-sum(T_i + 1) > tau, two such records differ by at most T_i bits in some partition i. Each record allots its own
-thresholds, -1 (partition unused) or 0 (partition must be equal), so that the expected candidates are fewest; their
-numbers come from a sketch of all partition contents in the collection. Candidates are then verified exactly.
+at least t share o >= t/(1+t) (s+l) bits, so they differ in at most tau = s+l-2o bits. The bits are spread over
+partitions, all bits of one word in the same one. If thresholds T_i have sum(T_i + 1) > tau, two such records differ
+by at most T_i bits in some partition i.
+
+* All rare words are one partition. Its threshold is the greatest that can still be probed by single words: records
+  with r and r' rare bits and no common rare word differ in r + r' bits there, so T = r + r' - 1.
+* The common words fall into m partitions with threshold 0 (equal content) or -1 (unused). They only have to cover
+  what the rare words leave, tau + 1 - r - r', which is little or nothing for most pairs. The contents are kept apart
+  by r', so that each number of rare bits on the other side gets its own allotment of thresholds.
+
+Word and content frequencies of the whole collection, counted in sketches of fixed size, say which words are rare and
+which partitions give the fewest candidates. Candidates are verified exactly.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,8 +32,14 @@ from ..session import cut
 SIMILARITY = (7, 10)
 #: Sizes from FIRST * WIDTH**(c-1) to below FIRST * WIDTH**c are class c; it has PARTITIONS * WIDTH**(c-1) partitions.
 FIRST, WIDTH, PARTITIONS, SMALL_PARTITIONS = 10, 4, 24, 10
-#: Buckets of the sketch of partition contents: one array of this length is sent to the driver and to the executors.
-SKETCH = 1 << 17
+#: Buckets of each sketch. Arrays of this length are what the driver and the executors hold of the collection.
+SKETCH = 1 << 19
+CHUNK = 1 << 16
+#: A word is rare if at most this many records, or this share of them, have it.
+RARE_RECORDS, RARE_SHARE = 64, 1 / 4096
+#: Numbers of rare bits that are told apart; more count as the last.
+MOST_RARE, MOST_CLASSES = 64, 16
+#: Bits of a record that travel with its rows: the parity of its bits in 32 groups, and its size.
 PARITY_BITS, SIZE_BITS = 32, 20
 #: Ids broadcast to fetch the texts of candidates; beyond that number the join is a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -94,12 +108,11 @@ class Batch:
 
     def __init__(self, texts: list[str]):
         lists = [t.split() for t in texts]
-        self.size = np.array([len(x) for x in lists], np.int64)
+        self.size = np.fromiter(map(len, lists), np.int64, len(lists))
         record = np.repeat(np.arange(len(lists)), self.size)
-        get = _hashes.__getitem__
-        word = np.fromiter((get(w) for x in lists for w in x), np.uint64, int(self.size.sum()))
-        order = np.lexsort((word, record))
-        record, word = record[order], word[order]
+        word = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, len(record))
+        order = np.argsort((record.astype(np.uint64) << np.uint64(44)) | (word >> np.uint64(20)))
+        word = word[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (record[1:] != record[:-1])
         first = np.flatnonzero(new)
@@ -108,33 +121,85 @@ class Batch:
         bit = _mix(word + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(PARITY_BITS)
         self.parity = np.zeros(len(lists), np.uint64)
         np.bitwise_xor.at(self.parity, record, np.uint64(1) << bit)
-        self.record, self.word, self.times = record[first], word[first], times.astype(np.uint64)
+        self.record, self.word, self.times = record[first], word[first], times
         self.classes = size_class(self.size)
 
+    def buckets(self) -> np.ndarray:
+        return (self.word % np.uint64(SKETCH)).astype(np.int64)
+
+    def split(self, frequencies: np.ndarray, most: int) -> None:
+        """Tell rare words from common ones and count each record's rare bits."""
+        self.rare = frequencies[self.buckets()] <= most
+        bits = np.bincount(self.record[self.rare], weights=self.times[self.rare], minlength=len(self.size)).astype(np.int64)
+        self.rare_bits = np.minimum(bits, MOST_RARE - 1)
+
     def contents(self, rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of the content of every partition of class ``c`` for the given rows, and which are not empty."""
+        """A hash of the common words in every partition of class ``c`` for the given rows, and which are not empty."""
         m = partitions(c)
         place = np.full(len(self.size), -1)
         place[rows] = np.arange(len(rows))
-        held = place[self.record] >= 0
+        held = (place[self.record] >= 0) & ~self.rare
         cell = place[self.record[held]] * m + (_mix(self.word[held] ^ np.uint64(c + 77)) % np.uint64(m)).astype(np.int64)
         sums = np.zeros(len(rows) * m, np.uint64)
-        np.add.at(sums, cell, _mix(self.word[held] * np.uint64(2 * c + 3) + self.times[held]))
+        np.add.at(sums, cell, _mix(self.word[held] * np.uint64(2 * c + 3) + self.times[held].astype(np.uint64)))
         filled = np.zeros(len(rows) * m, bool)
         filled[cell] = True
         sums = _mix(sums + np.tile(np.arange(m, dtype=np.uint64), len(rows)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
         return sums.reshape(len(rows), m), filled.reshape(len(rows), m)
 
 
-def _sketch_rows(batches):
-    counts = np.zeros(SKETCH, np.int64)
+def _with_rare(sums: np.ndarray, rare_bits: np.ndarray | int) -> np.ndarray:
+    return _mix(sums + np.asarray(rare_bits).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _chunks(counts: np.ndarray, kind: int) -> pd.DataFrame:
+    parts = [counts[i : i + CHUNK] for i in range(0, len(counts), CHUNK)]
+    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [p.astype(np.int64).tobytes() for p in parts]})
+
+
+def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
+    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+
+
+_COUNTS = "kind int, chunk int, counts binary"
+
+
+def _summed(counted: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the counts that every task made of its rows: arrays of fixed length, whatever the data."""
+    rows = counted.groupBy("kind", "chunk").applyInPandas(_add_chunks, _COUNTS).collect()
+    out: dict[int, list] = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.kind, r.chunk)):
+        out[r.kind].append(np.frombuffer(r.counts, np.int64))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _count_words(batches):
+    counts, records = np.zeros(SKETCH, np.int64), np.zeros(1, np.int64)
     for pdf in batches:
         batch = Batch(pdf["words"].tolist())
-        for c in np.unique(batch.classes[batch.size > 0]):
-            sums, filled = batch.contents(np.flatnonzero((batch.classes == c) & (batch.size > 0)), int(c))
-            counts += np.bincount((sums[filled] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    at = np.flatnonzero(counts)
-    yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+        counts += np.bincount(batch.buckets(), minlength=SKETCH)
+        records += len(pdf)
+    yield _chunks(counts, 0)
+    yield _chunks(records, 1)
+
+
+def _count_contents(words, most: int):
+    def run(batches):
+        counts, held = np.zeros(SKETCH, np.int64), np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
+        for pdf in batches:
+            batch = Batch(pdf["words"].tolist())
+            batch.split(words.value, most)
+            np.add.at(held, (np.minimum(batch.classes, MOST_CLASSES - 1), batch.rare_bits), 1)
+            for c in np.unique(batch.classes):
+                rows = np.flatnonzero(batch.classes == c)
+                sums, filled = batch.contents(rows, int(c))
+                sums = _with_rare(sums, batch.rare_bits[rows][:, None])[filled]
+                counts += np.bincount((sums % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        yield _chunks(counts, 0)
+        yield _chunks(held.ravel(), 1)
+
+    return run
 
 
 def allot(costs: np.ndarray, filled: np.ndarray, need: np.ndarray) -> np.ndarray:
@@ -147,31 +212,51 @@ def allot(costs: np.ndarray, filled: np.ndarray, need: np.ndarray) -> np.ndarray
     return filled & (ranked < need[:, None])
 
 
-def _signature_rows(sketch, similarity: tuple[int, int]):
+def _signature_rows(words, most: int, sketch, held: np.ndarray, similarity: tuple[int, int]):
+    """Rows (signature, record, meta) such that two similar records have a signature with a fitting flag in common."""
+
     def run(batches):
         counts, table = sketch.value, {}
         for pdf in batches:
             batch, ids = Batch(pdf["words"].tolist()), pdf["id"].to_numpy()
+            batch.split(words.value, most)
             meta = (batch.parity << np.uint64(SIZE_BITS + 3)) | (np.minimum(batch.size, (1 << SIZE_BITS) - 1).astype(np.uint64) << np.uint64(3))
+
+            def out(sums, record, flags):
+                return pd.DataFrame({"sig": (sums >> np.uint64(8)).view(np.int64), "id": ids[record], "meta": (meta[record] | np.uint64(flags)).view(np.int64)})
+
+            yield out(_mix(batch.word[batch.rare] + np.uint64(11)), batch.record[batch.rare], QUERY | INDEXED)
             for c in range(int(batch.classes.max(initial=0)) + 1):
-                for own in (True, False):
-                    rows = np.flatnonzero((batch.size > 0) & (batch.classes == (c if own else c + 1)))
-                    need = np.array([table.setdefault((s, c), needed(s, c, similarity)) if (s, c) not in table else table[s, c] for s in batch.size[rows].tolist()], np.int64)
-                    if not own:
-                        rows, need = rows[need > 0], need[need > 0]
-                    if not len(rows):
+                own = np.flatnonzero(batch.classes == c)
+                if len(own):
+                    sums, filled = batch.contents(own, c)
+                    indexed = _with_rare(sums, batch.rare_bits[own][:, None])
+                    yield out(indexed[filled], own[np.nonzero(filled)[0]], INDEXED)
+                rows = np.flatnonzero((batch.classes == c) | (batch.classes == c + 1))
+                for s in np.unique(batch.size[rows]).tolist():
+                    if (s, c) not in table:
+                        table[s, c] = needed(s, c, similarity)
+                need = np.array([table[s, c] for s in batch.size[rows].tolist()], np.int64) - batch.rare_bits[rows]
+                rows, need = rows[need > 0], need[need > 0]
+                if not len(rows):
+                    continue
+                sums, filled = batch.contents(rows, c)
+                full = filled.sum(axis=1)
+                lacking = np.zeros(len(rows), bool)
+                for other in range(int(need.max())):
+                    some = need > other
+                    if not held[min(c, MOST_CLASSES - 1), min(other, MOST_RARE - 1)]:
                         continue
-                    sums, filled = batch.contents(rows, c)
-                    use = allot(counts[(sums % np.uint64(SKETCH)).astype(np.int64)], filled, need)
-                    lacking = filled.sum(axis=1) < need
-                    use &= ~lacking[:, None]
-                    emit = filled if own else use
-                    where, _ = np.nonzero(emit)
-                    flags = use[emit] * np.uint64(QUERY) + np.uint64(INDEXED * own)
-                    yield pd.DataFrame({"sig": (sums[emit] >> np.uint64(8)).view(np.int64), "id": ids[rows[where]], "meta": (meta[rows[where]] | flags).view(np.int64)})
-                    if lacking.any():
-                        out = rows[lacking]
-                        yield pd.DataFrame({"sig": -1 - _mix(ids[out].astype(np.uint64) >> np.uint64(1)).view(np.int64) % (1 << 62), "id": ids[out], "meta": (meta[out] | np.uint64(LACKING)).view(np.int64)})
+                    keyed = _with_rare(sums[some], min(other, MOST_RARE - 1))
+                    cost = counts[(keyed % np.uint64(SKETCH)).astype(np.int64)]
+                    short = full[some] < need[some] - other
+                    lacking[np.flatnonzero(some)[short]] = True
+                    # a content that the sketch has never seen has no indexed row, so asking for it would find nothing
+                    use = allot(cost, filled[some], need[some] - other) & ~short[:, None] & (cost > 0)
+                    yield out(keyed[use], rows[some][np.nonzero(use)[0]], QUERY)
+                if lacking.any():
+                    alone = rows[lacking]
+                    yield pd.DataFrame({"sig": -1 - (_mix(ids[alone].astype(np.uint64)) >> np.uint64(2)).view(np.int64), "id": ids[alone], "meta": (meta[alone] | np.uint64(LACKING)).view(np.int64)})
 
     return run
 
@@ -238,16 +323,19 @@ def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int
     """
     spark = records.sparkSession
     keyed = classes(records, texts).where("words <> ''")
-    counts = keyed.select("words").mapInPandas(_sketch_rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(sketch)
+    context = spark.sparkContext
+    counted = _summed(keyed.select("words").mapInPandas(_count_words, _COUNTS))
+    most = max(RARE_RECORDS, int(counted[1][0] * RARE_SHARE)) if counted else 0
+    words = context.broadcast(counted.get(0, np.zeros(SKETCH, np.int64)).astype(np.int32 if most < 1 << 30 else np.int64))
+    counted = _summed(keyed.select("words").mapInPandas(_count_contents(words, most), _COUNTS))
+    sketch = context.broadcast(counted.get(0, np.zeros(SKETCH, np.int64)))
+    held = counted[1].reshape(MOST_CLASSES, MOST_RARE) if counted else np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
 
     one = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "words")).alias("first"))
     reps = one.select("first.id", "first.words")
     members = keyed.select("id", "k1", "k2").distinct().join(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
 
-    rows = reps.mapInPandas(_signature_rows(shared, similarity), "sig long, id long, meta long")
+    rows = reps.mapInPandas(_signature_rows(words, most, sketch, held, similarity), "sig long, id long, meta long")
     a, b = rows.select("sig", F.col("id").alias("a"), F.col("meta").alias("x")), rows.select("sig", F.col("id").alias("b"), F.col("meta").alias("y"))
     size_mask = F.lit((1 << SIZE_BITS) - 1)
     size_a, size_b = F.shiftright("x", 3).bitwiseAND(size_mask), F.shiftright("y", 3).bitwiseAND(size_mask)
@@ -296,7 +384,7 @@ def near_copy_groups(records: DataFrame, texts: list[str], similarity: tuple[int
     """One row per record with words: its class (smallest id with the same words), the class's size and the number of
     records outside the class that are similar to it. No pairs of copies are made."""
     pairs, members = near_copies(records, texts, similarity)
-    members = cut(members)
+    members, pairs = cut(members), cut(pairs)
     sizes = members.groupBy("rep").agg(F.count("*").alias("n_copies"))
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.join(sizes.select(F.col("rep").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_copies").alias("n_links"))
