@@ -347,7 +347,8 @@ def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int
     both = (F.col("x").bitwiseAND(F.lit(QUERY)) + F.col("y").bitwiseAND(F.lit(INDEXED))) == QUERY + INDEXED
     smaller = (size_b < size_a) | ((size_b == size_a) & (F.col("b") < F.col("a")))
     marker = (F.col("a") == F.col("b")) & (F.col("x").bitwiseAND(F.lit(LACKING)) + F.col("y").bitwiseAND(F.lit(LACKING)) == 2 * LACKING)
-    found = a.join(b, "sig").where((both & smaller & (size_b * q >= size_a * p) & (parity <= tau)) | marker)
+    # a sort-merge join: the rows outgrow any size estimated from the texts, and both sides read one shuffle
+    found = a.hint("merge").join(b, "sig").where((both & smaller & (size_b * q >= size_a * p) & (parity <= tau)) | marker)
     candidates = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     pairs = _verified(candidates.where("a <> b"), keyed.select("id", "words"), similarity)
