@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language import FUNCTION_WORDS, language_of
-from .sketches import COUNTS, chunks, summed
+from .sketches import COUNTS, chunks, pack, summed, unpack
 
 TABLE = 1 << 19  #: places of each hashed count
 CONTEXTS = (3, 4, 5)  #: characters before a place
@@ -284,7 +284,7 @@ def train(values: DataFrame):
     tables = summed(values.mapInPandas(_count_ends, COUNTS))
     for kind in range(2 * len(CONTEXTS) + 4):
         tables.setdefault(kind, np.zeros(TABLE, np.int64))
-    return values.sparkSession.sparkContext.broadcast(tables)
+    return values.sparkSession.sparkContext.broadcast({kind: pack(counts) for kind, counts in tables.items()})
 
 
 _models: dict[int, EndModel] = {}
@@ -295,7 +295,7 @@ def model_of(trained) -> EndModel:
     key = id(trained.value)
     if key not in _models:
         _models.clear()
-        _models[key] = EndModel(trained.value)
+        _models[key] = EndModel({kind: unpack(packed).astype(np.int64) for kind, packed in trained.value.items()})
     return _models[key]
 
 

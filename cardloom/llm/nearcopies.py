@@ -17,40 +17,40 @@ which partitions give the fewest candidates. Candidates are verified exactly.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from itertools import chain
-
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..session import cut
+from .sketches import COUNTS, bit_chunks, chunks, summed, united
 
 #: Similarity as a fraction.
 SIMILARITY = (7, 10)
-#: Sizes from FIRST * WIDTH**(c-1) to below FIRST * WIDTH**c are class c; it has PARTITIONS * WIDTH**(c-1) partitions.
-FIRST, WIDTH, PARTITIONS, SMALL_PARTITIONS = 10, 4, 24, 10
-#: Buckets of each sketch. Arrays of this length are what the driver and the executors hold of the collection.
-SKETCH = 1 << 19
-CHUNK = 1 << 16
+#: Sizes from FIRST * WIDTH**(c-1) to below FIRST * WIDTH**c are class c.
+FIRST, WIDTH = 10, 4
+#: Buckets of the sketches of words and of partition contents: what the driver and the executors hold of a collection.
+WORD_SKETCH, CONTENT_SKETCH, ASKED_BITS = 1 << 19, 1 << 22, 1 << 24
 #: A word is rare if at most this many records, or this share of them, have it.
 RARE_RECORDS, RARE_SHARE = 64, 1 / 4096
 #: Numbers of rare bits that are told apart; more count as the last.
 MOST_RARE, MOST_CLASSES = 64, 16
-#: Bits of a record that travel with its rows: the parity of its bits in 32 groups, and its size.
-PARITY_BITS, SIZE_BITS = 32, 20
-#: Ids broadcast to fetch the texts of candidates; beyond that number the join is a shuffle.
+#: What travels with a row: the parity of the record's bits in so many groups, its size, its rare bits and flags.
+PARITY_BITS, COMMON_PARITY_BITS, SIZE_BITS, SIGNATURE_BITS = 64, 32, 14, 44
+#: Ids broadcast to leave out copies or to fetch candidates; beyond that number the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Records without enough partitions that one pass compares with all others.
 BLOCK = 4096
-QUERY, INDEXED, LACKING = 1, 2, 4
+#: Packed into the signature: its own bits, the rare bits and the size (0 rare bits in a row of a rare word).
+RARE_BITS = 6
+#: In place of an id: stands for all that a record without enough partitions has to be compared with.
+EVERYTHING = -(1 << 63)
 
 
 def words_of(*columns: Column) -> Column:
     """The longest runs of letters and digits in lower case, joined by single blanks; null counts as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), r"[^a-z0-9\p{L}\p{N}]+", " "))
 
 
 def least_overlap(total: np.ndarray | int, similarity: tuple[int, int] = SIMILARITY):
@@ -73,7 +73,13 @@ def class_range(c: int) -> tuple[int, int]:
 
 
 def partitions(c: int) -> int:
-    return SMALL_PARTITIONS if c == 0 else PARTITIONS * WIDTH ** (c - 1)
+    """Partitions of common words in class ``c``: enough for nearly all allotments, few enough to be selective."""
+    return (6, 16)[c] if c < 2 else 24 << (c - 2)
+
+
+def rare_step(c: int) -> int:
+    """Numbers of rare bits that share an allotment in class ``c``."""
+    return 1 if c < 2 else 2 << (c - 2)
 
 
 def needed(size: int, c: int, similarity: tuple[int, int] = SIMILARITY) -> int:
@@ -90,27 +96,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; bounded, as it only saves time."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 class Batch:
-    """Word multisets of many records as arrays sorted by record and word."""
+    """Word multisets of many records, from a list column of word hashes, as arrays sorted by record and word."""
 
-    def __init__(self, texts: list[str]):
-        lists = [t.split() for t in texts]
-        self.size = np.fromiter(map(len, lists), np.int64, len(lists))
+    def __init__(self, lists: pa.Array):
+        offsets = np.asarray(lists.offsets)
+        self.size = np.diff(offsets).astype(np.int64)
         record = np.repeat(np.arange(len(lists)), self.size)
-        word = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, len(record))
+        word = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
         order = np.argsort((record.astype(np.uint64) << np.uint64(44)) | (word >> np.uint64(20)))
         word = word[order]
         new = np.ones(len(word), bool)
@@ -118,18 +111,24 @@ class Batch:
         first = np.flatnonzero(new)
         times = np.diff(np.append(first, len(word)))
         nth = np.arange(len(word)) - np.repeat(first, times)
-        bit = _mix(word + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(PARITY_BITS)
-        self.parity = np.zeros(len(lists), np.uint64)
-        np.bitwise_xor.at(self.parity, record, np.uint64(1) << bit)
+        self.bits = _mix(word + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.bit_record, self.bit_word = record, np.repeat(np.arange(len(first)), times)
         self.record, self.word, self.times = record[first], word[first], times
         self.classes = size_class(self.size)
 
+    def parity(self, groups: int, only: np.ndarray | None = None) -> np.ndarray:
+        """The parity of each record's bits (of some words only) in so many groups."""
+        out = np.zeros(len(self.size), np.uint64)
+        bits, record = (self.bits, self.bit_record) if only is None else (self.bits[only[self.bit_word]], self.bit_record[only[self.bit_word]])
+        np.bitwise_xor.at(out, record, np.uint64(1) << (bits % np.uint64(groups)))
+        return out
+
     def buckets(self) -> np.ndarray:
-        return (self.word % np.uint64(SKETCH)).astype(np.int64)
+        return (self.word % np.uint64(WORD_SKETCH)).astype(np.int64)
 
-    def split(self, frequencies: np.ndarray, most: int) -> None:
+    def split(self, rare: np.ndarray) -> None:
         """Tell rare words from common ones and count each record's rare bits."""
-        self.rare = frequencies[self.buckets()] <= most
+        self.rare = rare[self.buckets()]
         bits = np.bincount(self.record[self.rare], weights=self.times[self.rare], minlength=len(self.size)).astype(np.int64)
         self.rare_bits = np.minimum(bits, MOST_RARE - 1)
 
@@ -152,86 +151,95 @@ def _with_rare(sums: np.ndarray, rare_bits: np.ndarray | int) -> np.ndarray:
     return _mix(sums + np.asarray(rare_bits).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _chunks(counts: np.ndarray, kind: int) -> pd.DataFrame:
-    parts = [counts[i : i + CHUNK] for i in range(0, len(counts), CHUNK)]
-    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [p.astype(np.int64).tobytes() for p in parts]})
-
+def _batches(batches, column: str, dropped: np.ndarray | None = None):
+    """Record batches of a list column without the given ids, cut so that a record's number fits the sort key."""
+    for whole in batches:
+        for batch in (whole.slice(i, 8192) for i in range(0, whole.num_rows, 8192)):
+            if dropped is not None and len(dropped):
+                batch = batch.filter(pa.array(~np.isin(np.asarray(batch.column("id")), dropped)))
+            yield Batch(batch.column(column)), batch
 
-def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
-    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
 
-
-_COUNTS = "kind int, chunk int, counts binary"
-
-
-def _summed(counted: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the counts that every task made of its rows: arrays of fixed length, whatever the data."""
-    rows = counted.groupBy("kind", "chunk").applyInPandas(_add_chunks, _COUNTS).collect()
-    out: dict[int, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.kind, r.chunk)):
-        out[r.kind].append(np.frombuffer(r.counts, np.int64))
-    return {k: np.concatenate(v) for k, v in out.items()}
+def _rows(*parts):
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    return (pa.RecordBatch.from_pandas(part, schema, preserve_index=False) for part in parts)
 
 
 def _count_words(batches):
-    counts, records = np.zeros(SKETCH, np.int64), np.zeros(1, np.int64)
-    for pdf in batches:
-        batch = Batch(pdf["words"].tolist())
-        counts += np.bincount(batch.buckets(), minlength=SKETCH)
-        records += len(pdf)
-    yield _chunks(counts, 0)
-    yield _chunks(records, 1)
+    counts, records = np.zeros(WORD_SKETCH, np.int64), np.zeros(1, np.int64)
+    for batch, _ in _batches(batches, "words"):
+        counts += np.bincount(batch.buckets(), minlength=WORD_SKETCH)
+        records += len(batch.size)
+    yield from _rows(chunks(counts, 0), chunks(records, 1))
 
 
-def _count_contents(words, most: int):
+def _count_contents(words):
     def run(batches):
-        counts, held = np.zeros(SKETCH, np.int64), np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
-        for pdf in batches:
-            batch = Batch(pdf["words"].tolist())
-            batch.split(words.value, most)
+        counts, held = np.zeros(CONTENT_SKETCH, np.int64), np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
+        for batch, _ in _batches(batches, "words"):
+            batch.split(words.value)
             np.add.at(held, (np.minimum(batch.classes, MOST_CLASSES - 1), batch.rare_bits), 1)
             for c in np.unique(batch.classes):
                 rows = np.flatnonzero(batch.classes == c)
                 sums, filled = batch.contents(rows, int(c))
-                sums = _with_rare(sums, batch.rare_bits[rows][:, None])[filled]
-                counts += np.bincount((sums % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        yield _chunks(counts, 0)
-        yield _chunks(held.ravel(), 1)
+                sums = _with_rare(sums, batch.rare_bits[rows][:, None] // rare_step(int(c)))[filled]
+                np.add.at(counts, (sums % np.uint64(CONTENT_SKETCH)).astype(np.int64), 1)
+        yield from _rows(chunks(counts, 0), chunks(held.ravel(), 1))
 
     return run
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale in one byte; 0 stays 0."""
+    return np.minimum(255, np.ceil(6 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
+
+
 def allot(costs: np.ndarray, filled: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The partitions with threshold 0 for each row: the allotment of least total cost that reaches ``need``.
 
     A dynamic program over partitions would carry the least cost of each sum reached so far; as every partition adds
     0 or 1 to that sum, its optimum is the cheapest ``need`` of the filled partitions, which is taken directly.
     """
-    ranked = np.where(filled, costs, np.iinfo(np.int64).max).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    ranked = np.where(filled, costs, 256).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
     return filled & (ranked < need[:, None])
 
 
-def _signature_rows(words, most: int, sketch, held: np.ndarray, similarity: tuple[int, int]):
-    """Rows (signature, record, meta) such that two similar records have a signature with a fitting flag in common."""
+def _signature_rows(words, sketch, held: np.ndarray, dropped, similarity: tuple[int, int], asked=None):
+    """Rows (packed signature, id, parity): the contents a record asks for, or, given the bits of what all records ask
+    for, those of its own contents that are asked for.
 
-    def run(batches):
-        counts, table = sketch.value, {}
-        for pdf in batches:
-            batch, ids = Batch(pdf["words"].tolist()), pdf["id"].to_numpy()
-            batch.split(words.value, most)
-            meta = (batch.parity << np.uint64(SIZE_BITS + 3)) | (np.minimum(batch.size, (1 << SIZE_BITS) - 1).astype(np.uint64) << np.uint64(3))
-
-            def out(sums, record, flags):
-                return pd.DataFrame({"sig": (sums >> np.uint64(8)).view(np.int64), "id": ids[record], "meta": (meta[record] | np.uint64(flags)).view(np.int64)})
+    Two similar records, the larger asking, have a signature in common. Rows of rare words carry the parity of all
+    bits; rows of contents that of the common bits, and the number of rare bits, as they are for records without a
+    common rare word. A record without enough partitions asks with signature 0, which the row EVERYTHING has.
+    """
 
-            yield out(_mix(batch.word[batch.rare] + np.uint64(11)), batch.record[batch.rare], QUERY | INDEXED)
+    def run(batches):
+        counts, table, asking = sketch.value, {}, asked is None
+        if not asking:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (0, EVERYTHING, 0)], names=["packed", "id", "parity"])
+        for batch, source in _batches(batches, "words", dropped.value):
+            ids = np.asarray(source.column("id"))
+            batch.split(words.value)
+            size = np.minimum(batch.size, (1 << SIZE_BITS) - 1).astype(np.uint64)
+            common = size | (batch.rare_bits.astype(np.uint64) << np.uint64(SIZE_BITS))
+            full_parity, common_parity = batch.parity(PARITY_BITS), batch.parity(COMMON_PARITY_BITS, ~batch.rare)
+            parts: list[tuple] = []
+
+            def out(sums, record, rare=False):
+                meta, parity = (size, full_parity) if rare else (common, common_parity)
+                parts.append(((sums & np.uint64(-(1 << (64 - SIGNATURE_BITS)) & (1 << 64) - 1)) | meta[record], ids[record], parity[record]))
+
+            out(_mix(batch.word[batch.rare] + np.uint64(11)), batch.record[batch.rare], rare=True)
             for c in range(int(batch.classes.max(initial=0)) + 1):
-                own = np.flatnonzero(batch.classes == c)
-                if len(own):
+                step = rare_step(c)
+                if not asking:
+                    own = np.flatnonzero(batch.classes == c)
                     sums, filled = batch.contents(own, c)
-                    indexed = _with_rare(sums, batch.rare_bits[own][:, None])
-                    yield out(indexed[filled], own[np.nonzero(filled)[0]], INDEXED)
+                    contents, record = _with_rare(sums, batch.rare_bits[own][:, None] // step)[filled], own[np.nonzero(filled)[0]]
+                    at = _asked_place(contents)
+                    wanted = (asked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                    out(contents[wanted], record[wanted])
+                    continue
                 rows = np.flatnonzero((batch.classes == c) | (batch.classes == c + 1))
                 for s in np.unique(batch.size[rows]).tolist():
                     if (s, c) not in table:
@@ -243,141 +251,184 @@ def _signature_rows(words, most: int, sketch, held: np.ndarray, similarity: tupl
                 sums, filled = batch.contents(rows, c)
                 full = filled.sum(axis=1)
                 lacking = np.zeros(len(rows), bool)
-                for other in range(int(need.max())):
-                    some = need > other
-                    if not held[min(c, MOST_CLASSES - 1), min(other, MOST_RARE - 1)]:
+                for fewest in range(0, int(need.max()), step):
+                    group = min(fewest, MOST_RARE - 1) // step
+                    if not held[min(c, MOST_CLASSES - 1), group * step : (group + 1) * step].any() and group < (MOST_RARE - 1) // step:
                         continue
-                    keyed = _with_rare(sums[some], min(other, MOST_RARE - 1))
-                    cost = counts[(keyed % np.uint64(SKETCH)).astype(np.int64)]
-                    short = full[some] < need[some] - other
+                    some = need > fewest
+                    keyed = _with_rare(sums[some], group)
+                    cost = counts[(keyed % np.uint64(CONTENT_SKETCH)).astype(np.int64)].astype(np.int64)
+                    short = full[some] < need[some] - fewest
                     lacking[np.flatnonzero(some)[short]] = True
                     # a content that the sketch has never seen has no indexed row, so asking for it would find nothing
-                    use = allot(cost, filled[some], need[some] - other) & ~short[:, None] & (cost > 0)
-                    yield out(keyed[use], rows[some][np.nonzero(use)[0]], QUERY)
+                    use = allot(cost, filled[some], need[some] - fewest) & ~short[:, None] & (cost > 0)
+                    out(keyed[use], rows[some][np.nonzero(use)[0]])
                 if lacking.any():
-                    alone = rows[lacking]
-                    yield pd.DataFrame({"sig": -1 - (_mix(ids[alone].astype(np.uint64)) >> np.uint64(2)).view(np.int64), "id": ids[alone], "meta": (meta[alone] | np.uint64(LACKING)).view(np.int64)})
+                    alone = np.unique(rows[lacking])
+                    parts.append((np.zeros(len(alone), np.uint64), ids[alone], np.zeros(len(alone), np.uint64)))
+            columns = [np.concatenate([part[k] for part in parts]) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["packed", "id", "parity"])
 
     return run
 
 
-def _similar(similarity: tuple[int, int]):
-    """Keeps the pairs whose exact similarity reaches the threshold."""
-    p, q = similarity
+def _asked_place(sums: np.ndarray) -> np.ndarray:
+    return ((sums >> np.uint64(64 - SIGNATURE_BITS)) % np.uint64(ASKED_BITS)).astype(np.int64)
+
+
+def _asked_bits(*settings):
+    """The bits of all that the records of a task ask for."""
 
     def run(batches):
-        for pdf in batches:
-            keep = []
-            for a, b in zip(pdf["words_a"], pdf["words_b"]):
-                x, y = Counter(a.split()), Counter(b.split())
-                common = (x & y).total()
-                keep.append(q * common >= p * (x.total() + y.total() - common) > 0)
-            yield pdf.loc[keep, ["a", "b"]]
+        bits = np.zeros(ASKED_BITS, bool)
+        for batch in _signature_rows(*settings)(batches):
+            bits[_asked_place(np.asarray(batch.column(0)).view(np.uint64))] = True
+        yield from _rows(bit_chunks(bits))
 
     return run
 
 
-def _against_block(block, similarity: tuple[int, int]):
-    """Pairs of any record with those of a broadcast block, by an inverted index of each block record's prefix."""
+def _bits_of_pairs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    batch = Batch(lists)
+    return _mix(batch.bits + batch.bit_record.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), batch.bit_record
+
+
+def similar_pairs(first: pa.Array, second: pa.Array, similarity: tuple[int, int]) -> np.ndarray:
+    """Which pairs of word lists reach the similarity, exactly."""
     p, q = similarity
+    (a, of), (b, _) = _bits_of_pairs(first), _bits_of_pairs(second)
+    common = np.bincount(of[np.isin(a, b)], minlength=len(first))
+    total = np.diff(np.asarray(first.offsets)) + np.diff(np.asarray(second.offsets))
+    return (q * common >= p * (total - common)) & (common > 0)
+
+
+def _spread(lists: pa.Array) -> pa.Array:
+    """Half hashes as whole ones, with their information in the upper bits that records are sorted by."""
+    values = np.asarray(lists.values).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return pa.ListArray.from_arrays(lists.offsets, pa.array(values.view(np.int64)))
 
+
+def _similar(similarity: tuple[int, int]):
     def run(batches):
-        queries = [(i, Counter(w.split())) for i, w in block.value]
-        seen = Counter(w for _, x in queries for w in x)
-        index = defaultdict(list)
-        for k, (_, x) in enumerate(queries):
-            slack = x.total() - -(-p * x.total() // q)
-            for w in sorted(x, key=lambda w: (seen[w], w)):
-                index[w].append(k)
-                slack -= x[w]
-                if slack < 0:
-                    break
-        for pdf in batches:
-            out = []
-            for i, w in zip(pdf["id"], pdf["words"]):
-                x = Counter(w.split())
-                for k in {k for v in x for k in index.get(v, ())}:
-                    j, y = queries[k]
-                    common = (x & y).total()
-                    if i != j and q * common >= p * (x.total() + y.total() - common) > 0:
-                        out.append((min(i, j), max(i, j)))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for whole in batches:
+            for batch in (whole.slice(i, 8192) for i in range(0, whole.num_rows, 8192)):
+                keep = similar_pairs(_spread(batch.column(2)), _spread(batch.column(3)), similarity)
+                yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def classes(records: DataFrame, texts: list[str], id_: str = "id") -> DataFrame:
-    """``id``, ``rep``, ``n_copies``, ``words``: records with equal word sequences form a class with its smallest id.
+def _against_block(block, dropped, similarity: tuple[int, int]):
+    """Pairs of any record with those of a broadcast block: the parities are compared all at once, what they leave
+    exactly."""
+    p, q = similarity
 
-    Only the representative keeps its words. The words travel once; copies are combined before the shuffle.
-    """
-    keyed = records.select(F.col(id_).alias("id"), words_of(*[F.col(t) for t in texts]).alias("words")).where(F.col("id").isNotNull())
-    return keyed.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")})
+    def run(batches):
+        ids, lists = block.value
+        lists = pa.array(lists, pa.list_(pa.int64()))
+        mine = Batch(lists)
+        parity, size = mine.parity(PARITY_BITS), mine.size
+        most = [max(needed(int(s), c, similarity) for c in range(int(size_class(s)) + 1)) + needed(int(s * q // p), int(size_class(s * q // p)), similarity) for s in size]
+        most = [min(m, PARITY_BITS) for m in most]
+        for batch, source in _batches(batches, "words", dropped.value):
+            theirs, sizes, other = batch.parity(PARITY_BITS), batch.size, np.asarray(source.column("id"))
+            for k in range(len(ids)):
+                row = np.flatnonzero(np.bitwise_count(theirs ^ parity[k]) <= most[k])
+                total = sizes[row] + size[k]
+                row = row[(np.bitwise_count(theirs[row] ^ parity[k]) <= total - 2 * least_overlap(total, similarity)) & (sizes[row] * q >= size[k] * p) & (size[k] * q >= sizes[row] * p) & (other[row] != ids[k])]
+                if len(row):
+                    kept = similar_pairs(source.column("words").take(pa.array(row)), lists.take(pa.array(np.full(len(row), k))), similarity)
+                    x = other[row[kept]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, ids[k])), pa.array(np.maximum(x, ids[k]))], names=["a", "b"])
+
+    return run
+
+
+def keyed_words(records: DataFrame, texts: list[str], id_: str = "id") -> DataFrame:
+    """``id``, the hashes of the words in order, and two hashes of the whole, for every record that has words."""
+    text = words_of(*[F.col(t) for t in texts])
+    held = records.select(F.col(id_).cast("long").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & (F.col("text") != ""))
+    words = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    return held.select("id", words.alias("words"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
 
 
 def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a < b`` of class representatives with at least the given similarity, and the membership ``id, rep``.
 
-    Null texts count as empty; records without any word are similar to nothing (and are in no class). Exact repeats of
-    a row count once. Only ``id`` and the text columns are read.
+    Records with the same words in the same order form a class with its smallest id. Null texts count as empty;
+    records without any word are similar to nothing and in no class. Exact repeats of a row count once. Only ``id``
+    and the text columns are read.
     """
-    spark = records.sparkSession
-    keyed = classes(records, texts).where("words <> ''")
-    context = spark.sparkContext
-    counted = _summed(keyed.select("words").mapInPandas(_count_words, _COUNTS))
+    context = records.sparkSession.sparkContext
+    # kept by the executors for the passes below; what is lost with one of them is computed again
+    keyed = keyed_words(records, texts).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = summed(keyed.select("words").mapInArrow(_count_words, COUNTS))
     most = max(RARE_RECORDS, int(counted[1][0] * RARE_SHARE)) if counted else 0
-    words = context.broadcast(counted.get(0, np.zeros(SKETCH, np.int64)).astype(np.int32 if most < 1 << 30 else np.int64))
-    counted = _summed(keyed.select("words").mapInPandas(_count_contents(words, most), _COUNTS))
-    sketch = context.broadcast(counted.get(0, np.zeros(SKETCH, np.int64)))
+    # each executor keeps its own copy of a broadcast on disk: one byte a bucket is enough
+    words = context.broadcast(counted.get(0, np.zeros(WORD_SKETCH, np.int64)) <= most)
+    counted = summed(keyed.select("words").mapInArrow(_count_contents(words), COUNTS))
+    sketch = context.broadcast(scaled(counted.get(0, np.zeros(CONTENT_SKETCH, np.int64))))
     held = counted[1].reshape(MOST_CLASSES, MOST_RARE) if counted else np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
 
-    one = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "words")).alias("first"))
-    reps = one.select("first.id", "first.words")
-    members = keyed.select("id", "k1", "k2").distinct().join(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
+    # only classes of several records need a list of members; all other records stand for themselves
+    several = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("k1", "k2", "rep")
+    members = cut(keyed.select("id", "k1", "k2").join(several, ["k1", "k2"]).select("id", "rep").distinct())
+    copies = members.where("id <> rep").select("id")
+    reps = keyed.select("id", "words")
+    if copies.count() <= BROADCAST_IDS:
+        dropped = context.broadcast(copies.toPandas()["id"].to_numpy(np.int64))
+    else:
+        dropped = context.broadcast(np.zeros(0, np.int64))
+        reps = reps.join(copies, "id", "left_anti")
+
+    settings = (words, sketch, held, dropped, similarity)
+    wanted = context.broadcast(united(reps.mapInArrow(_asked_bits(*settings), COUNTS), ASKED_BITS))
+
+    def rows(names: list[str], *more) -> DataFrame:
+        return reps.mapInArrow(_signature_rows(*settings, *more), "packed long, id long, parity long").toDF(*names)
 
-    rows = reps.mapInPandas(_signature_rows(words, most, sketch, held, similarity), "sig long, id long, meta long")
-    a, b = rows.select("sig", F.col("id").alias("a"), F.col("meta").alias("x")), rows.select("sig", F.col("id").alias("b"), F.col("meta").alias("y"))
-    size_mask = F.lit((1 << SIZE_BITS) - 1)
-    size_a, size_b = F.shiftright("x", 3).bitwiseAND(size_mask), F.shiftright("y", 3).bitwiseAND(size_mask)
     p, q = similarity
-    total = size_a + size_b
-    tau = total - 2 * F.floor((total * p + (p + q - 1)) / F.lit(p + q))
-    parity = F.bit_count(F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), SIZE_BITS + 3))
-    # the flags of both sides are tested together, so that both read the same shuffled rows
-    both = (F.col("x").bitwiseAND(F.lit(QUERY)) + F.col("y").bitwiseAND(F.lit(INDEXED))) == QUERY + INDEXED
-    smaller = (size_b < size_a) | ((size_b == size_a) & (F.col("b") < F.col("a")))
-    marker = (F.col("a") == F.col("b")) & (F.col("x").bitwiseAND(F.lit(LACKING)) + F.col("y").bitwiseAND(F.lit(LACKING)) == 2 * LACKING)
-    # a sort-merge join: the rows outgrow any size estimated from the texts, and both sides read one shuffle
-    found = a.hint("merge").join(b, "sig").where((both & smaller & (size_b * q >= size_a * p) & (parity <= tau)) | marker)
+    size_mask, meta_bits = F.lit((1 << SIZE_BITS) - 1), 64 - SIGNATURE_BITS
+    size_a, size_b = F.col("x").bitwiseAND(size_mask), F.col("y").bitwiseAND(size_mask)
+    up = (size_a + size_b) * p + (p + q - 1)
+    tau = size_a + size_b - 2 * ((up - F.pmod(up, F.lit(p + q))) / (p + q)).cast("long")
+    rare = F.shiftright(F.col("x"), SIZE_BITS).bitwiseAND(F.lit((1 << RARE_BITS) - 1)) + F.shiftright(F.col("y"), SIZE_BITS).bitwiseAND(F.lit((1 << RARE_BITS) - 1))
+    near = (F.bit_count(F.col("px").bitwiseXOR(F.col("py"))) <= tau - rare) | (size_a == size_mask)
+    smaller = (size_b < size_a) | ((size_b == size_a) & ((F.col("b") < F.col("a")) | (size_a == size_mask) & (F.col("b") != F.col("a"))))
+    # a sort-merge join: the rows outgrow any size that is estimated from the texts
+    asked, indexed = rows(["x", "a", "px"]), rows(["y", "b", "py"], wanted)
+    same = F.shiftright(F.col("x"), meta_bits) == F.shiftright(F.col("y"), meta_bits)
+    found = asked.hint("merge").join(indexed, same & ((near & smaller & (size_b * q >= size_a * p)) | ((F.col("x") == 0) & (F.col("b") == EVERYTHING))))
     candidates = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    pairs = _verified(candidates.where("a <> b"), keyed.select("id", "words"), similarity)
-    lacking = candidates.where("a = b").select(F.col("a").alias("id"))
+    pairs = _verified(candidates.where(F.col("a") != EVERYTHING), keyed.select("id", "words"), similarity)
+    lacking = candidates.where(F.col("a") == EVERYTHING).select(F.col("b").alias("id"))
     n = lacking.count()
-    for k in range(-(-n // BLOCK)):
-        part = lacking.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK))) == k) if n > BLOCK else lacking
-        block = spark.sparkContext.broadcast([tuple(r) for r in keyed.select("id", "words").join(F.broadcast(part), "id", "left_semi").dropDuplicates(["id"]).collect()])
-        pairs = pairs.unionByName(reps.mapInPandas(_against_block(block, similarity), "a long, b long")).distinct()
-    return pairs, members
+    passes = -(-n // BLOCK)
+    for k in range(passes):
+        part = lacking.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
+        held_rows = keyed.select("id", "words").join(F.broadcast(part), "id", "left_semi").dropDuplicates(["id"]).collect()
+        block = context.broadcast((np.array([r.id for r in held_rows], np.int64), [r.words for r in held_rows]))
+        pairs = pairs.unionByName(reps.mapInArrow(_against_block(block, dropped, similarity), "a long, b long"))
+    return pairs.distinct(), members
 
 
 def _verified(candidates: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    # half of a word's hash is enough to compare two records
+    held = texts.join(ids, "id", "left_semi").withColumn("words", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     joined = candidates.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    return joined.select("a", "b", "words_a", "words_b").mapInPandas(_similar(similarity), "a long, b long")
+    return joined.select("a", "b", "words_a", "words_b").mapInArrow(_similar(similarity), "a long, b long")
 
 
 def near_copy_pairs(records: DataFrame, texts: list[str], similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Every pair of different records with at least the given similarity: ``id_a < id_b``, copies included."""
     pairs, members = near_copies(records, texts, similarity)
-    members = cut(members)
-    many = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    copies = members.join(many, "rep", "left_semi")
-    within = copies.select("rep", F.col("id").alias("x")).join(copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    across = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    within = members.select("rep", F.col("id").alias("x")).join(members.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    of_a, of_b = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -385,9 +436,11 @@ def near_copy_groups(records: DataFrame, texts: list[str], similarity: tuple[int
     """One row per record with words: its class (smallest id with the same words), the class's size and the number of
     records outside the class that are similar to it. No pairs of copies are made."""
     pairs, members = near_copies(records, texts, similarity)
-    members, pairs = cut(members), cut(pairs)
+    pairs = cut(pairs)
     sizes = members.groupBy("rep").agg(F.count("*").alias("n_copies"))
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = ends.join(sizes.select(F.col("rep").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_copies").alias("n_links"))
-    per_class = sizes.join(links, "rep", "left").fillna(0, ["n_links"])
-    return members.join(per_class, "rep").select("id", F.col("rep").alias("class_id"), "n_copies", "n_links")
+    weighed = ends.join(sizes.select(F.col("rep").alias("b"), "n_copies"), "b", "left")
+    links = weighed.groupBy(F.col("a").alias("class_id")).agg(F.sum(F.coalesce("n_copies", F.lit(1))).alias("n_links"))
+    everyone = keyed_words(records, texts).select("id").distinct().join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
+    per_class = everyone.join(sizes.withColumnRenamed("rep", "class_id"), "class_id", "left").join(links, "class_id", "left")
+    return per_class.select("id", "class_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

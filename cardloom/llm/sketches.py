@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -13,13 +14,13 @@ COUNTS = "kind int, chunk int, counts binary"
 
 
 def chunks(counts: np.ndarray, kind: int) -> pd.DataFrame:
-    """An array of counts as rows of COUNTS."""
+    """An array of counts of one task (each below 2^31) as rows of COUNTS."""
     parts = [counts[i : i + CHUNK] for i in range(0, len(counts), CHUNK)]
-    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [p.astype(np.int64).tobytes() for p in parts]})
+    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [zlib.compress(p.astype(np.int32).tobytes(), 1) for p in parts]})
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
+    total = np.sum([np.frombuffer(zlib.decompress(b), np.int32) for b in pdf["counts"]], axis=0, dtype=np.int64)
     return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
 
 
@@ -30,3 +31,32 @@ def summed(counted: DataFrame) -> dict[int, np.ndarray]:
     for r in sorted(rows, key=lambda r: (r.kind, r.chunk)):
         out[r.kind].append(np.frombuffer(r.counts, np.int64))
     return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def bit_chunks(bits: np.ndarray) -> pd.DataFrame:
+    """A bit array of one task as rows of COUNTS."""
+    parts = [bits[i : i + 8 * CHUNK] for i in range(0, len(bits), 8 * CHUNK)]
+    return pd.DataFrame({"kind": 0, "chunk": range(len(parts)), "counts": [zlib.compress(np.packbits(p).tobytes(), 1) for p in parts]})
+
+
+def _either(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["counts"]])
+    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [bits.tobytes()]})
+
+
+def united(counted: DataFrame, length: int) -> np.ndarray:
+    """The union of the bit arrays of all tasks, packed; empty if there was no task."""
+    rows = counted.groupBy("kind", "chunk").applyInPandas(_either, COUNTS).collect()
+    out = np.zeros(length // 8, np.uint8)
+    for r in rows:
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint8)
+    return out
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Counts for a broadcast: every executor keeps a copy on its disk, so mostly empty arrays are sent compressed."""
+    return zlib.compress(counts.astype(np.int32 if not counts.size or counts.max() < 1 << 31 else np.int64).tobytes(), 1) + (b"\4" if not counts.size or counts.max() < 1 << 31 else b"\10")
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[:-1]), np.int32 if packed[-1:] == b"\4" else np.int64)
