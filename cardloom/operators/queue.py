@@ -37,7 +37,7 @@ def gate(arrivals: DataFrame, at: str, tie: str, minimum: int, wait_seconds: int
     group = Window.partitionBy(bucket, "group_no")
     numbered = arrivals.withColumn("group_no", F.floor((F.row_number().over(w) - 1) / minimum).cast("long"))
     full = F.count("*").over(group) == minimum
-    last, waited = F.max(at).over(group), F.timestamp_seconds(F.unix_micros(F.min(at).over(group)) / 1_000_000 + wait_seconds)
+    last, waited = F.max(at).over(group), F.min(at).over(group) + F.make_dt_interval(secs=F.lit(wait_seconds))
     return numbered.withColumn("released_at", F.when(full, F.least(last, waited)).otherwise(waited))
 
 

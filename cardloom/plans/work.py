@@ -60,15 +60,16 @@ def burst_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def user_progress(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("token"), F.pmod("event_id", F.lit(3)).cast("int").alias("rewind"))
-    return progress_fold(events, "user_id", "event_id", "token", "rewind").select("user_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").isNotNull().alias("told"), F.substring("text", -20, 20).alias("tail"))
+    return progress_fold(events, "user_id", "event_id", "token", "rewind").select("user_id", F.length("text").cast("long").alias("n_chars"), F.substring("text", -20, 20).alias("tail"))
 
 
 def low_diversity(spark: SparkSession, d: str) -> DataFrame:
-    return low_diversity_stop(_answers(spark, d).withColumn("answer", F.regexp_replace("answer", r"[^aeiou ]", "")), "id", "answer", least=7)
+    return low_diversity_stop(_answers(spark, d).withColumn("answer", F.regexp_replace("answer", r"[^aeiou ]", "")), "id", "answer", least=14)
 
 
 def immediate_repeat(spark: SparkSession, d: str) -> DataFrame:
-    return immediate_repeats(tokens_of(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    vowels = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^aeiou ]", ""))
+    return immediate_repeats(tokens_of(vowels, "doc_id", "text"), "doc_id")
 
 
 def line_repeat(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +101,11 @@ def rules_in_force(spark: SparkSession, d: str) -> DataFrame:
 
 
 def allowed_text(spark: SparkSession, d: str) -> DataFrame:
-    """Which pairs of a region's and a nation's letters keep to the allowed words."""
-    texts = table(spark, d, "region").select(F.substring("r_name", 1, 3).alias("text"))
-    tokens = table(spark, d, "nation").select(F.substring("n_name", 1, 2).alias("token")).distinct()
-    return allowed_tokens(texts.crossJoin(tokens), ["AFR", "AME", "IR", "EU", "ASI", "MID", "CAN"])
+    """Which endings of region names may follow which beginnings if only whole region names are allowed."""
+    names = table(spark, d, "region").select("r_name").distinct()
+    texts = names.select(F.substring("r_name", 1, 2).alias("text")).distinct()
+    tokens = names.select(F.explode(F.array(F.expr("substring(r_name, 3)"), F.substring("r_name", 3, 1))).alias("token")).distinct()
+    return allowed_tokens(texts.crossJoin(tokens), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
 def greedy_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -160,8 +162,8 @@ SQL = {
       FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM (
         SELECT user_id, ts, length(props) AS n, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, burst""",
     "low_diversity": f"""SELECT id, min(idx) AS stop_idx FROM (SELECT id, idx, list(token) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l
-      FROM {_WORDS.format('id', 'answer', f"(SELECT id, regexp_replace(answer, '[^aeiou ]', '', 'g') AS answer FROM {_A})")}) WHERE idx >= 20 AND len(list_distinct(l)) < 7 GROUP BY id""",
-    "immediate_repeat": f"SELECT doc_id, idx, token, idx + 3 AS banned_until FROM (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM {_WORDS.format('doc_id', 'text', 'documents')}) WHERE token = prev",
+      FROM {_WORDS.format('id', 'answer', f"(SELECT id, regexp_replace(answer, '[^aeiou ]', '', 'g') AS answer FROM {_A})")}) WHERE idx >= 20 AND len(list_distinct(l)) < 14 GROUP BY id""",
+    "immediate_repeat": f"SELECT doc_id, idx, token, idx + 3 AS banned_until FROM (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM {_WORDS.format('doc_id', 'text', "(SELECT doc_id, regexp_replace(text, '[^aeiou ]', '', 'g') AS text FROM documents)")}) WHERE token = prev",
     "line_repeat": """WITH l AS (SELECT id, unnest(x) AS line, unnest(range(len(x)))::INT AS n FROM (SELECT id, string_split(coalesce(content, ''), chr(10)) AS x FROM (SELECT DISTINCT ON (id) * FROM text_chunks))),
       t AS (SELECT id, trim(line) AS line, n FROM l),
       m AS (SELECT *, coalesce(sum(CASE WHEN contains(line, '</think>') THEN 1 ELSE 0 END) OVER w, 0) AS seg,
@@ -179,6 +181,8 @@ SQL = {
       SELECT id, idx, 'within 29' AS sequence, 2 AS rewind FROM t WHERE p1 = 'within' AND token = '29' UNION ALL SELECT id, idx, 'must be reset.', 3 FROM t WHERE p2 = 'must' AND p1 = 'be' AND token = 'reset.'""",
     "token_rule_bans": f"SELECT id, idx AS step, token FROM {_TOKENS} WHERE (token = 'the' AND idx < 3) OR (token = 'glacier' AND idx >= 2 AND idx - 2 < 5) OR token = 'beacon'",
     "rules_in_force": "SELECT step::INT AS step, token FROM range(8) r(step), (VALUES ('the', 0, 3), ('glacier', 2, 5), ('beacon', 0, 0)) t(token, s, n) WHERE step >= s AND (n < 1 OR step - s < n)",
+    "allowed_text": """SELECT text, token FROM (SELECT DISTINCT substr(r_name, 1, 2) AS text FROM region), (SELECT DISTINCT substr(r_name, 3) AS token FROM region UNION SELECT substr(r_name, 3, 1) FROM region)
+      WHERE EXISTS (SELECT 1 FROM region WHERE starts_with(r_name, text || token))""",
     "greedy_pick": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) = 1",
     "topk_filter": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 5",
     "topp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_P}) WHERE before < 0.9",
