@@ -14,6 +14,8 @@ or if its end is less likely than going on, by log-odds with thresholds per lang
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import regex
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .language import FUNCTION_WORDS, language_of
+from .language import FUNCTION_WORDS, quick_language
 from .sketches import COUNTS, chunks, pack, summed, unpack
 
 TABLE = 1 << 19  #: places of each hashed count
@@ -38,7 +40,7 @@ _KEPT = {language: frozenset(words.split()) for language, words in FUNCTION_WORD
 _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
 #: Closing marks: a text that ends with one of these, perhaps followed by closing quotes or brackets, is whole.
 _CLOSED = r"[.!?。！？…]\"?['”’»›」』）)\]*_`]*\s*$"
-CLOSED = regex.compile(_CLOSED)
+CLOSED = re.compile(_CLOSED)
 _JOINING = regex.compile(r"[,;:(\[{«“„「『（<=+*/&\-–—_@#$%^\\|~、]\s*$|&#?\w{1,7}$|<[^<>]*$")
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）"}
 
@@ -76,6 +78,11 @@ def open_structures(text: str) -> list[str]:
     return stack
 
 
+def closed(text: str) -> bool:
+    """Whether a text ends with a closing mark; only its end is looked at, marks may be followed by a few signs."""
+    return CLOSED.search(text, max(0, len(text) - 40)) is not None
+
+
 def tokens_of(text: str) -> list[str]:
     return (_CJK_TOKEN if not text.isascii() and _CJK.search(text) else _TOKEN).findall(text)
 
@@ -90,13 +97,21 @@ def _rows(pdf: pd.DataFrame, rows: int = 4000):
 
 
 class _Signs(dict):
-    """Number of a token as the model sees it: function words and signs as they are, all others by their kind."""
+    """What the model sees of a token of one language: a number for the token's sign (function words and signs as they
+    are, all others by their kind), the place of a word, and whether a sentence or line ends with it.
 
-    def __missing__(self, key: tuple[str, str]) -> int:
-        language, token = key
+    The place is -1 for what is no word.
+    """
+
+    def __init__(self, language: str):
+        super().__init__()
+        self.language, self.kept = language, _KEPT.get(language, frozenset())
+
+    def __missing__(self, token: str) -> tuple[int, int, int]:
+        word = token[0].isalpha()
         if token[0].isnumeric():
             sign = "0"
-        elif not token[0].isalpha() or token.lower() in _KEPT.get(language, ()):
+        elif not word or token.lower() in self.kept:
             sign = token
         elif _CJK.match(token):
             sign = token if _HIRAGANA.match(token) else "x"
@@ -104,10 +119,15 @@ class _Signs(dict):
             sign = "W" if token[0].isupper() else "w"
         if len(self) > 300_000:  # it only saves time
             self.clear()
-        value = self[key] = xxhash.xxh3_64_intdigest(f"{language}\x1f{sign}")
+        number = xxhash.xxh3_64_intdigest(f"{self.language}\x1f{sign}") >> 1
+        ending = 5 if token == "\n" else 7 if token in ".!?。！？" else 0
+        value = self[token] = (number, _place("word", token) if word else -1, ending if sign != "0" else -1)
         return value
 
 
+_signs = {language: _Signs(language) for language in (*FUNCTION_WORDS, "ja", "")}
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -128,7 +148,7 @@ def _backward(codes: np.ndarray, lengths: tuple[int, ...], at: np.ndarray) -> li
 class _Texts:
     """Several values as one sequence of characters and one of tokens, with the places to judge."""
 
-    def __init__(self, texts: list[str], signs: _Signs, letters: np.ndarray):
+    def __init__(self, texts: list[str], letters: np.ndarray):
         texts = [t.rstrip() for t in texts]
         gap = max(CONTEXTS)
         self.chars = np.frombuffer((" " * gap).join(["", *(t + "\0" for t in texts)]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -137,28 +157,36 @@ class _Texts:
         pad = [1] * max(TOKENS)
         numbers: list[int] = []
         prefixes: list[int] = []
-        self.languages, ends, last = [], [], []
+        words: list[int] = []
+        self.languages, ends, stops, last = [], [], [], []
         for text in texts:
             tokens = tokens_of(text)
-            language = language_of(text, tokens)[0]
+            language = quick_language(text, tokens)
+            signs = _signs[language]
             numbers += pad
-            signed = [signs[language, t] for t in tokens]
-            numbers += signed
             prefixes += pad
-            state, before = 3, ""
-            for token, sign in zip(tokens, signed):
-                state = (state * 0x100000001B3 ^ sign) & 0xFFFFFFFFFFFFFFFF
+            state, after, before = 3, False, -1
+            for token in tokens:
+                number, word, ending = signs[token]
+                numbers.append(number)
+                state = hash((state, number))
                 prefixes.append(state)
-                if token == "\n" or token in ".!?。！？" and not before[:1].isnumeric():
-                    state = 5 if token == "\n" else 7
-                before = token
+                if word >= 0:
+                    words.append(word)
+                elif before >= 0 and ending >= 0:  # a mark behind a word
+                    stops.append(before)
+                if ending > 0 and (ending == 5 or not after):
+                    state = ending
+                after, before = ending < 0, word
+            if before >= 0:
+                stops.append(before)
             ends.append(len(numbers))
             self.languages.append(language)
-            last.append(tokens[-1] if tokens else "")
-        self.tokens = np.array(numbers + [1], np.uint64)
-        self.prefixes = np.array(prefixes + [1], np.uint64)
+            last.append(before)
+        self.tokens = np.array(numbers + [1], np.int64).view(np.uint64)
+        self.prefixes = np.array(prefixes + [1], np.int64).view(np.uint64)
+        self.words, self.stops, self.last = (np.array(x, np.int64) for x in (words, stops, last))
         self.token_ends = np.array(ends, np.int64)
-        self.last = last
         inside = np.ones(len(self.tokens), bool)
         starts = np.concatenate(([0], self.token_ends[:-1]))
         for j in range(max(TOKENS)):
@@ -166,7 +194,6 @@ class _Texts:
         self.after_tokens = np.flatnonzero(inside[:-1]) + 1
         self.after_letters = np.flatnonzero(letters[self.chars[:-1].astype(np.int64)]) + 1
 
-
     def contexts(self, at: np.ndarray) -> list[np.ndarray]:
         """The places of the token contexts before each of the positions ``at``, the longest last."""
         return [*_backward(self.tokens, TOKENS, at), (_mix(self.prefixes[at - 1]) % np.uint64(TABLE)).astype(np.int64)]
@@ -184,48 +211,27 @@ def _letters() -> np.ndarray:
 def _count_ends(batches):
     """Per character context all and word ends; per word all and phrase ends; per token context all and value ends."""
 
-    letters, signs = _letters(), _Signs()
+    letters = _letters()
     tables = np.zeros((2 * len(CONTEXTS) + 4, TABLE), np.int64)
     for pdf in batches:
         for texts in _rows(pdf):
-            t = _Texts(texts, signs, letters)
+            t = _Texts(texts, letters)
             word_end = ~letters[t.chars[t.after_letters].astype(np.int64)]
             for k, places in enumerate(_backward(t.chars, CONTEXTS, t.after_letters)):
                 tables[2 * k] += np.bincount(places, minlength=TABLE)
                 tables[2 * k + 1] += np.bincount(places[word_end], minlength=TABLE)
             base = 2 * len(CONTEXTS)
-            every, stops = _phrase_places(texts)
-            tables[base] += np.bincount(every, minlength=TABLE)
-            tables[base + 1] += np.bincount(stops, minlength=TABLE)
+            tables[base] += np.bincount(t.words, minlength=TABLE)
+            tables[base + 1] += np.bincount(t.stops, minlength=TABLE)
             for places in t.contexts(t.after_tokens):
                 tables[base + 2] += np.bincount(places, minlength=TABLE)
-            ends = t.token_ends[[not CLOSED.search(x) for x in texts]]
+            ends = t.token_ends[[not closed(x) for x in texts]]
             for places in t.contexts(ends):
                 tables[base + 3] += np.bincount(places, minlength=TABLE)
     for kind, counts in enumerate(tables):
         yield chunks(counts, kind)
 
 
-_WORDS = regex.compile(r"(\p{L}[\p{L}\p{M}]*)([^\p{L}\p{M}\p{N} ]|\s*$|)")
-_word_places: dict[str, int] = {}
-
-
-def _phrase_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all words, and of those that a mark or the end of the value follows."""
-    every, stops = [], []
-    for text in texts:
-        for word, mark in _WORDS.findall(text + "\n"):
-            at = _word_places.get(word)
-            if at is None:
-                if len(_word_places) > 300_000:
-                    _word_places.clear()
-                at = _word_places[word] = _place("word", word)
-            every.append(at)
-            if mark:
-                stops.append(at)
-    return np.array(every, np.int64), np.array(stops, np.int64)
-
-
 def _odds(yes: np.ndarray, every: np.ndarray) -> np.ndarray:
     return np.log((np.maximum(yes, 0) + 0.2) / (np.maximum(every - yes, 0) + 0.2))
 
@@ -234,20 +240,19 @@ class EndModel:
     """Judges values by the counts."""
 
     def __init__(self, tables: dict[int, np.ndarray]):
-        self.tables, self.signs = tables, _Signs()
+        self.tables = tables
 
     def odds(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """Per text the log-odds of a word end, a phrase end and a value end at its end, and its language.
 
         The longest context with evidence decides; the text itself is left out of the counts.
         """
-        t = _Texts(texts, self.signs, _letters())
+        t = _Texts(texts, _letters())
         out = np.zeros((len(texts), 3))
         self._longest(out[:, 0], _backward(t.chars, CONTEXTS, t.text_ends), [(2 * k, 2 * k + 1) for k in range(len(CONTEXTS))])
         base = 2 * len(CONTEXTS)
-        word = np.array([_place("word", w) for w in t.last], np.int64)
-        every = self.tables[base][word] - 1
-        out[:, 1] = np.where(every >= EVIDENCE, _odds(self.tables[base + 1][word] - 1, every), 0)
+        every = self.tables[base][t.last] - 1
+        out[:, 1] = np.where((t.last >= 0) & (every >= EVIDENCE), _odds(self.tables[base + 1][t.last] - 1, every), 0)
         self._longest(out[:, 2], t.contexts(t.token_ends), [(base + 2, base + 3)] * (len(TOKENS) + 1))
         return out, t.languages
 
@@ -261,7 +266,7 @@ class EndModel:
         judged = []
         for text in texts:
             body = text.rstrip()
-            if not body or CLOSED.search(body):
+            if not body or closed(body):
                 judged.append(False)
             else:
                 # a replacement character at the end is a character that was cut in its bytes

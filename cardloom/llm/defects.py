@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cutoff import model_of, train, training_values, unclosed
-from .language import NAMES, language_of
+from .language import NAMES, language_of, quick_language
 
 #: What stands for an answer that is not there, in lower case and without signs.
 PLACEHOLDERS = frozenset("a answer antwort respuesta réponse q none null nil nan na n/a tbd tba todo empty blank undefined unknown missing placeholder no answer not available not applicable keine antwort sin respuesta sans réponse 回答 答え なし 未定".split()) | {
     "no answer", "not available", "not applicable", "keine antwort", "sin respuesta", "sans réponse", "n a", "to do", "to be determined", "to be done",
 }
 _WORDS = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
 _LABEL = regex.compile(r"^\s*(?:a|answer|antwort|réponse|respuesta|q|question|答え|回答)\s*[:：]\s*", regex.I)
 _QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“]*“|「[^」]*」|‘[^’]*’")
 #: Share of the answer's words that must be tiles of the question, and how much of the question they must cover.
@@ -50,10 +53,20 @@ _REFUSALS = {
 }
 
 
+#: Words without which none of the grammars can match: most answers need no more than this test.
+_MAY_REFUSE = re.compile(
+    r"\b(?:I|we|my|our|model|not|lacks?|ich|wir|sprachmodell|nicht|keine?[rnms]?|je|j|permet\w*|éducatif|suffisant|carte|réponse|modèle|ia|puedo|podemos|podré|debo|siento|niego|rechazo|declino|educativo|respond\w*|cre(?:ar|aré)|haré|suficiente|bastante|apropiado|modelo|voy|quiero|posible)\b"
+    r"|n['’]t\b|\bno\s+(?:flash|cards?|answers?|questions?|information|se)\b|申|すみ|答え|ません|ない|かね|控え|断り|不足|足り",
+    re.I,
+)
+
+
 def is_empty(answer: str | None) -> bool:
     """Null, blank, or without any word but a placeholder."""
     if answer is None:
         return True
+    if len(answer) > 40 and _LETTERS.search(answer):  # no placeholder is that long
+        return False
     words = _WORDS.findall(_LABEL.sub("", answer).lower())
     return not words or " ".join(words) in PLACEHOLDERS
 
@@ -86,6 +99,8 @@ def is_copy(question: str | None, answer: str) -> bool:
     Words that no tile covers are compared by their letters, so a typing error in a long word does not hide a copy.
     Texts without blanks are tiled by characters.
     """
+    if not question or not 0.4 * len(question) <= len(answer) <= 1.5 * len(question) + 20:
+        return False
     a, q = (_WORDS.findall(_LABEL.sub("", t or "").lower()) for t in (answer, question))
     if not a or not q:
         return False
@@ -103,6 +118,8 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether the writer declines to answer. Quoted words and sentences about others that refuse do not count."""
+    if not _MAY_REFUSE.search(answer):
+        return False
     said = _QUOTED.sub(" ", answer).replace("’", "'")
     language = language_of(answer)[0]
     grammars = [_REFUSALS[language]] if language in _REFUSALS else []
@@ -111,6 +128,8 @@ def is_refusal(answer: str) -> bool:
 
 def is_other_language(question: str | None, answer: str, lead: float = 0.75) -> bool:
     """Whether the answer is written in another language than the question, and the question does not ask for one."""
+    if quick_language(question or "") == quick_language(answer) == "en":
+        return False
     asked, sure = language_of(question or "")
     given, clear = language_of(answer)
     if not asked or not given or asked == given or sure < lead or clear < lead:

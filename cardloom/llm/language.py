@@ -53,3 +53,10 @@ def language_of(text: str, words: list[str] | None = None) -> tuple[str, float]:
     if not ranked:
         return "", 0.0
     return ranked[0][0], ranked[0][1] - (ranked[1][1] if len(ranked) > 1 else 0)
+
+
+def quick_language(text: str, words: list[str] | None = None) -> str:
+    """``language_of`` without its lead; plain texts with an English article need no count."""
+    if text.isascii() and (" the " in text or text.startswith("The ")):
+        return "en"
+    return language_of(text, words)[0]
