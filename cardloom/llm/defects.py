@@ -53,12 +53,13 @@ _REFUSALS = {
 }
 
 
-#: Words without which none of the grammars can match: most answers need no more than this test.
-_MAY_REFUSE = re.compile(
-    r"\b(?:I|we|my|our|model|not|lacks?|ich|wir|sprachmodell|nicht|keine?[rnms]?|je|j|permet\w*|éducatif|suffisant|carte|réponse|modèle|ia|puedo|podemos|podré|debo|siento|niego|rechazo|declino|educativo|respond\w*|cre(?:ar|aré)|haré|suficiente|bastante|apropiado|modelo|voy|quiero|posible)\b"
-    r"|n['’]t\b|\bno\s+(?:flash|cards?|answers?|questions?|information|se)\b|申|すみ|答え|ません|ない|かね|控え|断り|不足|足り",
-    re.I,
-)
+#: Parts of which every match of a grammar has one, in lower case. Most answers need no more than this.
+_MAY_REFUSE = (
+    " i ", " i'", " i’", " we ", " we'", " we’", " my ", " our ", "model", " not ", "n't", "n’t", "lack", "no flash", "no card", "no answer", "no question", "no information",
+    "ich ", "wir ", "nicht", "kein", " je ", "permet", "éducatif", "suffisant", "aucune carte", "aucune réponse", "modèle", "en tant que",
+    "puedo", "podemos", "podré", "debo", "quiero", "no voy", "posible", "siento", "niego", "rechazo", "declino", "educativo", "respond", "crear", "haré", "suficiente", "bastante", "apropiado", "no se ",
+    "申", "すみ", "答え", "ません", "ない", "かね", "控え", "断り", "不足", "足り",
+)
 
 
 def is_empty(answer: str | None) -> bool:
@@ -101,6 +102,8 @@ def is_copy(question: str | None, answer: str) -> bool:
     """
     if not question or not 0.4 * len(question) <= len(answer) <= 1.5 * len(question) + 20:
         return False
+    if answer.isascii() and len(given := set(answer.lower().split())) > 2 * len(given & set(question.lower().split())) + 3:
+        return False
     a, q = (_WORDS.findall(_LABEL.sub("", t or "").lower()) for t in (answer, question))
     if not a or not q:
         return False
@@ -118,7 +121,8 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Whether the writer declines to answer. Quoted words and sentences about others that refuse do not count."""
-    if not _MAY_REFUSE.search(answer):
+    low = f" {answer.lower()} "
+    if not any(part in low for part in _MAY_REFUSE):
         return False
     said = _QUOTED.sub(" ", answer).replace("’", "'")
     language = language_of(answer)[0]
