@@ -14,17 +14,20 @@ def fifo_batches(requests: DataFrame, order: list[str], size: int) -> DataFrame:
     return number_rows(requests, order, "queue_no").withColumn("batch_no", F.floor((F.col("queue_no") - 1) / size).cast("long"))
 
 
-def admit(requests: DataFrame, queue: str, order: list[str], cost: Column, budget: int, slots: int, slack: int = 1000) -> DataFrame:
+def admit(requests: DataFrame, key: str, queue: str, order: list[str], cost: Column, budget: int, slots: int, slack: int = 1000) -> DataFrame:
     """The requests of each queue that fit at once: a prefix in order whose running cost plus ``slack`` stays within
     ``budget``, at most ``slots`` of them. The head of a queue blocks those behind it. A request that can never fit
-    has ``fits_alone`` false instead of blocking for good.
+    has ``fits_alone`` false instead of blocking for good. ``key`` names a request.
+
+    Only the first ``slots`` requests of a queue can be admitted. Spark takes them in every map task already, so a
+    queue with very many requests sends few rows to the running sum.
     """
+    costed = requests.withColumn("cost", cost.cast("long")).withColumn("fits_alone", F.col("cost") + slack <= budget)
     w = Window.partitionBy(queue).orderBy(*order)
-    fits_alone = F.col("cost") + slack <= budget
-    costed = requests.withColumn("cost", cost.cast("long")).withColumn("fits_alone", fits_alone)
-    running = F.sum(F.when(F.col("fits_alone"), F.col("cost")).otherwise(0)).over(w)
-    place = F.sum(F.col("fits_alone").cast("int")).over(w)
-    return costed.withColumn("admitted", F.col("fits_alone") & (running + slack <= budget) & (place <= slots))
+    head = costed.where("fits_alone").select(key, queue, *[c for c in order if c not in (key, queue)], "cost").withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= slots)
+    running = F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = head.withColumn("__run", running).where(F.col("__run") + slack <= budget).select(key, F.lit(True).alias("__taken"))
+    return costed.join(taken, key, "left").withColumn("admitted", F.coalesce("__taken", F.lit(False))).drop("__taken")
 
 
 def gate(arrivals: DataFrame, at: str, tie: str, minimum: int, wait_seconds: int, bucket: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ def top_p(logits: DataFrame, keys: list[str], p: float = 0.9) -> DataFrame:
 
 
 def min_p(logits: DataFrame, keys: list[str], p: float = 0.1) -> DataFrame:
-    """Keeps tokens with at least ``p`` times the probability of the likeliest."""
-    return softmax(logits, keys).withColumn("__top", F.max("p").over(_step(keys))).where(F.col("p") >= p * F.col("__top")).drop("__top", "p")
+    """Keeps tokens with at least ``p`` times the probability of the likeliest: a difference of logits, so nothing has
+    to be summed."""
+    top = F.max("logit").over(_step(keys))
+    return logits.withColumn("__top", top).where(F.col("logit") >= F.col("__top") + math.log(p)).drop("__top")
 
 
 def greedy(logits: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import skew_left_join
+
 
 def delete_cards(cards: DataFrame, ids: DataFrame) -> DataFrame:
     """Cards without those named in ``ids`` (column ``id``)."""
@@ -59,8 +61,18 @@ def fold_log(log: DataFrame, key: list[str], order: str, columns: list[str]) ->
 
 
 def details(chunks: DataFrame, cards: DataFrame) -> DataFrame:
-    """Every chunk with its cards in the order of their ids; an empty array if it has none."""
-    unique = cards.where("origin_id is not null").select("id", "question", "answer", "origin_id").distinct()
-    held = unique.groupBy(F.col("origin_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "question", "answer"))).alias("cards"))
-    none = F.array().cast("array<struct<id:bigint,question:string,answer:string>>")
-    return chunks.dropDuplicates(["id"]).join(held, "id", "left").withColumn("cards", F.coalesce("cards", none))
+    """Every chunk with its cards, a row for each card and one with nulls for a chunk without any: ``card_id``,
+    ``question``, ``answer`` beside the chunk's columns. A chunk that holds a large part of all cards stays many rows.
+    """
+    unique = cards.where("origin_id is not null").select(F.col("id").alias("card_id"), "question", "answer", F.col("origin_id").alias("id")).distinct()
+    with_cards = skew_left_join(unique, chunks.dropDuplicates(["id"]).withColumn("__there", F.lit(True)), "id").where("__there").drop("__there")
+    without = chunks.dropDuplicates(["id"]).join(unique.select("id").distinct(), "id", "left_anti")
+    return with_cards.unionByName(without, allowMissingColumns=True)
+
+
+def details_of(chunks: DataFrame, cards: DataFrame, chunk_id: int) -> DataFrame:
+    """One chunk (null if it is not there) and its cards as an array, in the order of their ids; one row always."""
+    held = cards.where(F.col("origin_id") == chunk_id).select("id", "question", "answer").distinct()
+    told = held.agg(F.array_sort(F.collect_list(F.struct("id", "question", "answer"))).alias("cards"))
+    found = chunks.where(F.col("id") == chunk_id).agg(F.first(F.struct(*chunks.columns)).alias("chunk"))
+    return found.crossJoin(told)  # one row each

@@ -10,7 +10,7 @@ from ..operators.cards import by_context, completion_status, generate, parse_car
 from ..operators.chunker import chunk
 from ..operators.density import card_counts, intensity
 from ..operators.html import upload_text
-from ..operators.store import details
+from ..operators.store import details, details_of
 from ..session import table
 
 INSTRUCTION = "Write flash cards about the text."
@@ -76,14 +76,15 @@ def context_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses made of the cards of a chunk, up to eight consecutive ids each, as a model would have written them."""
     cards = table(spark, d, "flash_cards").where("origin_id is not null").select("id", "origin_id", "question", "answer").distinct()
     said = F.concat(F.lit("Q: "), F.coalesce("question", F.lit("")), F.lit("\nA: "), F.coalesce("answer", F.lit("")))
-    told = cards.groupBy("origin_id").agg(F.array_sort(F.collect_list(F.struct("id", said.alias("said")))).alias("c"))
-    return told.select("origin_id", F.concat(F.lit("<think>Q: none\nA: none</think>\n"), F.array_join(F.transform("c", lambda x: x["said"]), "\n")).alias("response"))
+    told = cards.groupBy("origin_id", F.floor(F.col("id") / 8).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", said.alias("said")))).alias("c"))
+    return told.select("origin_id", "part", F.concat(F.lit("<think>Q: none\nA: none</think>\n"), F.array_join(F.transform("c", lambda x: x["said"]), "\n")).alias("response"))
 
 
 def qa_parse(spark: SparkSession, d: str) -> DataFrame:
-    return parse_cards(_responses(spark, d), "response", ["origin_id"]).drop("card_no")
+    return parse_cards(_responses(spark, d), "response", ["origin_id", "part"]).drop("card_no")
 
 
 def completion(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +131,12 @@ def csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_details(spark: SparkSession, d: str) -> DataFrame:
-    told = details(_chunks(spark, d), table(spark, d, "flash_cards"))
-    return told.select("id", "file_id", F.size("cards").cast("long").alias("n_cards"), F.array_join(F.transform("cards", lambda c: c["id"].cast("string")), ",").alias("card_ids"))
+    return details(_chunks(spark, d), table(spark, d, "flash_cards")).select("id", "file_id", "card_id", "question", "answer")
+
+
+def one_chunk(spark: SparkSession, d: str) -> DataFrame:
+    told = details_of(table(spark, d, "text_chunks"), table(spark, d, "flash_cards"), 7)
+    return told.select(F.col("chunk.id").alias("id"), F.size("cards").cast("long").alias("n_cards"), F.array_join(F.transform("cards", lambda c: c["id"].cast("string")), ",").alias("card_ids"))
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -148,15 +153,16 @@ def dig_deeper(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_cards(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON array per chunk with the cards as the side file has them: ids not assigned yet."""
-    told = details(_chunks(spark, d), table(spark, d, "flash_cards")).where(F.size("cards") > 0)
-    rows = F.transform("cards", lambda c: F.struct(F.lit(0).alias("Id"), c["question"].alias("Question"), c["answer"].alias("Answer"), F.lit(0).alias("OriginId")))
-    return told.select("id", F.to_json(rows, {"ignoreNullFields": "false"}).alias("json"))
+    """One JSON array per response with its cards as the side file has them: ids not assigned yet."""
+    parsed = parse_cards(_responses(spark, d), "response", ["origin_id", "part"])
+    card = F.struct(F.lit(0).alias("Id"), F.col("question").alias("Question"), F.col("answer").alias("Answer"), F.lit(0).alias("OriginId"))
+    told = parsed.groupBy("origin_id", "part").agg(F.array_sort(F.collect_list(F.struct("card_no", card.alias("card")))).alias("c"))
+    return told.select("origin_id", "part", F.to_json(F.transform("c", lambda x: x["card"])).alias("json"))
 
 
 QUERIES = {f.__name__: f for f in (
     density_pipeline, token_estimates, line_scan, sentence_split, last_lines, html_escaped, html_to_text, upload_chunks, document_chunks, upload_summary,
-    prompt_assembly, context_order, qa_parse, completion, card_count, density_chart, density_files, stale_density, csv_lines, chunk_details, point_lookup, dig_deeper, json_cards,
+    prompt_assembly, context_order, qa_parse, completion, card_count, density_chart, density_files, stale_density, csv_lines, chunk_details, one_chunk, point_lookup, dig_deeper, json_cards,
 )}
 
 _C = "(SELECT DISTINCT ON (id) * FROM text_chunks)"
@@ -175,13 +181,13 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '{_EDGE}', '', 'g')"
 
 
-_RESPONSES = f"""said AS (SELECT origin_id, '<think>Q: none' || chr(10) || 'A: none</think>' || chr(10) || string_agg('Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) ORDER BY id) AS t
-  FROM {_F} WHERE origin_id IS NOT NULL GROUP BY origin_id),
-body AS (SELECT origin_id, string_split(substr(t, instr(t, '</think>') + 8), chr(10)) AS l FROM said),
-lines AS (SELECT origin_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM body),
-marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^{_WS}*Q:') THEN 1 ELSE 0 END) OVER (PARTITION BY origin_id ORDER BY n) AS card FROM lines),
-answers AS (SELECT *, min(CASE WHEN regexp_matches(line, '^{_WS}*A:') THEN n END) OVER (PARTITION BY origin_id, card) AS a FROM marked WHERE card > 0),
-cards AS (SELECT origin_id, card, string_agg(CASE WHEN n < a THEN line END, chr(10) ORDER BY n) AS q, string_agg(CASE WHEN n >= a THEN line END, chr(10) ORDER BY n) AS w FROM answers WHERE a IS NOT NULL GROUP BY origin_id, card)"""
+_RESPONSES = f"""said AS (SELECT origin_id, id // 8 AS part, '<think>Q: none' || chr(10) || 'A: none</think>' || chr(10) || string_agg('Q: ' || coalesce(question, '') || chr(10) || 'A: ' || coalesce(answer, ''), chr(10) ORDER BY id) AS t
+  FROM {_F} WHERE origin_id IS NOT NULL GROUP BY origin_id, id // 8),
+body AS (SELECT origin_id, part, string_split(substr(t, instr(t, '</think>') + 8), chr(10)) AS l FROM said),
+lines AS (SELECT origin_id, part, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM body),
+marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^{_WS}*Q:') THEN 1 ELSE 0 END) OVER (PARTITION BY origin_id, part ORDER BY n) AS card FROM lines),
+answers AS (SELECT *, min(CASE WHEN regexp_matches(line, '^{_WS}*A:') THEN n END) OVER (PARTITION BY origin_id, part, card) AS a FROM marked WHERE card > 0),
+cards AS (SELECT origin_id, part, card, string_agg(CASE WHEN n < a THEN line END, chr(10) ORDER BY n) AS q, string_agg(CASE WHEN n >= a THEN line END, chr(10) ORDER BY n) AS w FROM answers WHERE a IS NOT NULL GROUP BY origin_id, part, card)"""
 
 SQL = {
     "token_estimates": f"SELECT id, coalesce({_UTF16.format('content')} // 4, 0) AS n_tokens FROM {_C}",
@@ -194,7 +200,7 @@ SQL = {
     "prompt_assembly": f"""SELECT id, '<s>[SYSTEM_PROMPT]{INSTRUCTION}[/SYSTEM_PROMPT]' || CASE WHEN coalesce(extra_context, '') <> '' THEN '[INST]# Context' || chr(10) || extra_context || chr(10) || chr(10) ELSE '[INST]' END
       || coalesce(content, '') || '[/INST]' AS prompt FROM {_C}""",
     "context_order": f"SELECT coalesce(extra_context, '') AS context, count(*) AS n_requests FROM {_C} GROUP BY 1",
-    "qa_parse": f"WITH {_RESPONSES} SELECT origin_id, {_trim("ltrim(q, 'Q:')")} AS question, {_trim("ltrim(w, 'A:')")} AS answer FROM cards",
+    "qa_parse": f"WITH {_RESPONSES} SELECT origin_id, part, {_trim("ltrim(q, 'Q:')")} AS question, {_trim("ltrim(w, 'A:')")} AS answer FROM cards",
     "completion": f"""WITH {_RESPONSES}, n AS (SELECT origin_id, count(*) AS k FROM cards GROUP BY 1)
       SELECT id, CASE WHEN coalesce(k, 0) = 0 THEN 'Failed: No flashcards parsed from response' ELSE 'Completed: ' || k || ' cards created' END AS status FROM {_C} c LEFT JOIN n ON n.origin_id = c.id""",
     "card_count": f"WITH {_COUNTS} SELECT * FROM counts",
@@ -204,7 +210,8 @@ SQL = {
     "stale_density": f"WITH {_COUNTS} SELECT d.chunk_id, d.recorded, flash_card_count FROM (SELECT DISTINCT chunk_id, flash_card_count AS recorded FROM density) d JOIN counts USING (chunk_id) WHERE recorded <> flash_card_count",
     "csv_lines": f"""SELECT f.id, c.file_id, '"' || replace(coalesce(f.question, ''), '"', '""') || '","' || replace(coalesce(f.answer, ''), '"', '""') || '","' || replace(c.file_id, '"', '""') || '"' AS line
       FROM {_F} f JOIN {_C} c ON c.id = f.origin_id""",
-    "chunk_details": f"""SELECT c.id, c.file_id, count(f.id) AS n_cards, coalesce(string_agg(f.id::VARCHAR, ',' ORDER BY f.id), '') AS card_ids FROM {_C} c LEFT JOIN {_F} f ON f.origin_id = c.id GROUP BY c.id, c.file_id""",
+    "chunk_details": f"SELECT c.id, c.file_id, f.id AS card_id, f.question, f.answer FROM {_C} c LEFT JOIN {_F} f ON f.origin_id = c.id",
+    "one_chunk": f"SELECT (SELECT min(id) FROM text_chunks WHERE id = 7) AS id, count(*) AS n_cards, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id), '') AS card_ids FROM {_F} WHERE origin_id = 7",
     "point_lookup": "SELECT DISTINCT id, content, start_position, end_position, file_id, extra_context FROM text_chunks WHERE id = 7",
     "dig_deeper": f"""SELECT f.id, concat_ws(chr(10), f.question, f.answer) AS content, c.file_id || '-deeper' AS file_id,
       CASE WHEN coalesce(c.extra_context, '') = '' THEN 'Go deeper.' ELSE c.extra_context || chr(10) || 'Go deeper.' END AS extra_context FROM {_F} f JOIN {_C} c ON c.id = f.origin_id""",

@@ -28,7 +28,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _logits(spark: SparkSession, d: str) -> DataFrame:
     told = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("token_id", "logit"))
-    return told.withColumn("logit", F.round(F.col("logit").cast("double") * 8, 4))
+    return told.withColumn("logit", F.col("logit").cast("double") * 8)
 
 
 def fifo_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def queue_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def admission_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return admit(_requests(spark, d), "file_id", ["saved_at", "id"], F.col("n_tokens") + 2048, 24_736, 12).select("id", "file_id", "cost", "fits_alone", "admitted")
+    return admit(_requests(spark, d), "id", "file_id", ["saved_at", "id"], F.col("n_tokens") + 2048, 24_736, 12).select("id", "file_id", "cost", "fits_alone", "admitted")
 
 
 def context_group(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +58,10 @@ def burst_rate(spark: SparkSession, d: str) -> DataFrame:
     return burst_rates(events, "user_id", "ts", "n_tokens", "6 hours")
 
 
-def user_progress(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("token"), F.pmod("event_id", F.lit(3)).cast("int").alias("rewind"))
-    return progress_fold(events, "user_id", "event_id", "token", "rewind").select("user_id", F.length("text").cast("long").alias("n_chars"), F.substring("text", -20, 20).alias("tail"))
+def event_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Text folded from the events of each user and hour, every third event taking back characters."""
+    events = table(spark, d, "events").select(F.concat_ws("/", "user_id", F.date_trunc("hour", "ts").cast("string")).alias("item"), "event_id", F.col("event_type").alias("token"), F.pmod("event_id", F.lit(3)).cast("int").alias("rewind"))
+    return progress_fold(events, "item", "event_id", "token", "rewind")
 
 
 def low_diversity(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +138,7 @@ def drawn_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fifo_batch, queue_depth, admission_prefix, context_group, gate_release, burst_rate, user_progress, low_diversity, immediate_repeat, line_repeat, banned_text_spans,
+    fifo_batch, queue_depth, admission_prefix, context_group, gate_release, burst_rate, event_progress, low_diversity, immediate_repeat, line_repeat, banned_text_spans,
     single_token_ban, token_sequence_bans, token_rule_bans, rules_in_force, allowed_text, greedy_pick, topk_filter, topp_filter, minp_filter, softmax_top, sampled_tokens, drawn_tokens,
 )}
 
@@ -145,7 +146,7 @@ _C = "(SELECT DISTINCT ON (id) *, coalesce((length(content) + length(regexp_repl
 _A = "(SELECT DISTINCT id, answer FROM flash_cards)"
 _WORDS = """(SELECT {0}, unnest(w) AS token, unnest(range(len(w)))::INT AS idx FROM (SELECT {0}, [x for x in string_split_regex(coalesce({1}, ''), '[ \\t\\r\\n]+') if x <> ''] AS w FROM {2}))"""
 _TOKENS = _WORDS.format("id", "answer", _A)
-_LOGITS = "(SELECT vec_id, unnest(range(len(embedding)))::INT AS token_id, round(unnest(embedding)::DOUBLE * 8, 4) AS logit FROM embeddings)"
+_LOGITS = "(SELECT vec_id, unnest(range(len(embedding)))::INT AS token_id, unnest(embedding)::DOUBLE * 8 AS logit FROM embeddings)"
 _P = f"(SELECT *, exp(logit - max(logit) OVER w) / sum(exp(logit - m)) OVER w AS p FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS m FROM {_LOGITS}) WINDOW w AS (PARTITION BY vec_id))"
 _SPACED = f"(SELECT id, string_agg(token, ' ' ORDER BY idx) AS body FROM {_TOKENS} GROUP BY id)"
 
@@ -161,6 +162,11 @@ SQL = {
     "burst_rate": """SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, sum(n)::BIGINT AS n_tokens, CASE WHEN max(ts) > min(ts) AND sum(n) > 0 THEN round(sum(n) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 6) END AS tokens_per_second
       FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM (
         SELECT user_id, ts, length(props) AS n, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, burst""",
+    "event_progress": """WITH RECURSIVE e AS (SELECT user_id || '/' || date_trunc('hour', ts)::TIMESTAMP::VARCHAR AS item, event_type, (event_id % 3)::INT AS r,
+        row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id) AS n FROM events),
+      f AS (SELECT item, n, event_type AS text FROM e WHERE n = 1 UNION ALL
+        SELECT e.item, e.n, substr(f.text, 1, greatest(0, length(f.text) - e.r)) || e.event_type FROM f JOIN e ON e.item = f.item AND e.n = f.n + 1)
+      SELECT item, arg_max(text, n) AS text FROM f GROUP BY item""",
     "low_diversity": f"""SELECT id, min(idx) AS stop_idx FROM (SELECT id, idx, list(token) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l
       FROM {_WORDS.format('id', 'answer', f"(SELECT id, regexp_replace(answer, '[^aeiou ]', '', 'g') AS answer FROM {_A})")}) WHERE idx >= 20 AND len(list_distinct(l)) < 14 GROUP BY id""",
     "immediate_repeat": f"SELECT doc_id, idx, token, idx + 3 AS banned_until FROM (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM {_WORDS.format('doc_id', 'text', "(SELECT doc_id, regexp_replace(text, '[^aeiou ]', '', 'g') AS text FROM documents)")}) WHERE token = prev",
@@ -186,7 +192,7 @@ SQL = {
     "greedy_pick": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) = 1",
     "topk_filter": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 5",
     "topp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_P}) WHERE before < 0.9",
-    "minp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, max(p) OVER (PARTITION BY vec_id) AS top FROM {_P}) WHERE p >= 0.1 * top",
+    "minp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS top FROM {_LOGITS}) WHERE logit >= top + ln(0.1)",
     "softmax_top": f"""WITH k AS (SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 3),
       e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY vec_id)) / 0.6) AS w FROM k) SELECT vec_id, token_id, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM e""",
 }

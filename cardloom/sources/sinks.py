@@ -48,10 +48,12 @@ def export_csv(cards: DataFrame, chunks: DataFrame, path: str) -> None:
     header.unionByName(ordered.select("value")).write.mode("overwrite").text(path)
 
 
-def export_json(details: DataFrame, path: str) -> None:
-    """One JSON array of cards per chunk, each chunk's line in the partition of its file."""
-    rows = F.transform("cards", lambda c: F.struct(F.lit(0).alias("Id"), c["question"].alias("Question"), c["answer"].alias("Answer"), F.lit(0).alias("OriginId")))
-    details.where(F.size("cards") > 0).select("file_id", F.to_json(rows).alias("value")).write.mode("overwrite").partitionBy("file_id").text(path)
+def export_json(parsed: DataFrame, key: str, path: str) -> None:
+    """The side file of parsed responses: one JSON array of cards per response (``key``), ids not assigned yet. The
+    cards of a response are as bounded as the response itself."""
+    card = F.struct(F.lit(0).alias("Id"), F.col("question").alias("Question"), F.col("answer").alias("Answer"), F.lit(0).alias("OriginId"))
+    told = parsed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("card_no", card.alias("card")))).alias("c"))
+    told.select(F.to_json(F.transform("c", lambda x: x["card"])).alias("value")).write.mode("overwrite").text(path)
 
 
 def enqueue(requests: DataFrame, folder: str) -> None:

@@ -1,11 +1,12 @@
 """Sources, sinks and streams."""
 
 import json
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cardloom.operators.store import details
+from cardloom.operators.cards import parse_cards
 from cardloom.sources.readers import Options, direct_text, load_options, page_text, preset_name, queue_stream, read_files
 from cardloom.sources.sinks import append_cards, append_rows, create_tables, enqueue, export_csv, export_json
 from cardloom.streaming.progress import Gate, live_progress, status_counts
@@ -55,7 +56,8 @@ def test_tables_and_exports(spark, tmp_path):
     export_csv(stored, held, f"{tmp_path}/csv")
     text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
     assert text == 'Question,Answer,FileId\n"a""q\nz","b","f"\n'
-    export_json(details(held, stored), f"{tmp_path}/json")
+    parsed = parse_cards(spark.createDataFrame([(1, 'Q: a"q\nz\nA: b')], "id long, response string"), "response", ["id"])
+    export_json(parsed, "id", f"{tmp_path}/json")
     line = next((tmp_path / "json").rglob("part-*")).read_text()
     assert json.loads(line) == [{"Id": 0, "Question": 'a"q\nz', "Answer": "b", "OriginId": 0}]
 
@@ -82,8 +84,11 @@ def test_queue_stream(spark, tmp_path):
     def each(batch, _):
         seen.update({r.chunk_id: r.text for r in batch.collect()})
 
-    query = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(90)
+    query = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 40
+    while len(seen) < 2 and time.time() < until:  # state with timeouts keeps a stream busy, so it is never done by itself
+        time.sleep(0.3)
+    query.stop()
     assert seen == {1: "aZ", 2: "x"}
 
 

@@ -17,7 +17,7 @@ from cardloom.operators.queue import admit, fifo_batches, gate
 from cardloom.operators.references import chunk_states, orphan_references, orphans
 from cardloom.operators.sampling import draw, greedy, min_p, sample, softmax, top_k, top_p
 from cardloom.operators.skew import skew_left_join
-from cardloom.operators.store import delete_chunks, fold_log, restore_chunks, update_cards
+from cardloom.operators.store import delete_chunks, details, details_of, fold_log, restore_chunks, update_cards
 
 
 def one(spark, value, expression):
@@ -203,7 +203,7 @@ def test_sampling(spark):
 def test_queue(spark):
     df = spark.createDataFrame([(i, "q", 100 * (i == 3) + 10) for i in range(1, 8)], "id long, q string, n long")
     assert [r.batch_no for r in fifo_batches(df, ["id"], 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
-    got = admit(df, "q", ["id"], F.col("n"), 60, 3, slack=10).orderBy("id").collect()
+    got = admit(df, "id", "q", ["id"], F.col("n"), 60, 3, slack=10).orderBy("id").collect()
     assert [r.id for r in got if r.admitted] == [1, 2, 4] and [r.id for r in got if not r.fits_alone] == [3]
 
 
@@ -255,3 +255,14 @@ def test_store(spark):
     assert sorted((r.id, r.question, r.answer) for r in changed.collect()) == [(10, "Q", None), (11, "q", "a"), (12, "q", "a"), (13, "q", "a")]
     log = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b")], "id long, seq long, op string")
     assert [tuple(r) for r in fold_log(log, ["id"], "seq", ["op"]).collect()] == [(1, 3, "c")]
+
+
+def test_details(spark):
+    chunks = spark.createDataFrame([(1, "f"), (2, "f"), (2, "f")], "id long, file_id string")
+    cards = spark.createDataFrame([(11, "q", "a", 1), (10, "q", None, 1), (10, "q", None, 1), (12, "q", "a", None), (13, "q", "a", 9)], "id long, question string, answer string, origin_id long")
+    got = sorted((r.id, r.card_id or 0) for r in details(chunks, cards).collect())
+    assert got == [(1, 10), (1, 11), (2, 0)]
+    row = details_of(chunks, cards, 1).head()
+    assert row.chunk.id == 1 and [c.id for c in row.cards] == [10, 11]
+    row = details_of(chunks, cards, 5).head()
+    assert row.chunk is None and row.cards == []
