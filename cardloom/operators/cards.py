@@ -29,13 +29,13 @@ def parse_cards(responses: DataFrame, text: str, keys: list[str], strict: bool =
     body = F.when(F.locate(THINK_END, t) > 0, F.expr(f"substring(`{text}`, locate('{THINK_END}', `{text}`) + {len(THINK_END)})")).otherwise(t)
     parts = F.filter(F.split(body, r"(?dmU)^(?=[^\S\n]*Q:)", -1), lambda s: s.rlike(r"(?dU)^[^\S\n]*Q:"))
     split_at = r"(?dmU)^(?=[^\S\n]*A:)"
-    cards = responses.select(*keys, F.posexplode(parts).alias("part_no", "part")).withColumn("halves", F.split("part", split_at, 2)).where(F.size("halves") == 2)
+    cards = responses.select(*keys, F.posexplode(parts).alias("__no", "__part")).withColumn("__halves", F.split("__part", split_at, 2)).where(F.size("__halves") == 2)
 
     def side(column: Column, mark: str) -> Column:
         cut = F.regexp_replace(column, f"(?U)^\\s*{mark}:", "") if strict else trim_start_chars(column, f"{mark}:")
         return unicode_trim(cut)
 
-    return cards.select(*keys, F.col("part_no").alias("card_no"), side(F.get("halves", F.lit(0)), "Q").alias("question"), side(F.get("halves", F.lit(1)), "A").alias("answer"))
+    return cards.select(*keys, F.col("__no").alias("card_no"), side(F.get("__halves", F.lit(0)), "Q").alias("question"), side(F.get("__halves", F.lit(1)), "A").alias("answer"))
 
 
 def message(role: str, body: Column, before: bool = True, after: bool = True, template: str = "mistral") -> Column:
