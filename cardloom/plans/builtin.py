@@ -59,7 +59,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def preset_pivot(spark: SparkSession, d: str) -> DataFrame:
     presets = ["amber-8b", "basalt-14b", "cobalt-24b", "dune-moe", "ember-judge", "flint-4b"]
     cards = table(spark, d, "flash_cards").select("id", "origin_id", "preset").distinct()
-    return cards.groupBy("origin_id").pivot("preset", presets).agg(F.count("id")).fillna(0)
+    return cards.groupBy("origin_id").pivot("preset", presets).agg(F.count("id")).fillna(0, presets)
 
 
 QUERIES = {f.__name__: f for f in (pricing_summary, nation_rollup, event_cube, top_orders, running_value, as_of_uploads, files_without_cards, event_windows, preset_pivot)}
