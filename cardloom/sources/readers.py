@@ -52,7 +52,7 @@ def preset_name(name: str | None) -> str:
     return re.sub(r"[^\w.-]", "", name or "")
 
 
-def load_options(folder: str, preset: str | None = None, variable: str = "LLAMA_PRESET") -> Options:
+def load_options(folder: str, preset: str | None = None, variable: str = "CARDLOOM_PRESET") -> Options:
     """Settings from ``settings.json``, then ``settings.<preset>.json`` of a folder; the later wins. The preset may
     come from an environment variable. Missing files and unknown keys are passed over."""
     options, known = Options(), {f.name for f in fields(Options)}
