@@ -15,6 +15,7 @@ or if its end is less likely than going on, by log-odds with thresholds per lang
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -289,18 +290,18 @@ def train(values: DataFrame):
     tables = summed(values.mapInPandas(_count_ends, COUNTS))
     for kind in range(2 * len(CONTEXTS) + 4):
         tables.setdefault(kind, np.zeros(TABLE, np.int64))
-    return values.sparkSession.sparkContext.broadcast({kind: pack(counts) for kind, counts in tables.items()})
+    return values.sparkSession.sparkContext.broadcast((uuid4().hex, {kind: pack(counts) for kind, counts in tables.items()}))
 
 
-_models: dict[int, EndModel] = {}
+_models: dict[str, EndModel] = {}
 
 
 def model_of(trained) -> EndModel:
-    """One model for each worker process and training."""
-    key = id(trained.value)
+    """One model for each worker process and training: workers live longer than a query."""
+    key, tables = trained.value
     if key not in _models:
         _models.clear()
-        _models[key] = EndModel({kind: unpack(packed).astype(np.int64) for kind, packed in trained.value.items()})
+        _models[key] = EndModel({kind: unpack(packed).astype(np.int64) for kind, packed in tables.items()})
     return _models[key]
 
 
