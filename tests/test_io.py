@@ -6,6 +6,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cardloom.functions import register
 from cardloom.operators.cards import parse_cards
 from cardloom.sources.readers import Options, direct_text, load_options, page_text, preset_name, queue_stream, read_files
 from cardloom.sources.sinks import append_cards, append_rows, create_tables, enqueue, export_csv, export_json
@@ -99,3 +100,11 @@ def test_status_and_rates(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 1, 1], "at": at, "n": [5, 15, 7]}))
     got = sorted((r.n_tokens, r.tokens_per_second) for r in burst_rates(df, "k", "at", "n", "1 hour").collect())
     assert got == [(7, None), (20, 2.0)]
+
+
+def test_registered_for_sql(spark):
+    register(spark)
+    spark.createDataFrame([(1, "<p>A.", "A.\n\nB.\n"), (2, None, None)], "id long, page string, t string").createOrReplaceTempView("told")
+    assert spark.sql("SELECT html_to_text(page) AS x FROM told WHERE id = 1").head().x == "\r\nA."
+    assert [tuple(r) for r in spark.sql("SELECT id, c.content, c.end_position FROM told, LATERAL chunk_text(t) c").collect()] == [(1, "A.B.", 4)]
+    assert [r.line for r in spark.sql("SELECT l.line FROM told, LATERAL text_lines(t) l ORDER BY line_no").collect()] == ["A.", "", "B."]
