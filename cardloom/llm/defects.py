@@ -98,9 +98,10 @@ def is_copy(question: str | None, answer: str) -> bool:
     """Whether the answer says nothing but the question: its words are tiles of the question, and tell most of it.
 
     Words that no tile covers are compared by their letters, so a typing error in a long word does not hide a copy.
-    Texts without blanks are tiled by characters.
+    Texts without blanks are tiled by characters. An answer may say the question any number of times: its words are
+    tiled in rounds with the question's words free again in each, while the question is covered once, in the first.
     """
-    if not question or not 0.4 * len(question) <= len(answer) <= 1.5 * len(question) + 20:
+    if not question or len(answer) < 0.4 * len(question):
         return False
     if answer.isascii() and len(given := set(answer.lower().split())) > 2 * len(given & set(question.lower().split())) + 3:
         return False
@@ -109,14 +110,17 @@ def is_copy(question: str | None, answer: str) -> bool:
         return False
     if language_of(answer)[0] == "ja":
         a, q = list("".join(a)), list("".join(q))
-    known = set(q)
-    if len(a) > 2 * len(q) + 4 or sum(w in known for w in a) < 0.6 * len(a):
+    known, said = set(q), set(a)
+    told = sum(w in known for w in a)  # tiles may be single words, so the rounds end with just these words covered
+    if told < 0.6 * len(a):
         return False
-    covered = tiled_words(a, q, 1)
-    if covered < len(a):
-        loose_a, loose_q = [w for w in a if w not in known], [w for w in q if w not in set(a)]
-        covered += sum(any(len(w) > 3 and tiled_words(list(w), list(v), 2) >= 0.7 * max(len(w), len(v)) for v in loose_q) for w in loose_a)
-    return covered >= COPY_ANSWER * len(a) and covered >= COPY_QUESTION * len(q)
+    asked = 0
+    if told < len(a):
+        loose_q = [w for w in q if w not in said]
+        like = {w: {v for v in loose_q if tiled_words(list(w), list(v), 2) >= 0.7 * max(len(w), len(v))} for w in said - known if len(w) > 3}
+        told += sum(bool(like.get(w)) for w in a)
+        asked = sum(any(v in found for found in like.values()) for v in loose_q)
+    return told >= COPY_ANSWER * len(a) and asked + tiled_words(a, q, 1) >= COPY_QUESTION * len(q)
 
 
 def is_refusal(answer: str) -> bool:

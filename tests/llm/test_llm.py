@@ -179,6 +179,15 @@ def test_copies():
     assert tiled_words(list("abcd"), list("cdab")) == 4
 
 
+def test_copies_that_repeat_the_question():
+    q = "What if the slow harbor of gliglarl fails in Staevyrnlath?"
+    for a in (f"{q} {q}", f"{q}\n{q}\n{q}", " ".join([q] * 40), f"{q} {q[:30]}", f"{q} {q.replace('Staevyrnlath', 'Staevyrnlaht')}"):
+        assert is_copy(q, a)
+    ja = "港の弁が止まるとどうなりますか？"
+    assert is_copy(ja, ja * 3)
+    assert not is_copy(q, "The " * 30) and not is_copy(q, f"{q} It floods the lower lattice until the anchor is set and the tariff is paid.")
+
+
 def test_refusals():
     for a in ("I'm sorry, but I cannot help with that.", "No flash card can be produced for x.", "Leider darf ich Fragen dazu nicht beantworten.", "Je ne peux pas répondre.", "Lo siento, pero no puedo.", "申し訳ありませんが、お答えできません。"):
         assert is_refusal(a)
