@@ -5,11 +5,15 @@ The model is trained on all values of the column. Reading backwards from a place
 * the last characters: how often does a word end after them, and how often does a phrase end there (end of text or a
   mark) rather than go on with another word;
 * the last words, where rare words count as one sign and numbers as another: how often does a value end there without
-  a closing mark, compared with how often it goes on.
-
-All counts are hashed into arrays of a fixed size, so the model does not grow with the data. A value that ends
-without a closing mark is cut off if a bracket, quotation, fence, tag or entity is open, if it ends in a joining sign,
-or if its end is less likely than going on, by log-odds with thresholds per language.
+  a closing mark, and how often does a sentence end there, compared with how often it goes on;
+* a word and the mark behind it: how often does the sentence end with the mark rather than go on.
+
+All counts are hashed into arrays of a fixed size, so the model does not grow with the data. A value is cut off if a
+bracket, quotation or fence is open. One that ends without a closing mark is cut off too if a tag or entity is open, if
+it ends in a joining sign, or if its end is less likely than going on, by log-odds with thresholds per language. One
+with a closing mark is cut off if the mark ends no sentence: behind an abbreviation that leads to more, behind the
+number of an empty list item, where by log-odds the sentence goes on after this word and its mark or after a number in
+such a place, and before an ellipsis where the word or phrase is not over.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import FUNCTION_WORDS, quick_language
@@ -30,9 +34,13 @@ from .sketches import COUNTS, chunks, pack, summed, unpack
 TABLE = 1 << 19  #: places of each hashed count
 CONTEXTS = (3, 4, 5)  #: characters before a place
 TOKENS = (2, 3, 4, 5)  #: tokens before an end; the longest context is all of the sentence so far
+KINDS = 2 * len(CONTEXTS) + 7  #: hashed counts
 EVIDENCE = 8  #: occurrences from which a context is trusted; else a shorter one is used
 #: Least log-odds of a word's end, a phrase's end and the value's end against going on, by language; else the first.
 THRESHOLDS = {"": (-3.0, -2.8, -1.4), "ja": (-20.0, -20.0, -1.4)}
+#: Least log-odds of the sentence's end at a closing mark: by the word before it, by the tokens if the last is a number.
+MARK_THRESHOLDS = (-1.4, -3.0)
+
 
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|\n|[^\s\p{L}\p{N}]")
 _CJK_TOKEN = regex.compile(r"[\p{Katakana}ー]+|[\p{Hiragana}\p{Han}]|\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|\n|[^\s\p{L}\p{N}]")
@@ -42,8 +50,17 @@ _CJK = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}]")
 #: Closing marks: a text that ends with one of these, perhaps followed by closing quotes or brackets, is whole.
 _CLOSED = r"[.!?。！？…]\"?['”’»›」』）)\]*_`]*\s*$"
 CLOSED = re.compile(_CLOSED)
+_TAIL = regex.compile(r"(?:[.!?。！？…]|\[…\]|\[\.\.\.\])[.!?。！？…\"'”’»›」』）)\]*_`\s]*$")
+#: Abbreviations that lead to what they announce, so no text ends with their full stop.
+_LEADING = regex.compile(
+    r"(?<![\p{L}\p{N}.])(?:(?i:e\.\s?g|i\.\s?e|vs|cf|viz|z\.\s?b|d\.\s?h|bzw|vgl|sog|p\.\s?ex|c\.-à-d|p\.\s?ej|resp)|(?<=[\p{L}\p{N},;:)]\s+)(?:No|Nos|Nr|Nro|Núm|Fig|Figs|Eq|Sec|Ch|Abb|Kap|Bd|Vol|pp)|Dr|Mr|Mrs|Ms|Prof|Mme|Sra)\.$"
+)
+_LAST = regex.compile(r"\p{L}[\p{L}\p{M}ー]*$")
+_ITEM = regex.compile(r"(?m:^[ \t]*\p{N}+[.)][ \t]+\S[^\n]*\n)\s*\p{N}+[.)]$")
 _JOINING = regex.compile(r"[,;:(\[{«“„「『（<=+*/&\-–—_@#$%^\\|~、]\s*$|&#?\w{1,7}$|<[^<>]*$")
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）"}
+_OPENER_OF = {closing: opener for opener, closing in OPENERS.items()}
+_STRUCTURE = re.compile("```|[\"`" + re.escape("".join([*OPENERS, *OPENERS.values()])) + "]")
 
 
 def open_structures(text: str) -> list[str]:
@@ -53,17 +70,14 @@ def open_structures(text: str) -> list[str]:
     that fits nothing open (a list label such as ``1)``, a face) is passed over.
     """
     stack: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if text.startswith("```", i):
-            if "```" in stack:
-                del stack[stack.index("```") :]
+    for m in _STRUCTURE.finditer(text):
+        c = m[0]
+        if c == "```":
+            if c in stack:
+                del stack[stack.index(c) :]
             else:
-                stack.append("```")
-            i += 3
-            continue
-        if "```" not in stack:
+                stack.append(c)
+        elif "```" not in stack:
             if c in '"`':
                 if c in stack:
                     del stack[stack.index(c) :]
@@ -73,9 +87,8 @@ def open_structures(text: str) -> list[str]:
                 stack.pop()
             elif c in OPENERS:
                 stack.append(c)
-            elif c in OPENERS.values() and (opener := next((o for o in OPENERS if OPENERS[o] == c), "")) in stack:
+            elif (opener := _OPENER_OF.get(c)) in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(opener) :]
-        i += 1
     return stack
 
 
@@ -99,7 +112,8 @@ def _rows(pdf: pd.DataFrame, rows: int = 4000):
 
 class _Signs(dict):
     """What the model sees of a token of one language: a number for the token's sign (function words and signs as they
-    are, all others by their kind), the place of a word, and whether a sentence or line ends with it.
+    are, all others by their kind), the place of a word, whether a sentence or line ends with it, and its part at the end
+    of sentences: 1 for a mark, 2 for what goes on behind one (small letters and numbers), 3 for a new line, else 0.
 
     The place is -1 for what is no word.
     """
@@ -108,7 +122,7 @@ class _Signs(dict):
         super().__init__()
         self.language, self.kept = language, _KEPT.get(language, frozenset())
 
-    def __missing__(self, token: str) -> tuple[int, int, int]:
+    def __missing__(self, token: str) -> tuple[int, int, int, int]:
         word = token[0].isalpha()
         if token[0].isnumeric():
             sign = "0"
@@ -122,7 +136,8 @@ class _Signs(dict):
             self.clear()
         number = xxhash.xxh3_64_intdigest(f"{self.language}\x1f{sign}") >> 1
         ending = 5 if token == "\n" else 7 if token in ".!?。！？" else 0
-        value = self[token] = (number, _place("word", token) if word else -1, ending if sign != "0" else -1)
+        part = 1 if token in ".!?。！？…" else 3 if token == "\n" else 2 if token[0].isnumeric() or token[0].islower() else 0
+        value = self[token] = (number, _place("word", token) if word else -1, ending if sign != "0" else -1, part)
         return value
 
 
@@ -155,10 +170,12 @@ class _Texts:
         self.chars = np.frombuffer((" " * gap).join(["", *(t + "\0" for t in texts)]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.array([len(t) for t in texts])
         self.text_ends = np.cumsum(sizes + gap + 1) - 1
-        pad = [1] * max(TOKENS)
+        pad, edge, unknown = [1] * max(TOKENS), [3] * max(TOKENS), [-1] * max(TOKENS)
         numbers: list[int] = []
         prefixes: list[int] = []
         words: list[int] = []
+        parts: list[int] = []
+        before_at: list[int] = []
         self.languages, ends, stops, last = [], [], [], []
         for text in texts:
             tokens = tokens_of(text)
@@ -166,10 +183,14 @@ class _Texts:
             signs = _signs[language]
             numbers += pad
             prefixes += pad
+            parts += edge
+            before_at += unknown
             state, after, before = 3, False, -1
             for token in tokens:
-                number, word, ending = signs[token]
+                number, word, ending, part = signs[token]
                 numbers.append(number)
+                parts.append(part)
+                before_at.append(word)
                 state = hash((state, number))
                 prefixes.append(state)
                 if word >= 0:
@@ -186,6 +207,7 @@ class _Texts:
             last.append(before)
         self.tokens = np.array(numbers + [1], np.int64).view(np.uint64)
         self.prefixes = np.array(prefixes + [1], np.int64).view(np.uint64)
+        self.parts, self.word_at = np.array(parts + [3], np.int8), np.array(before_at + [-1], np.int64)
         self.words, self.stops, self.last = (np.array(x, np.int64) for x in (words, stops, last))
         self.token_ends = np.array(ends, np.int64)
         inside = np.ones(len(self.tokens), bool)
@@ -195,6 +217,12 @@ class _Texts:
         self.after_tokens = np.flatnonzero(inside[:-1]) + 1
         self.after_letters = np.flatnonzero(letters[self.chars[:-1].astype(np.int64)]) + 1
 
+    def sentence_ends(self, at: np.ndarray) -> np.ndarray:
+        """Whether a sentence ends at each of the positions ``at``: with the value, the line, or a mark that is not
+        followed by a small letter or a number."""
+        part, following = self.parts[at], self.parts[np.minimum(at + 1, len(self.parts) - 1)]
+        return (part == 3) | (part == 1) & (following != 2)
+
     def contexts(self, at: np.ndarray) -> list[np.ndarray]:
         """The places of the token contexts before each of the positions ``at``, the longest last."""
         return [*_backward(self.tokens, TOKENS, at), (_mix(self.prefixes[at - 1]) % np.uint64(TABLE)).astype(np.int64)]
@@ -210,10 +238,11 @@ def _letters() -> np.ndarray:
 
 
 def _count_ends(batches):
-    """Per character context all and word ends; per word all and phrase ends; per token context all and value ends."""
+    """Per character context all and word ends; per word all and phrase ends; per token context all and value ends;
+    per token context sentence ends; per word all marks behind it and those that end the sentence."""
 
     letters = _letters()
-    tables = np.zeros((2 * len(CONTEXTS) + 4, TABLE), np.int64)
+    tables = np.zeros((KINDS, TABLE), np.int64)
     for pdf in batches:
         for texts in _rows(pdf):
             t = _Texts(texts, letters)
@@ -224,8 +253,13 @@ def _count_ends(batches):
             base = 2 * len(CONTEXTS)
             tables[base] += np.bincount(t.words, minlength=TABLE)
             tables[base + 1] += np.bincount(t.stops, minlength=TABLE)
+            over = t.sentence_ends(t.after_tokens)
             for places in t.contexts(t.after_tokens):
                 tables[base + 2] += np.bincount(places, minlength=TABLE)
+                tables[base + 4] += np.bincount(places[over], minlength=TABLE)
+            marked = (t.word_at[t.after_tokens - 1] >= 0) & (t.parts[t.after_tokens] == 1)
+            for kind, chosen in ((base + 5, marked), (base + 6, marked & over)):
+                tables[kind] += np.bincount(t.word_at[t.after_tokens[chosen] - 1], minlength=TABLE)
             ends = t.token_ends[[not closed(x) for x in texts]]
             for places in t.contexts(ends):
                 tables[base + 3] += np.bincount(places, minlength=TABLE)
@@ -244,19 +278,25 @@ class EndModel:
         self.tables = tables
 
     def odds(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
-        """Per text the log-odds of a word end, a phrase end and a value end at its end, and its language.
+        """Per text the log-odds of a word end, a phrase end, a value end and a sentence end at its end, and its language.
 
         The longest context with evidence decides; the text itself is left out of the counts.
         """
         t = _Texts(texts, _letters())
-        out = np.zeros((len(texts), 3))
+        out = np.zeros((len(texts), 4))
         self._longest(out[:, 0], _backward(t.chars, CONTEXTS, t.text_ends), [(2 * k, 2 * k + 1) for k in range(len(CONTEXTS))])
         base = 2 * len(CONTEXTS)
-        every = self.tables[base][t.last] - 1
-        out[:, 1] = np.where((t.last >= 0) & (every >= EVIDENCE), _odds(self.tables[base + 1][t.last] - 1, every), 0)
-        self._longest(out[:, 2], t.contexts(t.token_ends), [(base + 2, base + 3)] * (len(TOKENS) + 1))
+        out[:, 1] = self._of_words(t.last, base)
+        contexts = t.contexts(t.token_ends)
+        self._longest(out[:, 2], contexts, [(base + 2, base + 3)] * (len(TOKENS) + 1))
+        self._longest(out[:, 3], contexts, [(base + 2, base + 4)] * (len(TOKENS) + 1))
         return out, t.languages
 
+    def _of_words(self, places: np.ndarray, kind: int) -> np.ndarray:
+        """The log-odds of words (-1: none) by two tables from ``kind`` on; 0 without evidence."""
+        every = self.tables[kind][places] - 1
+        return np.where((places >= 0) & (every >= EVIDENCE), _odds(self.tables[kind + 1][places] - 1, every), 0)
+
     def _longest(self, out: np.ndarray, places: list[np.ndarray], kinds: list[tuple[int, int]]) -> None:
         for k, (at, (every, yes)) in enumerate(zip(places, kinds)):
             n = self.tables[every][at] - 1
@@ -264,23 +304,46 @@ class EndModel:
             out[use] = _odds(self.tables[yes][at] - 1, n)[use]
 
     def cut_off(self, texts: list[str]) -> list[bool]:
-        judged = []
-        for text in texts:
+        judged: list[bool | None] = []
+        rest, bodies, forms = [], [], []  # what the texts' ends are judged by: 0 all, 1 before an ellipsis, 2 number and mark
+        marked, words = [], []
+        for i, text in enumerate(texts):
             body = text.rstrip()
-            if not body or closed(body):
+            if not body:
                 judged.append(False)
-            else:
-                # a replacement character at the end is a character that was cut in its bytes
-                judged.append(True if body[-1] == "\ufffd" or _JOINING.search(body) or open_structures(body) else None)
-        rest = [i for i, x in enumerate(judged) if x is None]
+                continue
+            form, whole = 0, closed(body)
+            # a replacement character at the end is a character that was cut in its bytes
+            cut = open_structures(body) or (_LEADING.search(body) or _ITEM.search(body) if whole else body[-1] == "\ufffd" or _JOINING.search(body))
+            judged.append(bool(cut))
+            if cut:
+                continue
+            if whole:
+                tail = _TAIL.search(body, max(0, len(body) - 40))
+                body = body[: tail.start()].rstrip()
+                if not body:
+                    continue
+                form = 1 if tail[0].startswith(("…", "...", "[")) else 2 if body[-1].isnumeric() else 3
+                if form == 3:
+                    if word := _LAST.search(body, max(0, len(body) - 80)):
+                        marked.append(i)
+                        words.append(_place("word", tokens_of(word[0])[-1]))
+                    continue
+            rest.append(i)
+            bodies.append(body)
+            forms.append(form)
+        for i, x in zip(marked, self._of_words(np.array(words, np.int64), 2 * len(CONTEXTS) + 5) < MARK_THRESHOLDS[0]):
+            judged[i] = bool(x)
         if rest:
-            odds, languages = self.odds([texts[i] for i in rest])
-            marked = np.array([not texts[i].rstrip()[-1].isalnum() for i in rest])
-            odds[marked, :2] = 0  # after a sign only the value's end is in question
+            odds, languages = self.odds(bodies)
+            form = np.array(forms)
+            odds[np.array([not x[-1].isalnum() for x in bodies]), :2] = 0  # after a sign only the value's end is in question
             low = np.array([THRESHOLDS.get(x, THRESHOLDS[""]) for x in languages])
-            # a likely end of the value speaks for the word it ends with
-            odds[:, :2] += np.maximum(odds[:, 2:], 0) * 0.3
-            for i, x in zip(rest, (odds < low).any(axis=1)):
+            # a likely end of the value, or of the sentence before a mark, speaks for the word it ends with
+            odds[:, :2] += np.maximum(np.where(form == 0, odds[:, 2], odds[:, 3]), 0)[:, None] * 0.3
+            inside = (odds[:, :2] < low[:, :2]).any(axis=1)
+            short = np.where(form == 2, odds[:, 3] < MARK_THRESHOLDS[1], inside | (form == 0) & (odds[:, 2] < low[:, 2]))
+            for i, x in zip(rest, short):
                 judged[i] = bool(x)
         return judged
 
@@ -288,7 +351,7 @@ class EndModel:
 def train(values: DataFrame):
     """The model of a column ``text`` of non-null values: broadcast counts of fixed size."""
     tables = summed(values.mapInPandas(_count_ends, COUNTS))
-    for kind in range(2 * len(CONTEXTS) + 4):
+    for kind in range(KINDS):
         tables.setdefault(kind, np.zeros(TABLE, np.int64))
     return values.sparkSession.sparkContext.broadcast((uuid4().hex, {kind: pack(counts) for kind, counts in tables.items()}))
 
@@ -307,8 +370,3 @@ def model_of(trained) -> EndModel:
 
 def training_values(records: DataFrame, column: str) -> DataFrame:
     return records.where(F.trim(column) != "").select(F.col(column).alias("text"))
-
-
-def unclosed(column: Column) -> Column:
-    """Whether a value ends without a closing mark; all others are whole and need no Python."""
-    return ~column.rlike(_CLOSED)

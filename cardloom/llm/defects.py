@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cutoff import model_of, train, training_values, unclosed
+from .cutoff import model_of, train, training_values
 from .language import NAMES, language_of, quick_language
 
 #: What stands for an answer that is not there, in lower case and without signs.
@@ -187,10 +187,7 @@ def defects(cards: DataFrame) -> DataFrame:
 
 
 def truncated(cards: DataFrame, kept: list[str] | None = None) -> DataFrame:
-    """The cards whose answer stops before its end: ``id`` and the ``kept`` columns.
-
-    Answers with a closing mark at their end are whole and never leave the JVM.
-    """
+    """The cards whose answer stops before its end: ``id`` and the ``kept`` columns. All but blank answers are judged."""
     kept = kept or []
     trained = train(training_values(cards, "answer"))
 
@@ -198,12 +195,12 @@ def truncated(cards: DataFrame, kept: list[str] | None = None) -> DataFrame:
         model = model_of(trained)
         for pdf in batches:
             cut = model.cut_off([a or "" for a in pdf["answer"]])
-            keep = [defect_of(q, a, c) == "truncated" for q, a, c in zip(pdf["question"], pdf["answer"], cut)]
+            keep = [c and defect_of(q, a, c) == "truncated" for q, a, c in zip(pdf["question"], pdf["answer"], cut)]
             yield pdf.loc[keep, ["id", *kept]]
 
-    open_ended = cards.where(F.col("id").isNotNull() & (F.trim("answer") != "") & unclosed(F.col("answer"))).select("id", "question", "answer", *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_ended.schema.fields if f.name in ("id", *kept))
-    return open_ended.mapInPandas(run, schema).distinct()
+    answered = cards.where(F.col("id").isNotNull() & (F.trim("answer") != "")).select("id", "question", "answer", *kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in answered.schema.fields if f.name in ("id", *kept))
+    return answered.mapInPandas(run, schema).distinct()
 
 
 def cut_share(cards: DataFrame, by: str) -> DataFrame:

@@ -234,6 +234,16 @@ def test_truncation_on_held_out_answers(spark):
     assert defect_of("q", "x y z", True) == "truncated"
 
 
+def test_marks_that_end_no_sentence(spark):
+    whole, _ = answers(random.Random(9))
+    whole = [a for a in whole if a.endswith(".")] + [f"The {a} holds at {i % 40}.{i % 9} volts." for i, a in enumerate(WORDS * 5)] + [f"The step (approx. {i % 7} turns) closes the {a}." for i, a in enumerate(WORDS * 3)]
+    cut = ["The beacon is cold. It is listed under No.", "Compare the quest vs.", "It holds for several cases, e.g.", "1. the vault\n2. the quest\n3.", "The vault (see the quest.", 'He said "the vault is cold.', "The beacon holds at 33.", "The step closes approx.", "The canvas guards the latt…"]
+    fine = ["The answer is no.", "No.", "The vault, the quest, and so on…", "1. the vault\n2. the quest.", "It guards the vault (and the quest, etc.)", "..."]
+    df = spark.createDataFrame([(i, "What of it?", a, "p") for i, a in enumerate(cut + fine + whole)], "id long, question string, answer string, preset string")
+    assert {r.id for r in truncated(df).collect()} == set(range(len(cut)))
+    assert {r.id for r in defects(df).collect() if r.defect == "truncated"} == set(range(len(cut)))
+
+
 # --- near copies ---
 
 
