@@ -8,7 +8,9 @@ The model is trained on all values of the column. Reading backwards from a place
   a closing mark, and how often does a sentence end there, compared with how often it goes on;
 * a word and the mark behind it: how often does the sentence end with the mark rather than go on.
 
-All counts are hashed into arrays of a fixed size, so the model does not grow with the data. A value is cut off if a
+Counts are exact: every context has a key of its own (64 bits), partial counts are summed by key in a shuffle, and only
+contexts that can be trusted (and all of the shortest) are sent to the workers, so a rare context is backed off from at
+every size of the input. What is sent grows with the number of contexts that occur often. A value is cut off if a
 bracket, quotation or fence is open. One that ends without a closing mark is cut off too if a tag or entity is open, if
 it ends in a joining sign, or if its end is less likely than going on, by log-odds with thresholds per language. One
 with a closing mark is cut off if the mark ends no sentence: behind an abbreviation that leads to more, behind the
@@ -19,6 +21,7 @@ such a place, and before an ellipsis where the word or phrase is not over.
 from __future__ import annotations
 
 import re
+import zlib
 from uuid import uuid4
 
 import numpy as np
@@ -29,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import FUNCTION_WORDS, quick_language
-from .sketches import COUNTS, chunks, pack, summed, unpack
 
-TABLE = 1 << 19  #: places of each hashed count
 CONTEXTS = (3, 4, 5)  #: characters before a place
 TOKENS = (2, 3, 4, 5)  #: tokens before an end; the longest context is all of the sentence so far
-KINDS = 2 * len(CONTEXTS) + 7  #: hashed counts
 EVIDENCE = 8  #: occurrences from which a context is trusted; else a shorter one is used
+#: Kinds of counts: of character contexts, words, token contexts and words before a mark.
+_CHARS, _WORD, _CONTEXT, _MARKED = 0, len(CONTEXTS), len(CONTEXTS) + 1, len(CONTEXTS) + len(TOKENS) + 2
+_SHORTEST = (_CHARS, _CONTEXT)  #: used even without evidence
+COUNTED = "kind int, key long, n long, yes long, over long"
+BLOCK = 6_000_000  #: keys that a task collects before it counts them
 #: Least log-odds of a word's end, a phrase's end and the value's end against going on, by language; else the first.
 THRESHOLDS = {"": (-3.0, -2.8, -1.4), "ja": (-20.0, -20.0, -1.4)}
 #: Least log-odds of the sentence's end at a closing mark: by the word before it, by the tokens if the last is a number.
@@ -102,7 +107,7 @@ def tokens_of(text: str) -> list[str]:
 
 
 def _place(language: str, token: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{language}\x1f{token}") % TABLE
+    return xxhash.xxh3_64_intdigest(f"{language}\x1f{token}") >> 1
 
 
 def _rows(pdf: pd.DataFrame, rows: int = 4000):
@@ -112,10 +117,10 @@ def _rows(pdf: pd.DataFrame, rows: int = 4000):
 
 class _Signs(dict):
     """What the model sees of a token of one language: a number for the token's sign (function words and signs as they
-    are, all others by their kind), the place of a word, whether a sentence or line ends with it, and its part at the end
+    are, all others by their kind), the key of a word, whether a sentence or line ends with it, and its part at the end
     of sentences: 1 for a mark, 2 for what goes on behind one (small letters and numbers), 3 for a new line, else 0.
 
-    The place is -1 for what is no word.
+    The key is -1 for what is no word.
     """
 
     def __init__(self, language: str):
@@ -136,7 +141,7 @@ class _Signs(dict):
             self.clear()
         number = xxhash.xxh3_64_intdigest(f"{self.language}\x1f{sign}") >> 1
         ending = 5 if token == "\n" else 7 if token in ".!?。！？" else 0
-        part = 1 if token in ".!?。！？…" else 3 if token == "\n" else 2 if token[0].isnumeric() or token[0].islower() else 0
+        part = 1 if token in ".!?。！？…" else 3 if token == "\n" else 2 if token[0].isnumeric() or word and token[0].islower() else 0
         value = self[token] = (number, _place("word", token) if word else -1, ending if sign != "0" else -1, part)
         return value
 
@@ -151,13 +156,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _backward(codes: np.ndarray, lengths: tuple[int, ...], at: np.ndarray) -> list[np.ndarray]:
-    """For each length the place of the codes that lie before each of the positions ``at``."""
+    """For each length the key of the codes that lie before each of the positions ``at``."""
     out, h, done = [], np.zeros(len(at), np.uint64), 0
     for k in lengths:
         for step in range(done + 1, k + 1):
             h = _mix(h + codes[at - step] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step))
         done = k
-        out.append((h % np.uint64(TABLE)).astype(np.int64))
+        out.append(h.view(np.int64))
     return out
 
 
@@ -173,10 +178,9 @@ class _Texts:
         pad, edge, unknown = [1] * max(TOKENS), [3] * max(TOKENS), [-1] * max(TOKENS)
         numbers: list[int] = []
         prefixes: list[int] = []
-        words: list[int] = []
         parts: list[int] = []
         before_at: list[int] = []
-        self.languages, ends, stops, last = [], [], [], []
+        self.languages, ends = [], []
         for text in texts:
             tokens = tokens_of(text)
             language = quick_language(text, tokens)
@@ -185,7 +189,7 @@ class _Texts:
             prefixes += pad
             parts += edge
             before_at += unknown
-            state, after, before = 3, False, -1
+            state, after = 3, False
             for token in tokens:
                 number, word, ending, part = signs[token]
                 numbers.append(number)
@@ -193,23 +197,18 @@ class _Texts:
                 before_at.append(word)
                 state = hash((state, number))
                 prefixes.append(state)
-                if word >= 0:
-                    words.append(word)
-                elif before >= 0 and ending >= 0:  # a mark behind a word
-                    stops.append(before)
                 if ending > 0 and (ending == 5 or not after):
                     state = ending
-                after, before = ending < 0, word
-            if before >= 0:
-                stops.append(before)
+                after = ending < 0
             ends.append(len(numbers))
             self.languages.append(language)
-            last.append(before)
         self.tokens = np.array(numbers + [1], np.int64).view(np.uint64)
         self.prefixes = np.array(prefixes + [1], np.int64).view(np.uint64)
         self.parts, self.word_at = np.array(parts + [3], np.int8), np.array(before_at + [-1], np.int64)
-        self.words, self.stops, self.last = (np.array(x, np.int64) for x in (words, stops, last))
         self.token_ends = np.array(ends, np.int64)
+        self.last, self.words = self.word_at[self.token_ends - 1], self.word_at[self.word_at >= 0]
+        # a word stops where a sign or the end follows
+        self.stops = self.word_at[:-1][(self.word_at[:-1] >= 0) & (self.word_at[1:] < 0) & (self.parts[1:] != 2)]
         inside = np.ones(len(self.tokens), bool)
         starts = np.concatenate(([0], self.token_ends[:-1]))
         for j in range(max(TOKENS)):
@@ -224,8 +223,8 @@ class _Texts:
         return (part == 3) | (part == 1) & (following != 2)
 
     def contexts(self, at: np.ndarray) -> list[np.ndarray]:
-        """The places of the token contexts before each of the positions ``at``, the longest last."""
-        return [*_backward(self.tokens, TOKENS, at), (_mix(self.prefixes[at - 1]) % np.uint64(TABLE)).astype(np.int64)]
+        """The keys of the token contexts before each of the positions ``at``, the longest last."""
+        return [*_backward(self.tokens, TOKENS, at), _mix(self.prefixes[at - 1]).view(np.int64)]
 
 
 _LETTERS = np.zeros(0x110000, bool)
@@ -237,34 +236,66 @@ def _letters() -> np.ndarray:
     return _LETTERS
 
 
+def _told(kind: int, n: list[np.ndarray], yes: list[np.ndarray], over: list[np.ndarray]) -> pd.DataFrame:
+    """Keys with their counts as rows of COUNTED; the keys of ``yes`` and ``over`` are among those of ``n``."""
+    keys, count = np.unique(np.concatenate(n), return_counts=True)
+    out = {"kind": np.full(len(keys), kind, np.int32), "key": keys, "n": count}
+    for name, some in (("yes", yes), ("over", over)):
+        found, times = np.unique(np.concatenate(some), return_counts=True)
+        out[name] = np.zeros(len(keys), np.int64)
+        out[name][np.searchsorted(keys, found)] = times
+    return pd.DataFrame(out)
+
+
 def _count_ends(batches):
-    """Per character context all and word ends; per word all and phrase ends; per token context all and value ends;
-    per token context sentence ends; per word all marks behind it and those that end the sentence."""
+    """Per character context all and word ends; per word all and phrase ends; per token context all, value ends and
+    sentence ends; per word all marks behind it and those that end the sentence."""
+    letters, none = _letters(), np.zeros(0, np.int64)
+    kept: dict[int, tuple[list, list, list]] = {}
+    size = 0
+
+    def keep(kind: int, n: np.ndarray, yes: np.ndarray, over: np.ndarray = none) -> int:
+        for to, keys in zip(kept.setdefault(kind, ([], [], [])), (n, yes, over)):
+            to.append(keys)
+        return len(n)
 
-    letters = _letters()
-    tables = np.zeros((KINDS, TABLE), np.int64)
     for pdf in batches:
         for texts in _rows(pdf):
             t = _Texts(texts, letters)
             word_end = ~letters[t.chars[t.after_letters].astype(np.int64)]
-            for k, places in enumerate(_backward(t.chars, CONTEXTS, t.after_letters)):
-                tables[2 * k] += np.bincount(places, minlength=TABLE)
-                tables[2 * k + 1] += np.bincount(places[word_end], minlength=TABLE)
-            base = 2 * len(CONTEXTS)
-            tables[base] += np.bincount(t.words, minlength=TABLE)
-            tables[base + 1] += np.bincount(t.stops, minlength=TABLE)
+            for k, keys in enumerate(_backward(t.chars, CONTEXTS, t.after_letters)):
+                size += keep(_CHARS + k, keys, keys[word_end])
+            size += keep(_WORD, t.words, t.stops)
             over = t.sentence_ends(t.after_tokens)
-            for places in t.contexts(t.after_tokens):
-                tables[base + 2] += np.bincount(places, minlength=TABLE)
-                tables[base + 4] += np.bincount(places[over], minlength=TABLE)
-            marked = (t.word_at[t.after_tokens - 1] >= 0) & (t.parts[t.after_tokens] == 1)
-            for kind, chosen in ((base + 5, marked), (base + 6, marked & over)):
-                tables[kind] += np.bincount(t.word_at[t.after_tokens[chosen] - 1], minlength=TABLE)
-            ends = t.token_ends[[not closed(x) for x in texts]]
-            for places in t.contexts(ends):
-                tables[base + 3] += np.bincount(places, minlength=TABLE)
-    for kind, counts in enumerate(tables):
-        yield chunks(counts, kind)
+            ended = np.zeros(len(t.tokens), bool)
+            ended[t.token_ends[[not closed(x) for x in texts]]] = True
+            ends = ended[t.after_tokens]
+            for k, keys in enumerate(t.contexts(t.after_tokens)):
+                size += keep(_CONTEXT + k, keys, keys[ends], keys[over])
+            words = t.word_at[t.after_tokens - 1]
+            marked = (words >= 0) & (t.parts[t.after_tokens] == 1)
+            size += keep(_MARKED, words[marked], words[marked & over])
+            if size > BLOCK:
+                for kind, lists in kept.items():
+                    yield _told(kind, *lists)
+                kept.clear()
+                size = 0
+    for kind, lists in kept.items():
+        yield _told(kind, *lists)
+
+
+def _packed(batches):
+    """Counts of one partition as few rows."""
+    parts = list(batches)
+    rows = pd.concat(parts) if parts else pd.DataFrame(columns=["kind", "key", "n", "yes", "over"])
+    for kind, of in rows.groupby("kind"):
+        told = of[["key", "n", "yes", "over"]].to_numpy(np.int64)
+        yield pd.DataFrame({"kind": [int(kind)], "counts": [told.tobytes()]})
+
+
+def _sorted(blobs: list[bytes]) -> bytes:
+    told = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in blobs])
+    return zlib.compress(np.ascontiguousarray(told[np.argsort(told[:, 0])].T).tobytes(), 1)
 
 
 def _odds(yes: np.ndarray, every: np.ndarray) -> np.ndarray:
@@ -275,7 +306,16 @@ class EndModel:
     """Judges values by the counts."""
 
     def __init__(self, tables: dict[int, np.ndarray]):
-        self.tables = tables
+        self.tables = tables  #: by kind: sorted keys and their three counts
+
+    def counts(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The counts of the keys without the text that asks; below 0 where there are none."""
+        if kind not in self.tables:
+            return (np.full(len(keys), -1),) * 3
+        known, *counts = self.tables[kind]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return tuple(np.where(hit, x[at], 0) - 1 for x in counts)
 
     def odds(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """Per text the log-odds of a word end, a phrase end, a value end and a sentence end at its end, and its language.
@@ -284,24 +324,23 @@ class EndModel:
         """
         t = _Texts(texts, _letters())
         out = np.zeros((len(texts), 4))
-        self._longest(out[:, 0], _backward(t.chars, CONTEXTS, t.text_ends), [(2 * k, 2 * k + 1) for k in range(len(CONTEXTS))])
-        base = 2 * len(CONTEXTS)
-        out[:, 1] = self._of_words(t.last, base)
-        contexts = t.contexts(t.token_ends)
-        self._longest(out[:, 2], contexts, [(base + 2, base + 3)] * (len(TOKENS) + 1))
-        self._longest(out[:, 3], contexts, [(base + 2, base + 4)] * (len(TOKENS) + 1))
+        self._longest(out[:, :1], _backward(t.chars, CONTEXTS, t.text_ends), _CHARS)
+        out[:, 1] = self._of_words(t.last, _WORD)
+        self._longest(out[:, 2:], t.contexts(t.token_ends), _CONTEXT)
         return out, t.languages
 
-    def _of_words(self, places: np.ndarray, kind: int) -> np.ndarray:
-        """The log-odds of words (-1: none) by two tables from ``kind`` on; 0 without evidence."""
-        every = self.tables[kind][places] - 1
-        return np.where((places >= 0) & (every >= EVIDENCE), _odds(self.tables[kind + 1][places] - 1, every), 0)
+    def _of_words(self, words: np.ndarray, kind: int) -> np.ndarray:
+        """The log-odds of words (-1: none); 0 without evidence."""
+        n, yes, _ = self.counts(kind, words)
+        return np.where((words >= 0) & (n >= EVIDENCE), _odds(yes, n), 0)
 
-    def _longest(self, out: np.ndarray, places: list[np.ndarray], kinds: list[tuple[int, int]]) -> None:
-        for k, (at, (every, yes)) in enumerate(zip(places, kinds)):
-            n = self.tables[every][at] - 1
-            use = n >= EVIDENCE if k else np.ones(len(at), bool)
-            out[use] = _odds(self.tables[yes][at] - 1, n)[use]
+    def _longest(self, out: np.ndarray, contexts: list[np.ndarray], kind: int) -> None:
+        """One column for each of the counts."""
+        for k, keys in enumerate(contexts):
+            n, *some = self.counts(kind + k, keys)
+            use = n >= EVIDENCE if k else np.ones(len(keys), bool)
+            for column, yes in zip(range(out.shape[1]), some):
+                out[use, column] = _odds(yes, n)[use]
 
     def cut_off(self, texts: list[str]) -> list[bool]:
         judged: list[bool | None] = []
@@ -332,7 +371,7 @@ class EndModel:
             rest.append(i)
             bodies.append(body)
             forms.append(form)
-        for i, x in zip(marked, self._of_words(np.array(words, np.int64), 2 * len(CONTEXTS) + 5) < MARK_THRESHOLDS[0]):
+        for i, x in zip(marked, self._of_words(np.array(words, np.int64), _MARKED) < MARK_THRESHOLDS[0]):
             judged[i] = bool(x)
         if rest:
             odds, languages = self.odds(bodies)
@@ -349,11 +388,14 @@ class EndModel:
 
 
 def train(values: DataFrame):
-    """The model of a column ``text`` of non-null values: broadcast counts of fixed size."""
-    tables = summed(values.mapInPandas(_count_ends, COUNTS))
-    for kind in range(KINDS):
-        tables.setdefault(kind, np.zeros(TABLE, np.int64))
-    return values.sparkSession.sparkContext.broadcast((uuid4().hex, {kind: pack(counts) for kind, counts in tables.items()}))
+    """The model of a column ``text`` of non-null values: broadcast counts of the contexts that decide."""
+    counted = values.mapInPandas(_count_ends, COUNTED).groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "yes", "over")))
+    # a context's own text is left out, so fewer occurrences are never asked for
+    trusted = counted.where(F.col("kind").isin(*_SHORTEST) | (F.col("n") > EVIDENCE))
+    blobs: dict[int, list[bytes]] = {}
+    for r in trusted.mapInPandas(_packed, "kind int, counts binary").collect():
+        blobs.setdefault(r.kind, []).append(r.counts)
+    return values.sparkSession.sparkContext.broadcast((uuid4().hex, {kind: _sorted(of) for kind, of in blobs.items()}))
 
 
 _models: dict[str, EndModel] = {}
@@ -364,7 +406,7 @@ def model_of(trained) -> EndModel:
     key, tables = trained.value
     if key not in _models:
         _models.clear()
-        _models[key] = EndModel({kind: unpack(packed).astype(np.int64) for kind, packed in tables.items()})
+        _models[key] = EndModel({kind: np.frombuffer(zlib.decompress(packed), np.int64).reshape(4, -1) for kind, packed in tables.items()})
     return _models[key]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cutoff import model_of, train, training_values
-from .language import NAMES, language_of, quick_language
+from .language import NAMES, is_japanese, language_of, quick_language
 
 #: What stands for an answer that is not there, in lower case and without signs.
 PLACEHOLDERS = frozenset("a answer antwort respuesta réponse q none null nil nan na n/a tbd tba todo empty blank undefined unknown missing placeholder no answer not available not applicable keine antwort sin respuesta sans réponse 回答 答え なし 未定".split()) | {
@@ -108,7 +108,7 @@ def is_copy(question: str | None, answer: str) -> bool:
     a, q = (_WORDS.findall(_LABEL.sub("", t or "").lower()) for t in (answer, question))
     if not a or not q:
         return False
-    if language_of(answer)[0] == "ja":
+    if is_japanese(answer):
         a, q = list("".join(a)), list("".join(q))
     known, said = set(q), set(a)
     told = sum(w in known for w in a)  # tiles may be single words, so the rounds end with just these words covered

@@ -40,6 +40,11 @@ def scores(words: Iterable[str]) -> dict[str, float]:
     return out
 
 
+def is_japanese(text: str) -> bool:
+    """Whether ``language_of`` would say so; it counts no words."""
+    return not text.isascii() and len(_KANA.findall(text)) * 3 > len(text.strip())
+
+
 def language_of(text: str, words: list[str] | None = None) -> tuple[str, float]:
     """The likeliest language ("" if nothing tells) and by how many function words it leads the next one."""
     if not text.isascii() and (n := len(_KANA.findall(text))) * 3 > len(text.strip()):

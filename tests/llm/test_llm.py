@@ -10,7 +10,8 @@ import pytest
 pytest.importorskip("cardloom.llm")
 
 from cardloom.llm.bpe import PATTERN, TOKENIZERS, Encoder, encode_column, vocabulary  # noqa: E402
-from cardloom.llm.cutoff import open_structures  # noqa: E402
+from cardloom.llm import cutoff  # noqa: E402
+from cardloom.llm.cutoff import model_of, open_structures, train  # noqa: E402
 from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled_words, truncated  # noqa: E402
 from cardloom.llm.fmindex import FMIndex  # noqa: E402
 from cardloom.llm.language import language_of  # noqa: E402
@@ -244,6 +245,19 @@ def test_marks_that_end_no_sentence(spark):
     assert {r.id for r in defects(df).collect() if r.defect == "truncated"} == set(range(len(cut)))
 
 
+def test_rare_contexts_find_no_strangers_counts(spark):
+    """Many distinct words leave the counts of a word that occurs once where they are: at one."""
+    texts = [" ".join(f"{a}{b}{chr(97 + i % 26)}" for a in WORDS for b in ("al", "eg", "is", chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26))) + "." for i in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts + ["zyxwv"]], "text string")
+    model = model_of(train(df))
+    one = np.array([cutoff._place("word", "zyxwv")] + [cutoff._place("word", f"unseen{i}") for i in range(20_000)])
+    assert (model.counts(cutoff._WORD, one)[0] < 0).all()  # of one occurrence none is left without its own text
+    counted = Counter(w for t in texts for w in re.findall(r"\w+", t))
+    often = [w for w, n in counted.items() if n > cutoff.EVIDENCE]
+    assert often and model.counts(cutoff._WORD, np.array([cutoff._place("word", w) for w in often]))[0].tolist() == [counted[w] - 1 for w in often]
+    assert len(model.tables[cutoff._WORD][0]) == len(often)
+
+
 # --- near copies ---
 
 
