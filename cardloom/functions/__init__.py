@@ -27,11 +27,22 @@ class _SplitLines:
             yield n, line
 
 
+class _ParseCards:
+    """Rows of the cards in one response."""
+
+    def eval(self, text: str):
+        from ..operators.cards import parse_response
+
+        for n, (question, answer) in enumerate(parse_response(text)):
+            yield n, question, answer
+
+
 def register(spark: SparkSession) -> None:
-    """Makes ``html_to_text(text)`` and, for use with LATERAL, the table functions ``chunk_text(text)`` and
-    ``text_lines(text)`` known to SQL."""
+    """Makes ``html_to_text(text)`` and, for use with LATERAL, the table functions ``chunk_text(text)``,
+    ``text_lines(text)`` and ``parse_cards(text)`` known to SQL."""
     from ..operators.html import html_to_text
 
     spark.udf.register("html_to_text", html_to_text)
     spark.udtf.register("chunk_text", udtf(_ChunkText, returnType="chunk_no int, content string, start_position int, end_position int"))
     spark.udtf.register("text_lines", udtf(_SplitLines, returnType="line_no int, line string"))
+    spark.udtf.register("parse_cards", udtf(_ParseCards, returnType="card_no int, question string, answer string"))

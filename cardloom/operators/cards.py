@@ -13,7 +13,11 @@ THINK_END = "</think>"
 #: Fixed values of the chat template: what stands before and after a message of each role.
 TEMPLATES = {
     "mistral": {"bos": "<s>", "system": ("[SYSTEM_PROMPT]", "[/SYSTEM_PROMPT]"), "user": ("[INST]", "[/INST]"), "assistant": ("", "</s>")},
+    "chatml": {"bos": "", "system": ("<|im_start|>system\n", "<|im_end|>\n"), "user": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"), "assistant": ("", "<|im_end|>\n")},
 }
+#: Which template a model gets: the first whose part its name contains, else the generic one.
+TEMPLATE_OF = (("Mistral-Small-3.2-24B-Instruct-2506", "mistral"),)
+GENERIC = "chatml"
 CONTEXT_PREFIX, CONTEXT_SUFFIX = "# Context\n", "\n\n"
 
 
@@ -38,6 +42,21 @@ def parse_cards(responses: DataFrame, text: str, keys: list[str], strict: bool =
     return cards.select(*keys, F.col("__no").alias("card_no"), side(F.get("__halves", F.lit(0)), "Q").alias("question"), side(F.get("__halves", F.lit(1)), "A").alias("answer"))
 
 
+def parse_response(text: str | None) -> list[tuple[str, str]]:
+    """The cards of one response, as ``parse_cards`` finds them; for the table function of SQL users."""
+    body = (text or "").partition(THINK_END)[2] if THINK_END in (text or "") else text or ""
+    cards: list[list[list[str]]] = []
+    for line in body.split("\n"):
+        start = line.lstrip()
+        if start.startswith("Q:"):
+            cards.append([[line], []])
+        elif cards and (cards[-1][1] or start.startswith("A:")):
+            cards[-1][1].append(line)
+        elif cards:
+            cards[-1][0].append(line)
+    return [("\n".join(q).lstrip("Q:").strip(), "\n".join(a).lstrip("A:").strip()) for q, a in cards if a]
+
+
 def message(role: str, body: Column, before: bool = True, after: bool = True, template: str = "mistral") -> Column:
     """One message in a chat template; an unknown role is an error."""
     marks = TEMPLATES[template].get(role.lower())
@@ -59,6 +78,23 @@ def prompts(chunks: DataFrame, instruction: str, template: str = "mistral", pref
     return chunks.withColumn("prompt", F.concat(system, F.when(held, context).otherwise(without), message("user", F.coalesce("content", F.lit("")), before=False, template=template)))
 
 
+def template_of(model: Column, rules: tuple[tuple[str, str], ...] = TEMPLATE_OF) -> Column:
+    """The template's name for a model's name; the generic one for null and unknown names."""
+    chosen = F.when(F.lit(False), "")
+    for part, name in rules:
+        chosen = chosen.when(F.contains(model, F.lit(part)), name)
+    return chosen.otherwise(GENERIC)
+
+
+def wrapped(role: Column, body: Column, template: Column, before: bool = True, after: bool = True) -> Column:
+    """A message in the template named by a column: what stands before it, the message, what stands after it."""
+    said = F.when(F.lit(False), "")
+    for name, marks in TEMPLATES.items():
+        for of, (head, tail) in ((k, v) for k, v in marks.items() if k != "bos"):
+            said = said.when((template == name) & (F.lower(role) == of), F.concat(F.lit(head if before else ""), body, F.lit(tail if after else "")))
+    return said.otherwise(F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(role, F.lit("null")))))
+
+
 def conversation(turns: DataFrame, key: str, order: str, role: str, text: str, template: str = "mistral") -> DataFrame:
     """``key``, ``prompt``: all turns of a conversation in order. An unknown role raises an error when it is met."""
     marks = TEMPLATES[template]
@@ -92,11 +128,27 @@ def by_context(chunks: DataFrame, buckets: int = 32) -> DataFrame:
     return arranged.sortWithinPartitions("__context").drop("__context")
 
 
+def progress_status(n_tokens: Column, used: Column, context: int, completed: Column) -> Column:
+    """What an item in work shows: its tokens and how many it may have, that is the context without what all others use."""
+    room = F.lit(context) - (used - n_tokens)
+    return F.when(completed, "Processing complete").otherwise(F.concat(F.lit("Processing ("), n_tokens.cast("string"), F.lit("/"), room.cast("string"), F.lit(" tokens)")))
+
+
+def live_work(work: DataFrame, progress: DataFrame, key: str, context: int) -> DataFrame:
+    """``key, status, response`` of the items in work that a step told of; queued ones are left out.
+
+    ``progress`` has ``n_tokens, text, completed`` of each item after a step; all of them share one context.
+    """
+    used = progress.agg(F.sum("n_tokens").alias("__used"))  # one row
+    told = work.select(key).join(progress, key).crossJoin(F.broadcast(used))
+    return told.select(key, progress_status(F.col("n_tokens"), F.col("__used"), context, F.col("completed")).alias("status"), F.coalesce("text", F.lit("")).alias("response"))
+
+
 def completion_status(n_cards: Column, error: Column, cancelled: Column) -> Column:
     """What a finished chunk shows."""
     return (
         F.when(error.isNotNull(), F.concat(F.lit("Failed: "), error))
         .when(F.coalesce(cancelled, F.lit(False)), "Cancelled")
-        .when(F.coalesce(n_cards, F.lit(0)) == 0, "Failed: No flashcards parsed from response")
+        .when(F.coalesce(n_cards, F.lit(0)) == 0, "Failed: No flashcards parsed from LLM response.")
         .otherwise(F.concat(F.lit("Completed: "), n_cards.cast("string"), F.lit(" cards created")))
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RECENT, LEAST_DISTINCT = 20, 5
@@ -14,16 +16,22 @@ def tokens_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.posexplode(words).alias("idx", "token"))
 
 
-def low_diversity_stop(texts: DataFrame, key: str, text: str, recent: int = RECENT, least: int = LEAST_DISTINCT) -> DataFrame:
+def low_diversity_stop(texts: DataFrame, key: str, text: str | Column, recent: int = RECENT, least: int = LEAST_DISTINCT) -> DataFrame:
     """``key, stop_idx``: the first token, from number ``recent`` + 1 on, at which the last ``recent`` tokens have fewer
     than ``least`` different ones. The token there is not part of the text any more. Texts that never stop are absent.
 
-    Each text is one row with its token array; no window and no shuffle.
+    ``text`` is a column's name, whose words are the tokens, or an array of tokens. Each text is one row; no window and
+    no shuffle.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\n]+", -1), lambda w: w != "")
-    told = texts.select(key, words.alias("w")).where(F.size("w") > recent)
-    at = F.filter(F.sequence(F.lit(recent), F.size("w") - 1), lambda i: F.size(F.array_distinct(F.slice("w", i - (recent - 2), F.lit(recent)))) < least)
-    return told.select(key, F.get(at, F.lit(0)).alias("stop_idx")).where("stop_idx is not null")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\n]+", -1), lambda w: w != "") if isinstance(text, str) else text
+
+    def first(w: Column) -> Column:
+        at = F.sequence(F.lit(recent), F.size(w) - 1)
+        low = F.filter(at, lambda i: F.size(F.array_distinct(F.slice(w, i - (recent - 2), F.lit(recent)))) < least)
+        return F.when(F.size(w) > recent, F.get(low, F.lit(0)))
+
+    # the tokens as a variable of their own: as a column the optimizer would put their making into each step
+    return texts.select(key, F.get(F.transform(F.array(words), first), F.lit(0)).alias("stop_idx")).where("stop_idx is not null")
 
 
 def immediate_repeats(tokens: DataFrame, key: str) -> DataFrame:
@@ -50,39 +58,37 @@ def line_repeat_stop(texts: DataFrame, key: str, text: str) -> DataFrame:
     return counted.withColumn("nth", nth).where(F.col("nth") >= F.when(F.col("thinking"), 4).otherwise(2)).groupBy(key).agg(F.min("line_no").alias("stop_line"))
 
 
+_SPANS = "array<struct<phrase: string, match_start: int, first_idx: int, last_idx: int, rewind: int>>"
+
+
 def banned_spans(tokens: DataFrame, key: str, phrases: list[str], separator: str = " ") -> DataFrame:
     """Where banned phrases end in a token stream: ``key, phrase, match_start, first_idx, last_idx, rewind``.
 
-    Each text is put together once; every occurrence of a phrase becomes a character span, and the tokens it overlaps
-    are found in the text's own arrays. The rewind is the number of those tokens.
+    Each text is put together once; texts without any phrase never leave the JVM. In the others all phrases are looked
+    for in one pass over Arrow batches, and the tokens that an occurrence overlaps come from the running lengths by
+    bisection. The rewind is the number of those tokens. Occurrences of one phrase do not overlap.
     """
-    order = F.array_sort(F.collect_list(F.struct("idx", "token")))
-    told = tokens.groupBy(key).agg(F.transform(order, lambda t: t["token"]).alias("w"), F.transform(order, lambda t: t["idx"]).alias("n"))
-    joined = told.withColumn("body", F.array_join("w", separator))
-    ends = F.aggregate(
-        F.transform("w", lambda t: F.length(t)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, n: F.struct((acc["at"] + n + len(separator)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends")),
-        lambda acc: acc["ends"],
-    )
-    joined = joined.withColumn("ends", ends)
-    parts = []
-    for phrase in phrases:
-        pieces = F.split("body", F.lit(f"\\Q{phrase}\\E"), -1)
-        starts = F.aggregate(
-            F.slice(pieces, 1, F.size(pieces) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-            lambda acc, p: F.struct((acc["at"] + F.length(p) + len(phrase)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(p))).alias("found")),
-            lambda acc: acc["found"],
-        )
-        hit = joined.where(F.col("body").contains(phrase)).select(key, "ends", "n", F.explode(starts).alias("match_start"))
-        first = F.size(F.filter("ends", lambda e: e <= F.col("match_start")))
-        last = F.size(F.filter("ends", lambda e: e < F.col("match_start") + len(phrase)))
-        parts.append(hit.select(key, F.lit(phrase).alias("phrase"), "match_start", F.get("n", first).alias("first_idx"), F.get("n", last).alias("last_idx"), (last - first + 1).alias("rewind")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    told = tokens.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("t"))
+    joined = told.select(key, F.transform("t", lambda t: t["token"]).alias("w"), F.transform("t", lambda t: t["idx"]).alias("n")).withColumn("body", F.array_join("w", separator))
+    held = F.array(*[F.lit(p) for p in phrases]).cast("array<string>")
+    gap = len(separator)
+
+    @F.pandas_udf(_SPANS)
+    def spans(words: pd.Series, places: pd.Series, bodies: pd.Series) -> pd.Series:
+        out = []
+        for w, n, body in zip(words, places, bodies):
+            ends = np.cumsum([len(x) + gap for x in w]) - gap
+            found = []
+            for phrase in phrases:
+                at = body.find(phrase)
+                while at >= 0:
+                    first, last = np.searchsorted(ends, [at + 1, at + len(phrase)])
+                    found.append({"phrase": phrase, "match_start": at, "first_idx": n[first], "last_idx": n[last], "rewind": last - first + 1})
+                    at = body.find(phrase, at + len(phrase))
+            out.append(found)
+        return pd.Series(out)
+
+    return joined.where(F.exists(held, lambda p: F.contains(F.col("body"), p))).select(key, F.inline(spans("w", "n", "body")))
 
 
 def single_token_bans(vocabulary: DataFrame, phrases: list[str]) -> DataFrame:
@@ -94,18 +100,13 @@ def single_token_bans(vocabulary: DataFrame, phrases: list[str]) -> DataFrame:
 
 def sequence_bans(tokens: DataFrame, key: str, sequences: list[list[str]]) -> DataFrame:
     """Where the last tokens equal a banned sequence: ``key, idx, sequence, rewind``; its first token is banned there
-    after the rewind."""
-    parts = []
-    for sequence in sequences:
-        w = Window.partitionBy(key).orderBy("idx")
-        same = F.lit(True)
-        for back, token in enumerate(reversed(sequence)):
-            same &= (F.lag("token", back).over(w) if back else F.col("token")) == token
-        parts.append(tokens.withColumn("__same", same).where("__same").select(key, "idx", F.lit(" ".join(sequence)).alias("sequence"), F.lit(len(sequence)).alias("rewind")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    after the rewind. One window for all sequences: the last tokens, as many as the longest of them has."""
+    longest = max(len(s) for s in sequences)
+    w = Window.partitionBy(key).orderBy("idx").rowsBetween(1 - longest, Window.currentRow)
+    known = F.array(*[F.array(*[F.lit(t) for t in s]) for s in sequences])
+    recent = tokens.withColumn("__last", F.collect_list("token").over(w))
+    met = F.filter(known, lambda s: F.when(F.size(s) <= F.size("__last"), F.slice("__last", F.size("__last") - F.size(s) + 1, F.size(s)) == s).otherwise(False))
+    return recent.where(F.size(met) > 0).select(key, "idx", F.explode(met).alias("__s")).select(key, "idx", F.array_join("__s", " ").alias("sequence"), F.size("__s").alias("rewind"))
 
 
 def active_rules(rules: DataFrame, at: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import number_rows
+from .store import blocks, number_rows
 
 
 def fifo_batches(requests: DataFrame, order: list[str], size: int) -> DataFrame:
@@ -30,18 +35,93 @@ def admit(requests: DataFrame, key: str, queue: str, order: list[str], cost: Col
     return costed.join(taken, key, "left").withColumn("admitted", F.coalesce("__taken", F.lit(False))).drop("__taken")
 
 
-def gate(arrivals: DataFrame, at: str, tie: str, minimum: int, wait_seconds: int, bucket: str) -> DataFrame:
-    """When each arrival is released within its ``bucket`` (a period that is released at its end at the latest).
+def room(width: int, in_flight: int) -> int:
+    """How many requests may be taken: up to twice the batch width in work at once."""
+    return max(0, 2 * width - in_flight)
+
+
+def next_batch(waiting: DataFrame, order: list[str], width: int, in_flight: int) -> DataFrame:
+    """The requests to take now, first in first out: as many as there is room for."""
+    return waiting.orderBy(*order).limit(room(width, in_flight))
+
+
+def _starts(times: np.ndarray, first: int, stop: int, minimum: int, wait: int) -> tuple[list[int], int]:
+    """The first arrivals of the groups that begin in ``[first, stop)``, and where the group after them begins."""
+    out, at = [], first
+    while at < stop:
+        out.append(at)
+        head = times[at : at + minimum]
+        at += int(np.searchsorted(head, head[0] + wait, side="right"))
+    return out, at
+
+
+def gate(arrivals: DataFrame, at: str, tie: str, minimum: int, wait_seconds: int) -> DataFrame:
+    """When each request of one queue passes the minimum-batch gate: adds ``group_no`` and ``released_at``.
+
+    Requests wait until there are ``minimum`` of them, and are then released with the last; or until ``wait_seconds``
+    have passed since the first of them came, and are then released as they are. The wait starts anew with the next
+    arrival. Arrivals at the same moment come one after the other by ``tie``; ``released_at`` is never before ``at``.
+    Null times are left out.
 
-    Arrivals are released in groups of ``minimum``: with the arrival that completes the group, or ``wait_seconds``
-    after the group's first one, whichever is earlier. Adds ``group_no`` and ``released_at``.
+    Where a group begins depends on all groups before, but no task reads the whole queue: a group has at most
+    ``minimum`` requests, so the first group that begins in a block of the queue begins at one of its first
+    ``minimum`` arrivals. Each block tells for every such beginning where the first group of the next block begins;
+    these few numbers per block are put together on the driver, and every block then marks its groups alone.
     """
-    w = Window.partitionBy(bucket).orderBy(at, tie)
-    group = Window.partitionBy(bucket, "group_no")
-    numbered = arrivals.withColumn("group_no", F.floor((F.row_number().over(w) - 1) / minimum).cast("long"))
-    full = F.count("*").over(group) == minimum
-    last, waited = F.max(at).over(group), F.min(at).over(group) + F.make_dt_interval(secs=F.lit(wait_seconds))
-    return numbered.withColumn("released_at", F.when(full, F.least(last, waited)).otherwise(waited))
+    placed = blocks(arrivals.where(F.col(at).isNotNull()).withColumn("__us", F.unix_micros(F.col(at).cast("timestamp"))), [at, tie])
+    ahead = placed.where(F.col("__row") < minimum).select("__block", "__row", "__us").union(placed.groupBy("__block").agg(F.lit(-1).cast("long"), F.count("*")))
+    sizes: dict[int, int] = {}
+    heads: dict[int, list[int]] = defaultdict(list)
+    for block, row, value in sorted(map(tuple, ahead.collect())):  # up to ``minimum`` + 1 numbers a block
+        if row < 0:
+            sizes[block] = value
+        else:
+            heads[block].append(value)
+    order, wait = sorted(sizes), wait_seconds * 1_000_000
+    following: dict[int, list[int]] = {}
+    after: list[int] = []
+    for block in reversed(order):
+        following[block] = after
+        after = (heads[block] + after)[:minimum]
+
+    def whole(block: int, rows) -> np.ndarray:
+        return np.array([*rows, *following[block]], np.int64)
+
+    def tell(batches):
+        for block, rows in _whole(batches):
+            times, n = whole(block, rows["__us"]), len(rows)
+            told = [_starts(times, first, n, minimum, wait) for first in range(min(minimum, n))]
+            yield pd.DataFrame({"block": block, "first": range(len(told)), "next": [k - n for _, k in told], "groups": [len(x) for x, _ in told]})
+
+    steps = {(r.block, r.first): (r.next, r.groups) for r in placed.select("__block", "__us").mapInPandas(tell, "block long, first long, next long, groups long").collect()}
+    entry, first, groups = {}, 0, 0
+    for block in order:
+        entry[block] = (first, groups)
+        if first >= sizes[block]:  # a block so short that a group of an earlier one passes over it
+            first -= sizes[block]
+            continue
+        first, more = steps[block, first]
+        groups += more
+
+    def mark(batches):
+        for block, rows in _whole(batches):
+            first, group = entry[block]
+            begins = np.zeros(len(rows), np.int64)
+            begins[_starts(whole(block, rows["__us"]), first, len(rows), minimum, wait)[0]] = 1
+            yield rows.drop(columns=["__block", "__row", "__us"]).assign(group_no=group + np.cumsum(begins) - 1)
+
+    held = placed.drop("__block", "__row", "__us").schema
+    marked = placed.mapInPandas(mark, StructType([*held.fields, StructField("group_no", LongType())]))
+    group = Window.partitionBy("group_no")  # at most ``minimum`` rows
+    expiry = F.min(at).over(group) + F.make_dt_interval(secs=F.lit(wait_seconds))
+    return marked.withColumn("released_at", F.when(F.count("*").over(group) == minimum, F.max(at).over(group)).otherwise(expiry))
+
+
+def _whole(batches):
+    """The rows of a task, which are one block; nothing for an empty one."""
+    if parts := [b for b in batches if len(b)]:
+        rows = pd.concat(parts, ignore_index=True)
+        yield int(rows["__block"].iloc[0]), rows
 
 
 def context_groups(requests: DataFrame, context: str = "extra_context") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import skew_left_join
 
 
@@ -31,15 +32,30 @@ def update_cards(cards: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.withColumn("question", F.when(F.col("__hit"), F.col("__q")).otherwise(F.col("question"))).withColumn("answer", F.when(F.col("__hit"), F.col("__a")).otherwise(F.col("answer"))).select(cards.columns)
 
 
+def blocks(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in sorted blocks, with ``__block`` and ``__row`` (from 0) of each row: consecutive blocks hold consecutive
+    ranges of the order.
+
+    The blocks are the tasks of one range exchange. Where a range begins depends on a sample, so the result is written
+    to the checkpoint folder before anything is derived from it: whoever counts the blocks and whoever reads them sees
+    the same ones, also after an executor is lost.
+    """
+    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = cut(placed.withColumn("__at", F.monotonically_increasing_id()))  # number of the task << 33 | row in it
+    return placed.withColumn("__block", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
+
+
 def number_rows(df: DataFrame, order: list[str], column: str, start: int = 1) -> DataFrame:
-    """Adds consecutive numbers in the given order without bringing all rows into one task: range partitioning, a
-    count per partition, and a row number within it."""
-    placed = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("__before", before).select("__part", "__before")  # a row per partition
-    return placed.withColumn("__row", within).join(F.broadcast(offsets), "__part").withColumn(column, (F.col("__before") + F.col("__row") + F.lit(start - 1)).cast("long")).drop("__part", "__row", "__before")
+    """Adds consecutive numbers in the given order, nulls first, without bringing all rows into one task.
+
+    A row's number is its place in its block and the rows of the blocks before, which are one count per block. Rows
+    that agree in the whole order are numbered in any order. An empty input stays empty.
+    """
+    placed = blocks(df, order)
+    counts = placed.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__block", before.alias("__before"))  # a row per block
+    return placed.join(F.broadcast(offsets), "__block").withColumn(column, (F.col("__before") + F.col("__row") + F.lit(start)).cast("long")).drop("__block", "__row", "__before")
 
 
 def new_ids(df: DataFrame, id_: str, highest: int) -> DataFrame:
@@ -60,6 +76,26 @@ def fold_log(log: DataFrame, key: list[str], order: str, columns: list[str]) ->
     return log.groupBy(*key).agg(F.max(F.struct(order, *columns)).alias("__last")).select(*key, *[F.col(f"__last.{c}").alias(c) for c in [order, *columns]])
 
 
+def retry_chunks(chunks: DataFrame, cards: DataFrame, ids: DataFrame, highest_chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks named in ``ids`` start anew: they and their cards are deleted and the chunks come back under new ids.
+
+    Returns the chunks and the cards that stay, and the new chunks (``old_id`` is the former id), which are to be
+    enqueued. An id that names no chunk does nothing.
+    """
+    known = chunks.join(ids.select("id").distinct(), "id", "left_semi")
+    kept_chunks, kept_cards = delete_chunks(chunks, cards, known)
+    return kept_chunks, kept_cards, new_ids(known, "id", highest_chunk)
+
+
+def resubmitted(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Deleted chunks as uploads to be chunked once more: ``file_id, content, extra_context`` (null for an empty one).
+
+    ``gone`` has the deleted ids (``id``). Their former ids stay deleted.
+    """
+    lost = chunks.join(gone.select("id").distinct(), "id", "left_semi")
+    return lost.select(F.col("id").alias("old_id"), "file_id", "content", F.nullif("extra_context", F.lit("")).alias("extra_context"))
+
+
 def details(chunks: DataFrame, cards: DataFrame) -> DataFrame:
     """Every chunk with its cards, a row for each card and one with nulls for a chunk without any: ``card_id``,
     ``question``, ``answer`` beside the chunk's columns. A chunk that holds a large part of all cards stays many rows.

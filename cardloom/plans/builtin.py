@@ -44,11 +44,16 @@ def as_of_uploads(spark: SparkSession, d: str) -> DataFrame:
     return both.where("chunk_id is not null").select("chunk_id", F.col("at").alias("taken_at"), "last_received")
 
 
-def files_without_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Set difference: files with chunks but no card."""
-    chunks, cards = table(spark, d, "text_chunks"), table(spark, d, "flash_cards")
-    with_cards = chunks.join(cards.select(F.col("origin_id").alias("id")), "id", "left_semi").select("file_id")
-    return chunks.select("file_id").subtract(with_cards)
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of chunks and ids that cards refer to: difference, intersection, union and difference with repeats."""
+    chunks = table(spark, d, "text_chunks").select("id")
+    origins = table(spark, d, "flash_cards").where("origin_id is not null").select(F.col("origin_id").alias("id"))
+    named = {"except": chunks.subtract(origins), "missing": origins.subtract(chunks), "intersect": chunks.intersect(origins), "union": chunks.union(origins).distinct(), "except_all": chunks.exceptAll(origins)}
+    out = None
+    for name, df in named.items():
+        part = df.select(F.lit(name).alias("operation"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +67,7 @@ def preset_pivot(spark: SparkSession, d: str) -> DataFrame:
     return cards.groupBy("origin_id").pivot("preset", presets).agg(F.count("id")).fillna(0, presets)
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, nation_rollup, event_cube, top_orders, running_value, as_of_uploads, files_without_cards, event_windows, preset_pivot)}
+QUERIES = {f.__name__: f for f in (pricing_summary, nation_rollup, event_cube, top_orders, running_value, as_of_uploads, set_operations, event_windows, preset_pivot)}
 SQL = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n_lines, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc FROM lineitem GROUP BY ALL",
     "nation_rollup": "SELECT n_regionkey, n_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)",
@@ -70,7 +75,10 @@ SQL = {
     "top_orders": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders QUALIFY rank <= 3",
     "running_value": "SELECT event_id, user_id, count(*) OVER w AS nth, round(sum(value) OVER w, 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "as_of_uploads": "SELECT d.chunk_id, d.taken_at, max(u.received_at) AS last_received FROM (SELECT DISTINCT file_id, chunk_id, taken_at FROM density) d LEFT JOIN uploads u ON u.file_id = d.file_id AND u.received_at <= d.taken_at GROUP BY ALL",
-    "files_without_cards": "SELECT DISTINCT file_id FROM text_chunks WHERE file_id NOT IN (SELECT file_id FROM text_chunks WHERE id IN (SELECT origin_id FROM flash_cards WHERE origin_id IS NOT NULL))",
+    "set_operations": " UNION ALL ".join(f"SELECT '{name}' AS operation, id FROM ({sql})" for name, sql in {
+        "except": "SELECT id FROM text_chunks EXCEPT SELECT origin_id FROM flash_cards", "missing": "SELECT origin_id AS id FROM flash_cards WHERE origin_id IS NOT NULL EXCEPT SELECT id FROM text_chunks",
+        "intersect": "SELECT id FROM text_chunks INTERSECT SELECT origin_id FROM flash_cards", "union": "SELECT id FROM text_chunks UNION SELECT origin_id FROM flash_cards WHERE origin_id IS NOT NULL", "except_all": "SELECT id FROM text_chunks EXCEPT ALL SELECT origin_id FROM flash_cards",
+    }.items()),
     "event_windows": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL",
     "preset_pivot": "SELECT origin_id, "
     + ", ".join(f"count(*) FILTER (WHERE preset = '{p}') AS \"{p}\"" for p in ("amber-8b", "basalt-14b", "cobalt-24b", "dune-moe", "ember-judge", "flint-4b"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_field, html_escape, last_line, split_lines, split_sentences, token_estimate
+from ..functions.text import html_escape, last_line, split_lines, split_sentences, token_estimate
 from ..operators.cards import by_context, completion_status, generate, parse_cards, prompts
-from ..operators.chunker import chunk
 from ..operators.density import card_counts, intensity
-from ..operators.html import upload_text
 from ..operators.store import details, details_of
+from ..operators.skew import skew_left_join
 from ..session import table
+from ..sources import sinks
 
 INSTRUCTION = "Write flash cards about the text."
 _UTF16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
@@ -42,37 +42,16 @@ def html_escaped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "uploads").select("file_id", "received_at", html_escape(F.col("content")).alias("escaped")).distinct()
 
 
-def _uploads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "uploads").where(F.length("content") > 0).select("file_id", "received_at", "extra_context", "strip_html", "content")
-
-
-def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return _uploads(spark, d).where("strip_html").select("file_id", "received_at", upload_text(F.col("content"), F.col("strip_html")).alias("text"))
-
-
-def upload_chunks(spark: SparkSession, d: str) -> DataFrame:
-    uploads = _uploads(spark, d).withColumn("text", upload_text(F.col("content"), F.col("strip_html")))
-    return chunk(uploads, "text", ["file_id", "received_at"])
-
-
-def document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk(table(spark, d, "documents"), "text", ["doc_id"])
-
-
-def upload_summary(spark: SparkSession, d: str) -> DataFrame:
-    made = upload_chunks(spark, d).groupBy("file_id").agg(F.count("*").alias("n_chunks"))
-    received = table(spark, d, "uploads").groupBy("file_id").agg(F.count("*").alias("n_uploads"), F.count_if(F.length("content") == 0).alias("n_rejected"))
-    return received.join(made, "file_id", "left").fillna(0, ["n_chunks"])
-
-
 def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
     return prompts(_chunks(spark, d), INSTRUCTION).select("id", "prompt")
 
 
 def context_order(spark: SparkSession, d: str) -> DataFrame:
-    """Requests as the model gets them: those with one context next to each other; here their number per context."""
-    arranged = by_context(_chunks(spark, d))
-    return arranged.groupBy(F.coalesce("extra_context", F.lit("")).alias("context")).agg(F.count("*").alias("n_requests"))
+    """Requests as the model gets them: per context their number, and whether each task meets every context in one run, so
+    that its prefix is read once."""
+    told = by_context(_chunks(spark, d)).select(F.coalesce("extra_context", F.lit("")).alias("context"), F.monotonically_increasing_id().alias("at"))
+    per_task = told.groupBy("context", F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("n"), (F.max("at") - F.min("at") + 1).alias("span"))
+    return per_task.groupBy("context").agg(F.sum("n").alias("n_requests"), F.bool_and(F.col("n") == F.col("span")).alias("in_one_run"))
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
@@ -88,17 +67,10 @@ def qa_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def completion(spark: SparkSession, d: str) -> DataFrame:
+    """What each chunk shows when it is done: every 11th fails and every 13th is cancelled here."""
     parsed = parse_cards(_responses(spark, d), "response", ["origin_id"]).groupBy(F.col("origin_id").alias("id")).agg(F.count("*").alias("n_cards"))
     done = _chunks(spark, d).select("id").join(parsed, "id", "left").fillna(0, ["n_cards"])
-    return done.select("id", completion_status(F.col("n_cards"), F.lit(None).cast("string"), F.lit(False)).alias("status"))
-
-
-def density_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: uploads are chunked, answered, parsed into cards, counted and put into intensities."""
-    made = upload_chunks(spark, d).withColumn("id", F.xxhash64("file_id", "received_at", "chunk_no"))
-    cards = parse_cards(generate(made), "response", ["id"])
-    numbered = cards.select(F.xxhash64("id", "card_no").alias("id"), F.col("id").alias("origin_id"))
-    return intensity(card_counts(made, numbered)).groupBy("file_id", "intensity").agg(F.count("*").alias("n_chunks"), F.sum("flash_card_count").alias("n_cards"))
+    return done.select("id", completion_status(F.col("n_cards"), F.when(F.col("id") % 11 == 0, "out of memory"), F.col("id") % 13 == 0).alias("status"))
 
 
 def card_count(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +97,7 @@ def stale_density(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_lines(spark: SparkSession, d: str) -> DataFrame:
     """Export lines of all cards with their file; the header is ``Question,Answer,FileId``."""
-    cards = table(spark, d, "flash_cards").select("id", "question", "answer", "origin_id").distinct()
-    joined = cards.join(_chunks(spark, d).select(F.col("id").alias("origin_id"), "file_id"), "origin_id")
-    return joined.select("id", "file_id", F.concat_ws(",", csv_field(F.col("question")), csv_field(F.col("answer")), csv_field(F.col("file_id"))).alias("line"))
+    return sinks.csv_lines(table(spark, d, "flash_cards").select("id", "question", "answer", "origin_id").distinct(), _chunks(spark, d))
 
 
 def chunk_details(spark: SparkSession, d: str) -> DataFrame:
@@ -149,20 +119,12 @@ def dig_deeper(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d).select(F.col("id").alias("origin_id"), "file_id", "extra_context")
     note = F.lit("Go deeper.")
     context = F.when(F.coalesce("extra_context", F.lit("")) == "", note).otherwise(F.concat_ws("\n", "extra_context", note))
-    return cards.join(chunks, "origin_id").select("id", F.concat_ws("\n", "question", "answer").alias("content"), F.concat("file_id", F.lit("-deeper")).alias("file_id"), context.alias("extra_context"))
-
-
-def json_cards(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON array per response with its cards as the side file has them: ids not assigned yet."""
-    parsed = parse_cards(_responses(spark, d), "response", ["origin_id", "part"])
-    card = F.struct(F.lit(0).alias("Id"), F.col("question").alias("Question"), F.col("answer").alias("Answer"), F.lit(0).alias("OriginId"))
-    told = parsed.groupBy("origin_id", "part").agg(F.array_sort(F.collect_list(F.struct("card_no", card.alias("card")))).alias("c"))
-    return told.select("origin_id", "part", F.to_json(F.transform("c", lambda x: x["card"])).alias("json"))
+    return skew_left_join(cards.where("origin_id is not null"), chunks, "origin_id", "inner").select("id", F.concat_ws("\n", "question", "answer").alias("content"), F.concat("file_id", F.lit("-deeper")).alias("file_id"), context.alias("extra_context"))
 
 
 QUERIES = {f.__name__: f for f in (
-    density_pipeline, token_estimates, line_scan, sentence_split, last_lines, html_escaped, html_to_text, upload_chunks, document_chunks, upload_summary,
-    prompt_assembly, context_order, qa_parse, completion, card_count, density_chart, density_files, stale_density, csv_lines, chunk_details, one_chunk, point_lookup, dig_deeper, json_cards,
+    token_estimates, line_scan, sentence_split, last_lines, html_escaped,
+    prompt_assembly, context_order, qa_parse, completion, card_count, density_chart, density_files, stale_density, csv_lines, chunk_details, one_chunk, point_lookup, dig_deeper,
 )}
 
 _C = "(SELECT DISTINCT ON (id) * FROM text_chunks)"
@@ -199,10 +161,10 @@ SQL = {
     "html_escaped": """SELECT DISTINCT file_id, received_at, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped FROM uploads""",
     "prompt_assembly": f"""SELECT id, '<s>[SYSTEM_PROMPT]{INSTRUCTION}[/SYSTEM_PROMPT]' || CASE WHEN coalesce(extra_context, '') <> '' THEN '[INST]# Context' || chr(10) || extra_context || chr(10) || chr(10) ELSE '[INST]' END
       || coalesce(content, '') || '[/INST]' AS prompt FROM {_C}""",
-    "context_order": f"SELECT coalesce(extra_context, '') AS context, count(*) AS n_requests FROM {_C} GROUP BY 1",
+    "context_order": f"SELECT coalesce(extra_context, '') AS context, count(*) AS n_requests, true AS in_one_run FROM {_C} GROUP BY 1",
     "qa_parse": f"WITH {_RESPONSES} SELECT origin_id, part, {_trim("ltrim(q, 'Q:')")} AS question, {_trim("ltrim(w, 'A:')")} AS answer FROM cards",
     "completion": f"""WITH {_RESPONSES}, n AS (SELECT origin_id, count(*) AS k FROM cards GROUP BY 1)
-      SELECT id, CASE WHEN coalesce(k, 0) = 0 THEN 'Failed: No flashcards parsed from response' ELSE 'Completed: ' || k || ' cards created' END AS status FROM {_C} c LEFT JOIN n ON n.origin_id = c.id""",
+      SELECT id, CASE WHEN id % 11 = 0 THEN 'Failed: out of memory' WHEN id % 13 = 0 THEN 'Cancelled' WHEN coalesce(k, 0) = 0 THEN 'Failed: No flashcards parsed from LLM response.' ELSE 'Completed: ' || k || ' cards created' END AS status FROM {_C} c LEFT JOIN n ON n.origin_id = c.id""",
     "card_count": f"WITH {_COUNTS} SELECT * FROM counts",
     "density_chart": f"WITH {_CHART} SELECT * FROM chart",
     "density_files": f"""WITH {_CHART} SELECT c.file_id, count(*) AS n_chunks, sum(flash_card_count)::BIGINT AS n_cards, max(intensity) AS most, min(s.start_position) AS first_position

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.references import orphan_references, references
+from ..operators.references import MATCHES, orphan_references, orphans, references
 from ..session import table
 
 
@@ -23,6 +23,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).distinct().groupBy("ref_table", "kind", "month").agg(F.count("*").alias("n_orphans"))
 
 
+def p2_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose file and context, both of which may be null, name no upload, under each match rule."""
+    refs = table(spark, d, "text_chunks").select("id", "file_id", "extra_context").distinct()
+    uploads = table(spark, d, "uploads").select("file_id", "extra_context").distinct()
+    parts = [orphans(refs, uploads, [("file_id", "file_id"), ("extra_context", "extra_context")], match).select(F.lit(match).alias("match"), "id") for match in MATCHES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _CASES = """
 WITH refs AS (
   SELECT DISTINCT 'flash_cards' AS ref_table, id AS row_id, origin_id AS key, saved_at AS at_time FROM flash_cards WHERE origin_id IS NOT NULL
@@ -38,8 +46,14 @@ cases AS (
   FROM refs r LEFT JOIN saved s ON s.id = r.key LEFT JOIN states st ON st.id = r.key)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_composite": p2_composite}
 SQL = {
+    "p2_composite": """WITH r AS (SELECT DISTINCT id, file_id, extra_context FROM text_chunks)
+      SELECT m AS match, id FROM r, (SELECT unnest(['simple', 'partial', 'full']) AS m) WHERE CASE
+        WHEN file_id IS NULL AND extra_context IS NULL THEN false
+        WHEN file_id IS NOT NULL AND extra_context IS NOT NULL THEN NOT EXISTS (SELECT 1 FROM uploads u WHERE u.file_id = r.file_id AND u.extra_context = r.extra_context)
+        WHEN m = 'simple' THEN false WHEN m = 'full' THEN true
+        WHEN file_id IS NOT NULL THEN NOT EXISTS (SELECT 1 FROM uploads u WHERE u.file_id = r.file_id) ELSE NOT EXISTS (SELECT 1 FROM uploads u WHERE u.extra_context = r.extra_context) END""",
     "p2_found": _CASES + "SELECT DISTINCT ref_table, row_id, kind FROM cases WHERE kind IS NOT NULL",
     "p2_report": _CASES + "SELECT ref_table, kind, month, count(*) AS n_orphans FROM (SELECT DISTINCT * FROM cases) WHERE kind IS NOT NULL GROUP BY ALL",
 }

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import token_estimate
 from ..operators.guard import active_rules, allowed_tokens, banned_spans, banned_tokens, immediate_repeats, line_repeat_stop, low_diversity_stop, progress_fold, sequence_bans, single_token_bans, tokens_of
 from ..operators.queue import admit, context_groups, fifo_batches, gate
-from ..operators.sampling import draw, greedy, min_p, sample, softmax, top_k, top_p
+from ..operators.sampling import draw, greedy, min_p, sample, softmax, top_k, top_p, typical, until_stop
 from ..session import table
+from ..sources.readers import Options, banned_rules
 from ..streaming.rates import burst_rates
 
 PHRASES = ["the reservoir", "fails and", "at 4"]
 SEQUENCES = [["within", "29"], ["must", "be", "reset."]]
+ALLOWED_WORDS = ["The", "If", "Without", "When", " the", " a", " deep", " rule", " slow", " smooth"]
 RULES = [(" the", 0, 3), ("glacier", 2, 5), ("beacon", 0, 0)]
 
 
@@ -49,8 +51,8 @@ def context_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_release(spark: SparkSession, d: str) -> DataFrame:
-    hours = table(spark, d, "events").select("event_id", "ts", F.date_trunc("hour", "ts").alias("hour"))
-    return gate(hours, "ts", "event_id", 8, 90, "hour").select("event_id", "hour", "group_no", "released_at")
+    """When each event would leave the gate of 8 requests or 90 seconds."""
+    return gate(table(spark, d, "events").select("event_id", "ts"), "ts", "event_id", 8, 90)
 
 
 def burst_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +67,14 @@ def event_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def low_diversity(spark: SparkSession, d: str) -> DataFrame:
-    return low_diversity_stop(_answers(spark, d).withColumn("answer", F.regexp_replace("answer", r"[^aeiou ]", "")), "id", "answer", least=14)
+    """Texts whose last 20 signs, taken as tokens, come down to fewer than five different ones: documents by characters."""
+    return low_diversity_stop(table(spark, d, "documents"), "doc_id", F.split(F.coalesce("text", F.lit("")), ""))
 
 
 def immediate_repeat(spark: SparkSession, d: str) -> DataFrame:
-    vowels = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^aeiou ]", ""))
-    return immediate_repeats(tokens_of(vowels, "doc_id", "text"), "doc_id")
+    """Characters of documents that come twice in a row."""
+    signs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "")).alias("idx", "token"))
+    return immediate_repeats(signs, "doc_id")
 
 
 def line_repeat(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +87,8 @@ def banned_text_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def single_token_ban(spark: SparkSession, d: str) -> DataFrame:
     vocabulary = tokens_of(_answers(spark, d), "id", "answer").select("token").distinct()
-    return single_token_bans(vocabulary, ["oar", "vx", "ith."])
+    rules = banned_rules(Options(banned_texts=["oar", "vx", "ith."]))
+    return single_token_bans(vocabulary, [r.pattern for r in rules.of("ban", "text")])
 
 
 def token_sequence_bans(spark: SparkSession, d: str) -> DataFrame:
@@ -97,16 +102,17 @@ def token_rule_bans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rules_in_force(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(t.strip(), s, n) for t, s, n in RULES], "token string, start int, duration int")
-    return active_rules(rules.crossJoin(spark.range(8).select(F.col("id").cast("int").alias("step"))), "step").select("step", "token")
+    """Rules active at the length of each answer in tokens: a rule a nation, from its key on, for as many steps as its region's."""
+    rules = table(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("int").alias("start"), (F.col("n_regionkey") * 5).cast("int").alias("duration"))
+    steps = _answers(spark, d).select("id", F.size(F.filter(F.split(F.coalesce("answer", F.lit("")), r"[ \t\r\n]+", -1), lambda w: w != "")).alias("step"))
+    return active_rules(steps.join(F.broadcast(rules)), "step").select("id", "step", "token")  # 25 rules
 
 
 def allowed_text(spark: SparkSession, d: str) -> DataFrame:
-    """Which endings of region names may follow which beginnings if only whole region names are allowed."""
-    names = table(spark, d, "region").select("r_name").distinct()
-    texts = names.select(F.substring("r_name", 1, 2).alias("text")).distinct()
-    tokens = names.select(F.explode(F.array(F.expr("substring(r_name, 3)"), F.substring("r_name", 3, 1))).alias("token")).distinct()
-    return allowed_tokens(texts.crossJoin(tokens), ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+    """Which words may follow the beginning of each answer if a text must be a run of the words in ALLOWED_WORDS."""
+    words = F.split(F.coalesce("answer", F.lit("")), " ", -1)
+    candidates = _answers(spark, d).select("id", F.array_join(F.slice(words, 1, 2), " ").alias("text"), F.concat(F.lit(" "), F.coalesce(F.get(words, F.lit(2)), F.lit(""))).alias("token"))
+    return allowed_tokens(candidates, ALLOWED_WORDS).select("id", "text", "token")
 
 
 def greedy_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -125,6 +131,20 @@ def minp_filter(spark: SparkSession, d: str) -> DataFrame:
     return min_p(_logits(spark, d), ["vec_id"], 0.1).select("vec_id", "token_id", "logit")
 
 
+def typical_filter(spark: SparkSession, d: str) -> DataFrame:
+    return typical(_logits(spark, d), ["vec_id"], 0.5).select("vec_id", "token_id", "logit")
+
+
+def stop_token(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of each answer come before the first of a few that stop it."""
+    return until_stop(tokens_of(_answers(spark, d), "id", "answer"), "id", ["which", "while", "because"])
+
+
+def greedy_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain at temperature 0 with every third token banned."""
+    return sample(_logits(spark, d), ["vec_id"], banned=F.col("token_id") % 3 == 0, temperature=0)
+
+
 def softmax_top(spark: SparkSession, d: str) -> DataFrame:
     return softmax(top_k(_logits(spark, d), ["vec_id"], 3), ["vec_id"], 0.6).select("vec_id", "token_id", F.round("p", 6).alias("p"))
 
@@ -139,7 +159,7 @@ def drawn_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fifo_batch, queue_depth, admission_prefix, context_group, gate_release, burst_rate, event_progress, low_diversity, immediate_repeat, line_repeat, banned_text_spans,
-    single_token_ban, token_sequence_bans, token_rule_bans, rules_in_force, allowed_text, greedy_pick, topk_filter, topp_filter, minp_filter, softmax_top, sampled_tokens, drawn_tokens,
+    single_token_ban, token_sequence_bans, token_rule_bans, rules_in_force, allowed_text, greedy_pick, topk_filter, topp_filter, minp_filter, typical_filter, stop_token, greedy_sample, softmax_top, sampled_tokens, drawn_tokens,
 )}
 
 _C = "(SELECT DISTINCT ON (id) *, coalesce((length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) // 4, 0) AS n_tokens FROM text_chunks)"
@@ -157,8 +177,12 @@ SQL = {
       SELECT *, sum(CASE WHEN cost + 1000 <= 24736 THEN cost ELSE 0 END) OVER w AS run, sum(CASE WHEN cost + 1000 <= 24736 THEN 1 ELSE 0 END) OVER w AS place
       FROM (SELECT *, n_tokens + 2048 AS cost FROM {_C}) WINDOW w AS (PARTITION BY file_id ORDER BY saved_at, id))""",
     "context_group": f"SELECT coalesce(extra_context, '') AS context, count(*) AS n_requests, sum(n_tokens)::BIGINT AS n_tokens FROM {_C} GROUP BY 1",
-    "gate_release": """SELECT event_id, hour, g AS group_no, CASE WHEN count(*) OVER w = 8 THEN least(max(ts) OVER w, min(ts) OVER w + INTERVAL 90 SECOND) ELSE min(ts) OVER w + INTERVAL 90 SECOND END AS released_at
-      FROM (SELECT event_id, ts, date_trunc('hour', ts) AS hour, (row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) - 1) // 8 AS g FROM events) WINDOW w AS (PARTITION BY hour, g)""",
+    # a list of arrival times; each step of the recursion finds the end of the group that begins at place i
+    "gate_release": """WITH RECURSIVE l AS (SELECT list(ts ORDER BY ts, event_id) AS a FROM events),
+      g AS (SELECT 0::BIGINT AS n, 1::BIGINT AS i, CASE WHEN len(a) > 0 THEN len([t for t in a[1:8] if t <= a[1] + INTERVAL 90 SECOND]) ELSE 0 END AS size FROM l
+        UNION ALL SELECT n + 1, i + size, len([t for t in a[i + size:i + size + 7] if t <= a[i + size] + INTERVAL 90 SECOND]) FROM g, l WHERE i + size <= len(a)),
+      e AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS place FROM events)
+      SELECT event_id, ts, n AS group_no, CASE WHEN size = 8 THEN a[i + 7] ELSE a[i] + INTERVAL 90 SECOND END AS released_at FROM e, l, g WHERE place >= i AND place < i + size""",
     "burst_rate": """SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, sum(n)::BIGINT AS n_tokens, CASE WHEN max(ts) > min(ts) AND sum(n) > 0 THEN round(sum(n) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 6) END AS tokens_per_second
       FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM (
         SELECT user_id, ts, length(props) AS n, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, burst""",
@@ -167,9 +191,8 @@ SQL = {
       f AS (SELECT item, n, event_type AS text FROM e WHERE n = 1 UNION ALL
         SELECT e.item, e.n, substr(f.text, 1, greatest(0, length(f.text) - e.r)) || e.event_type FROM f JOIN e ON e.item = f.item AND e.n = f.n + 1)
       SELECT item, arg_max(text, n) AS text FROM f GROUP BY item""",
-    "low_diversity": f"""SELECT id, min(idx) AS stop_idx FROM (SELECT id, idx, list(token) OVER (PARTITION BY id ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l
-      FROM {_WORDS.format('id', 'answer', f"(SELECT id, regexp_replace(answer, '[^aeiou ]', '', 'g') AS answer FROM {_A})")}) WHERE idx >= 20 AND len(list_distinct(l)) < 14 GROUP BY id""",
-    "immediate_repeat": f"SELECT doc_id, idx, token, idx + 3 AS banned_until FROM (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM {_WORDS.format('doc_id', 'text', "(SELECT doc_id, regexp_replace(text, '[^aeiou ]', '', 'g') AS text FROM documents)")}) WHERE token = prev",
+    "low_diversity": """SELECT doc_id, min(i)::INT AS stop_idx FROM (SELECT doc_id, unnest(range(20, length(text))) AS i, text FROM documents WHERE length(text) > 20) WHERE len(list_distinct(regexp_extract_all(substr(text, i - 18, 20), '(?s).'))) < 5 GROUP BY 1""",
+    "immediate_repeat": """SELECT doc_id, i::INT AS idx, substr(text, i + 1, 1) AS token, (i + 3)::INT AS banned_until FROM (SELECT doc_id, text, unnest(range(1, length(text))) AS i FROM documents) WHERE substr(text, i + 1, 1) = substr(text, i, 1)""",
     "line_repeat": """WITH l AS (SELECT id, unnest(x) AS line, unnest(range(len(x)))::INT AS n FROM (SELECT id, string_split(coalesce(content, ''), chr(10)) AS x FROM (SELECT DISTINCT ON (id) * FROM text_chunks))),
       t AS (SELECT id, trim(line) AS line, n FROM l),
       m AS (SELECT *, coalesce(sum(CASE WHEN contains(line, '</think>') THEN 1 ELSE 0 END) OVER w, 0) AS seg,
@@ -186,13 +209,18 @@ SQL = {
     "token_sequence_bans": f"""WITH t AS (SELECT *, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2 FROM {_TOKENS} WINDOW w AS (PARTITION BY id ORDER BY idx))
       SELECT id, idx, 'within 29' AS sequence, 2 AS rewind FROM t WHERE p1 = 'within' AND token = '29' UNION ALL SELECT id, idx, 'must be reset.', 3 FROM t WHERE p2 = 'must' AND p1 = 'be' AND token = 'reset.'""",
     "token_rule_bans": f"SELECT id, idx AS step, token FROM {_TOKENS} WHERE (token = 'the' AND idx < 3) OR (token = 'glacier' AND idx >= 2 AND idx - 2 < 5) OR token = 'beacon'",
-    "rules_in_force": "SELECT step::INT AS step, token FROM range(8) r(step), (VALUES ('the', 0, 3), ('glacier', 2, 5), ('beacon', 0, 0)) t(token, s, n) WHERE step >= s AND (n < 1 OR step - s < n)",
-    "allowed_text": """SELECT text, token FROM (SELECT DISTINCT substr(r_name, 1, 2) AS text FROM region), (SELECT DISTINCT substr(r_name, 3) AS token FROM region UNION SELECT substr(r_name, 3, 1) FROM region)
-      WHERE EXISTS (SELECT 1 FROM region WHERE starts_with(r_name, text || token))""",
+    "rules_in_force": f"""SELECT id, step, n_name AS token FROM (SELECT id, len([x for x in string_split_regex(coalesce(answer, ''), '[ \\t\\r\\n]+') if x <> ''])::INT AS step FROM {_A}), nation
+      WHERE step >= n_nationkey AND (n_regionkey * 5 < 1 OR step - n_nationkey < n_regionkey * 5)""",
+    "allowed_text": f"""SELECT id, text, token FROM (SELECT id, array_to_string(w[1:2], ' ') AS text, ' ' || coalesce(w[3], '') AS token FROM (SELECT id, string_split(coalesce(answer, ''), ' ') AS w FROM {_A}))
+      WHERE regexp_full_match(text || token, '({"|".join(ALLOWED_WORDS)})*({"|".join(sorted({w[:k] for w in ALLOWED_WORDS for k in range(len(w))}, key=len, reverse=True))})')""",
     "greedy_pick": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) = 1",
     "topk_filter": f"SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 5",
     "topp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_P}) WHERE before < 0.9",
     "minp_filter": f"SELECT vec_id, token_id, logit FROM (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS top FROM {_LOGITS}) WHERE logit >= top + ln(0.1)",
+    "typical_filter": f"""WITH s AS (SELECT *, -ln(p) AS s FROM {_P}), x AS (SELECT *, round(abs(s - sum(p * s) OVER (PARTITION BY vec_id)), 12) AS far FROM s)
+      SELECT vec_id, token_id, logit FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY far, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x) WHERE before < 0.5""",
+    "stop_token": f"SELECT id, coalesce(min(idx) FILTER (WHERE token IN ('which', 'while', 'because')), count(*))::INT AS n_tokens, bool_or(token IN ('which', 'while', 'because')) AS stopped FROM {_TOKENS} GROUP BY 1",
+    "greedy_sample": f"SELECT vec_id, token_id FROM {_LOGITS} WHERE token_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) = 1",
     "softmax_top": f"""WITH k AS (SELECT vec_id, token_id, logit FROM {_LOGITS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token_id) <= 3),
       e AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY vec_id)) / 0.6) AS w FROM k) SELECT vec_id, token_id, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM e""",
 }

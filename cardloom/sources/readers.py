@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.html import upload_text
+from ..operators.rules import RuleSet
 
 TEXT_TYPES, HTML_TYPES, PDF_TYPES = (".txt", ".text", ".md"), (".html", ".htm"), (".pdf",)
 
@@ -53,17 +54,54 @@ def preset_name(name: str | None) -> str:
 
 
 def load_options(folder: str, preset: str | None = None, variable: str = "CARDLOOM_PRESET") -> Options:
-    """Settings from ``settings.json``, then ``settings.<preset>.json`` of a folder; the later wins. The preset may
-    come from an environment variable. Missing files and unknown keys are passed over."""
+    """Settings from ``settings.json``, then ``secrets.json``, then ``settings.<preset>.json`` of a folder; the later wins.
+    The preset may come from an environment variable. Missing files and unknown keys are passed over."""
     options, known = Options(), {f.name for f in fields(Options)}
     preset = preset_name(preset or os.environ.get(variable))
-    for name in ("settings.json", f"settings.{preset}.json" if preset else ""):
+    for name in ("settings.json", "secrets.json", f"settings.{preset}.json" if preset else ""):
         path = Path(folder) / name
         if name and path.exists():
             options = replace(options, **{k: v for k, v in json.loads(path.read_text()).items() if k in known})
     return options
 
 
+def layered(*layers: Column) -> Column:
+    """One map of several layers of settings; the later wins. A null layer is passed over."""
+    out = F.coalesce(layers[0], F.create_map().cast("map<string,string>"))
+
+    def over(lower: Column, upper: Column) -> Column:
+        return F.map_concat(F.map_filter(lower, lambda k, _: ~F.map_contains_key(upper, k)), upper)
+
+    for layer in layers[1:]:
+        out = over(out, F.coalesce(layer, F.create_map().cast("map<string,string>")))
+    return out
+
+
+def banned_rules(options: Options, ends: frozenset[str] = frozenset()) -> RuleSet:
+    """The bans that settings name, without end."""
+    return RuleSet(ends=ends).ban_texts(options.banned_texts)
+
+
+def upload_result(uploads: DataFrame, chunks: DataFrame, request: str) -> DataFrame:
+    """What the sender of each request is told: ``success, files_processed, chunks_added, message``.
+
+    ``uploads`` has ``request`` and ``content``, ``chunks`` the chunks made of them with ``request``. A request whose
+    files are all empty is rejected.
+    """
+    files = uploads.groupBy(request).agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("content")), F.lit(0)).alias("longest"))
+    made = chunks.groupBy(request).agg(F.count("*").alias("made"))
+    told, ok = files.join(made, request, "left"), F.col("longest") > 0
+    n, added = F.when(ok, F.col("n")).otherwise(0), F.when(ok, F.coalesce("made", F.lit(0))).otherwise(0)
+    said = F.concat(F.lit("Successfully uploaded "), n.cast("string"), F.lit(" file(s) and added "), added.cast("string"), F.lit(" chunks for processing."))
+    return told.select(request, ok.alias("success"), n.cast("long").alias("files_processed"), added.cast("long").alias("chunks_added"), F.when(ok, said).otherwise("No files uploaded").alias("message"))
+
+
+def paged_text(pages: Column, newline: str = "\n") -> Column:
+    """``page_text`` as an expression over an array of pages, each an array of blocks."""
+    page = lambda blocks: F.concat(F.array_join(F.transform(blocks, lambda b: F.concat(b, F.lit(newline * 2))), ""), F.lit("---" + newline))
+    return F.array_join(F.transform(pages, page), "")
+
+
 def read_files(spark: SparkSession, path: str, strip_html: bool = False, extra_context: str | None = None, pdf: Callable[[bytes], list[list[str]]] | None = None) -> DataFrame:
     """Files of a folder as ``file_id, content, extra_context, received_at``; empty ones are rejected.
 
@@ -106,3 +144,10 @@ def queue_stream(spark: SparkSession, folder: str, schema: str, files_per_batch:
     """The work queue as a stream over a landing folder: what is enqueued there is read once, in order of arrival,
     ``files_per_batch`` at a time (the back pressure)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def start_queue(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, options: Options):
+    """Starts the work on a queue: with continuous batching whatever comes is taken at once, else what is there is
+    worked off to the end and the query stops."""
+    trigger = {"processingTime": "0 seconds"} if options.continuous_batching else {"availableNow": True}
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(process).start()

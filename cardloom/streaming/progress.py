@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.queue import room
+from ..operators.store import number_rows
+from ..session import cut
+
 DONE = "Processing complete"
 
 
@@ -40,49 +47,105 @@ def live_progress(events: DataFrame, timeout_ms: int = 5000) -> DataFrame:
 
 
 class Gate:
-    """Holds rows back until there are ``minimum`` of them or ``wait_seconds`` have passed since the first.
-
-    Used as ``foreachBatch``: rows that wait stay in the landing table ``pending``, so nothing is lost with a driver.
-    ``release`` gets each released batch of at most ``size`` rows a call.
+    """Holds the requests of a stream back until there are ``minimum`` of them or ``wait_seconds`` have passed since the
+    first; used as ``foreachBatch``.
+
+    What waits lies in the folder ``pending``, each part under the number of its micro-batch and the time it came, so a
+    new ``Gate`` on the same folder goes on where a lost driver stopped, with the wait as it was. At most twice
+    ``width`` requests may be in work: ``in_flight`` tells how many are, and ``release`` gets as many as there is room
+    for, in the order of ``order``; the rest waits on. A release that a crash cuts short is made once more.
+    ``watch`` looks for expired waits by itself, so the last small group leaves without a new arrival.
     """
 
-    def __init__(self, pending: str, release: Callable[[DataFrame], None], minimum: int, wait_seconds: float, clock: Callable[[], float]):
+    def __init__(self, pending: str, release: Callable[[DataFrame], None], minimum: int, wait_seconds: float, clock: Callable[[], float] = time.time, order: tuple[str, ...] = (), width: int = 1 << 30, in_flight: Callable[[], int] = lambda: 0):
         self.pending, self.release, self.minimum, self.wait, self.clock = pending, release, minimum, wait_seconds, clock
+        self.order, self.width, self.in_flight = order, width, in_flight
+        self.lock = threading.RLock()
         self.since: float | None = None
-        self.parts: list[str] = []
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        part = f"{self.pending}/batch={number}"
-        batch.write.mode("overwrite").parquet(part)
-        if batch.sparkSession.read.schema(batch.schema).parquet(part).limit(1).count():
-            self.parts.append(part)
-            self.since = self.clock() if self.since is None else self.since
-        self.poll(batch)
-
-    def poll(self, like: DataFrame) -> bool:
+        with self.lock:
+            spark = batch.sparkSession
+            if not any(n == number for n, _, _ in self.parts(spark)):  # a batch that comes again is there already
+                self._put(batch, number)
+            self.poll(spark)
+
+    def _put(self, rows: DataFrame, number: int) -> None:
+        # a name of its own: what is left of a part is written before the part is deleted
+        rows.write.mode("overwrite").parquet(f"{self.pending}/part-{number}-{int(self.clock() * 1000)}-{uuid4().hex}")
+
+    def parts(self, spark: SparkSession) -> list[tuple[int, float, str]]:
+        """Number, time and path of all that waits, in order; parts that were not written to their end do not count."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.pending)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        found = []
+        for status in fs.listStatus(path):
+            name = status.getPath().getName().split("-")
+            if name[0] == "part" and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append((int(name[1]), int(name[2]) / 1000, status.getPath().toString()))
+        return sorted(found)
+
+    def poll(self, spark: SparkSession) -> bool:
         """Releases what waits if it is due; says whether it did."""
-        if not self.parts:
-            return False
-        waiting = like.sparkSession.read.schema(like.schema).parquet(*self.parts)
-        if waiting.limit(self.minimum).count() < self.minimum and self.clock() - self.since <= self.wait:
-            return False
-        self.release(waiting)
-        self.parts, self.since = [], None
-        return True
+        with self.lock:
+            parts = self.parts(spark)
+            parts = [p for p in parts if not spark.read.parquet(p[2]).isEmpty()]
+            free = room(self.width, self.in_flight())
+            if not parts or not free:
+                return False
+            self.since = min(at for _, at, _ in parts)
+            waiting = spark.read.parquet(*[path for *_, path in parts])
+            if waiting.limit(self.minimum).count() < self.minimum and self.clock() - self.since <= self.wait:
+                return False
+            if self.width < 1 << 30:
+                numbered = cut(number_rows(waiting, list(self.order), "__n"))
+                self.release(numbered.where(F.col("__n") <= free).drop("__n"))
+                rest = numbered.where(F.col("__n") > free).drop("__n")
+                if not rest.isEmpty():
+                    self._put(rest, parts[-1][0])  # the wait starts anew
+            else:
+                self.release(waiting)
+            fs = spark._jvm.org.apache.hadoop.fs.Path(self.pending).getFileSystem(spark._jsc.hadoopConfiguration())
+            for *_, path in parts:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+            self.since = None
+            return True
+
+    def watch(self, spark: SparkSession, stop: threading.Event, every: float = 1.0) -> threading.Thread:
+        """Polls in a thread of its own until ``stop`` is set."""
+
+        def run():
+            while not stop.wait(every):
+                self.poll(spark)
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
 
 
 def status_counts(work: DataFrame) -> DataFrame:
-    """Processed and remaining items and tokens: what a status push carries. ``work`` has ``status, n_cards, n_tokens``."""
+    """Processed and remaining items, tokens and tokens per second: what a status push carries. ``work`` has ``status,
+    n_cards, n_tokens, at``; the rate is null for a single moment or without tokens."""
+    total = F.coalesce(F.sum("n_tokens"), F.lit(0))
+    seconds = F.timestamp_diff("MICROSECOND", F.min("at"), F.max("at")) / 1_000_000
     return work.agg(
-        F.count_if(F.col("n_cards") > 0).alias("processed"), F.count_if(F.col("status") == "Queued").alias("remaining"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens")
-    )
+        F.count_if(F.col("n_cards") > 0).alias("processed"), F.count_if(F.col("status") == "Queued").alias("remaining"), total.alias("total_tokens"),
+        F.when((seconds > 0) & (total > 0), F.round(total / seconds, 6)).alias("tokens_per_second"),
+    )
+
+
+def work_list(work: DataFrame) -> DataFrame:
+    """The items in work as a push names them: all that are not queued."""
+    return work.where("status <> 'Queued'").select("id", "status", "response", "rewind_chars")
 
 
-def push_status(work: DataFrame, send: Callable[[dict], None], checkpoint: str, interval: str = "1 second"):
-    """Starts a query that sends the status after every micro-batch."""
+def push_status(work: DataFrame, send: Callable[[dict], None], checkpoint: str, interval: str = "1 second", items: Callable[[], list[dict]] = list):
+    """Starts a query that sends the counts of all work so far after every micro-batch, with the items in work."""
 
     def each(batch: DataFrame, _: int) -> None:
         for row in batch.collect():  # one row
-            send(row.asDict())
+            send({**row.asDict(), "items": items()})
 
     return status_counts(work).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(each).start()

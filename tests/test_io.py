@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import json
+import threading
 import time
 
 import pandas as pd
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import register
 from cardloom.operators.cards import parse_cards
-from cardloom.sources.readers import Options, direct_text, load_options, page_text, preset_name, queue_stream, read_files
+from cardloom.operators.chunker import chunk
+from cardloom.sources.readers import Options, direct_text, layered, load_options, page_text, preset_name, queue_stream, read_files
+from cardloom.sources.samples import sample_uploads
 from cardloom.sources.sinks import append_cards, append_rows, create_tables, enqueue, export_csv, export_json
 from cardloom.streaming.progress import Gate, live_progress, status_counts
 from cardloom.streaming.rates import burst_rates
@@ -58,21 +61,47 @@ def test_tables_and_exports(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
     assert text == 'Question,Answer,FileId\n"a""q\nz","b","f"\n'
     parsed = parse_cards(spark.createDataFrame([(1, 'Q: a"q\nz\nA: b')], "id long, response string"), "response", ["id"])
-    export_json(parsed, "id", f"{tmp_path}/json")
+    chunks = spark.createDataFrame([(1, "text", 0, 4, "f", None)], "id long, content string, start_position int, end_position int, file_id string, extra_context string")
+    export_json(parsed, chunks, ["id"], "id", f"{tmp_path}/json")
     line = next((tmp_path / "json").rglob("part-*")).read_text()
-    assert json.loads(line) == [{"Id": 0, "Question": 'a"q\nz', "Answer": "b", "OriginId": 0}]
+    origin = {"Id": 1, "Content": "text", "StartPosition": 0, "EndPosition": 4, "FileId": "f", "ExtraContext": None}
+    assert json.loads(line) == [{"Id": 0, "Question": 'a"q\nz', "Answer": "b", "OriginId": 0, "Origin": origin}]
 
 
 def test_gate_holds_and_releases(spark, tmp_path):
     now, out = [0.0], []
-    held = Gate(str(tmp_path / "pending"), lambda df: out.append(sorted(r.id for r in df.collect())), 8, 90, lambda: now[0])
-    rows = lambda a, b: spark.range(a, b)
-    held(rows(0, 5), 0)
+    make = lambda **more: Gate(str(tmp_path / "pending"), lambda df: out.append(sorted(r.id for r in df.collect())), 8, 90, lambda: now[0], **more)
+    held = make()
+    held(spark.range(0, 5), 0)
+    held(spark.range(0, 5), 0)  # the same batch again
     assert out == []
     now[0] = 91
-    assert held.poll(rows(0, 0)) and out == [[0, 1, 2, 3, 4]]
-    held(rows(0, 8), 1)
-    assert out[1] == list(range(8)) and not held.poll(rows(0, 0))
+    again = make()  # after a restart nothing is forgotten, neither rows nor the wait
+    assert again.poll(spark) and out == [[0, 1, 2, 3, 4]] and not again.poll(spark)
+    again(spark.range(0, 8), 1)
+    assert out[1] == list(range(8)) and not again.poll(spark)
+    busy = [3]
+    full = make(order=("id",), width=3, in_flight=lambda: busy[0])
+    full(spark.range(0, 9), 2)
+    assert out[2] == [0, 1, 2]  # room for twice three less what is in work
+    busy[0] = 6
+    now[0] += 200
+    assert not full.poll(spark)
+    busy[0] = 0
+    assert full.poll(spark) and out[3] == [3, 4, 5, 6, 7, 8]
+
+
+def test_gate_watches_the_clock(spark, tmp_path):
+    out, stop = [], threading.Event()
+    held = Gate(str(tmp_path / "pending"), lambda df: out.append(df.count()), 8, 0.2)
+    held(spark.range(0, 2), 0)
+    thread = held.watch(spark, stop, 0.1)
+    until = time.time() + 30
+    while not out and time.time() < until:
+        time.sleep(0.1)
+    stop.set()
+    thread.join(10)
+    assert out == [2]
 
 
 def test_queue_stream(spark, tmp_path):
@@ -94,8 +123,8 @@ def test_queue_stream(spark, tmp_path):
 
 
 def test_status_and_rates(spark):
-    work = spark.createDataFrame([("Queued", 0, None), ("done", 2, 10), ("done", 0, 5)], "status string, n_cards long, n_tokens long")
-    assert tuple(status_counts(work).head()) == (1, 1, 15)
+    work = spark.createDataFrame([("Queued", 0, None, 0), ("done", 2, 10, 0), ("done", 0, 5, 3)], "status string, n_cards long, n_tokens long, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert tuple(status_counts(work).head()) == (1, 1, 15, 5.0)
     at = pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:10", "2024-01-01 05:00:00"])
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 1, 1], "at": at, "n": [5, 15, 7]}))
     got = sorted((r.n_tokens, r.tokens_per_second) for r in burst_rates(df, "k", "at", "n", "1 hour").collect())
@@ -108,3 +137,11 @@ def test_registered_for_sql(spark):
     assert spark.sql("SELECT html_to_text(page) AS x FROM told WHERE id = 1").head().x == "\r\nA."
     assert [tuple(r) for r in spark.sql("SELECT id, c.content, c.end_position FROM told, LATERAL chunk_text(t) c").collect()] == [(1, "A.B.", 4)]
     assert [r.line for r in spark.sql("SELECT l.line FROM told, LATERAL text_lines(t) l ORDER BY line_no").collect()] == ["A.", "", "B."]
+    assert [tuple(r) for r in spark.sql("SELECT c.question, c.answer FROM VALUES ('Q: a\nA: b') AS v(t), LATERAL parse_cards(t) c").collect()] == [("a", "b")]
+
+
+def test_samples_and_layers(spark):
+    rows = chunk(sample_uploads(spark), "content", ["file_id"]).collect()
+    assert {r.file_id for r in rows} == {"notes.txt", "words.txt"}
+    df = spark.createDataFrame([({"a": "1", "b": "1"}, {"b": "2"}), (None, None)], "x map<string,string>, y map<string,string>")
+    assert [r.m for r in df.select(layered(F.col("x"), F.col("y")).alias("m")).collect()] == [{"a": "1", "b": "2"}, {}]

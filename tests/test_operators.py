@@ -1,23 +1,27 @@
 """Goldens and edge cases of the core operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.text import csv_field, index_of, last_line, safe_name, split_lines, split_sentences, token_estimate, unicode_trim, without_last_line
-from cardloom.operators.cards import completion_status, conversation, message, parse_cards, prompts
+from cardloom.operators.cards import completion_status, conversation, message, parse_cards, parse_response, prompts, template_of, wrapped
 from cardloom.operators.chunker import chunk, chunk_block, chunk_text
 from cardloom.operators.density import card_counts, intensity, thresholds
 from cardloom.operators.guard import AllowedTexts, active_rules, banned_spans, banned_tokens, immediate_repeats, line_repeat_stop, low_diversity_stop, progress_fold, rewound, sequence_bans, single_token_bans, tokens_of
 from cardloom.operators.html import plain_text
 from cardloom.operators.queue import admit, fifo_batches, gate
+from cardloom.operators.rules import Generation, Rule, RuleSet, permitted, replay
+from cardloom.operators.steps import run_steps
 from cardloom.operators.references import chunk_states, orphan_references, orphans
 from cardloom.operators.sampling import draw, greedy, min_p, sample, softmax, top_k, top_p
 from cardloom.operators.skew import skew_left_join
-from cardloom.operators.store import delete_chunks, details, details_of, fold_log, restore_chunks, update_cards
+from cardloom.operators.store import delete_chunks, details, details_of, fold_log, number_rows, restore_chunks, resubmitted, retry_chunks, update_cards
 
 
 def one(spark, value, expression):
@@ -136,7 +140,7 @@ def test_conversation(spark):
 
 def test_completion_status(spark):
     df = spark.createDataFrame([(0, None, False), (2, None, False), (2, "boom", False), (0, None, True)], "n long, e string, c boolean")
-    assert [r.s for r in df.select(completion_status(F.col("n"), F.col("e"), F.col("c")).alias("s")).collect()] == ["Failed: No flashcards parsed from response", "Completed: 2 cards created", "Failed: boom", "Cancelled"]
+    assert [r.s for r in df.select(completion_status(F.col("n"), F.col("e"), F.col("c")).alias("s")).collect()] == ["Failed: No flashcards parsed from LLM response.", "Completed: 2 cards created", "Failed: boom", "Cancelled"]
 
 
 def tokens(spark, words, key=1):
@@ -209,9 +213,141 @@ def test_queue(spark):
 
 def test_gate(spark):
     at = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(i, at + dt.timedelta(seconds=s), 0) for i, s in enumerate([0, 1, 2, 50])], "id long, at timestamp, b int")
-    got = {r.id: (r.released_at - at).total_seconds() for r in gate(df, "at", "id", 3, 90, "b").collect()}
-    assert got == {0: 2, 1: 2, 2: 2, 3: 140}
+    df = spark.createDataFrame([(i, at + dt.timedelta(seconds=s), 0) for i, s in enumerate([0, 1, 2, 50])] + [(9, None, 0)], "id long, at timestamp, group_first int")
+    got = {r.id: (r.released_at - at).total_seconds() for r in gate(df, "at", "id", 3, 90).collect()}
+    assert got == {0: 2, 1: 2, 2: 2, 3: 140} and gate(df.limit(0), "at", "id", 3, 90).count() == 0
+
+
+def test_gate_over_many_blocks(spark):
+    rng, now, rows = random.Random(8), 0, []
+    for i in range(1500):
+        now += rng.choice([0, 1, 3, 10, 40, 200, 5])
+        rows.append((i, now))
+    want, group, i = {}, 0, 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and j - i < 8 and rows[j][1] <= rows[i][1] + 90:
+            j += 1
+        want |= {k: (group, rows[j - 1][1] if j - i == 8 else rows[i][1] + 90) for k in range(i, j)}
+        group, i = group + 1, j
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(rows, "id long, t long").withColumn("at", F.timestamp_seconds("t"))
+        got = {r.id: (r.group_no, r.s) for r in gate(df, "at", "id", 8, 90).withColumn("s", F.unix_timestamp("released_at")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
+def test_numbers_over_many_partitions(spark):
+    """A wide payload and small partitions: every number once, in order, and no row lost."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+    try:
+        df = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("x"), 80).alias("wide"))
+        got = number_rows(df, ["k"], "n", 5)
+        told = got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.countDistinct("k")).head()
+        ordered = got.select("n", "k", F.lag("k").over(Window.partitionBy(F.floor(F.col("n") / 1000)).orderBy("n")).alias("before")).where("before >= k").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert tuple(told) == (1_000_000, 1_000_000, 5, 1_000_004, 1_000_000) and ordered == 0
+
+
+def test_retry_and_resubmit(spark):
+    chunks = spark.createDataFrame([(1, "f", "a", ""), (2, "f", "b", "c"), (5, "g", None, None)], "id long, file_id string, content string, extra_context string")
+    cards = spark.createDataFrame([(1, "q", "a", 2), (2, "q", "a", 1), (3, "q", "a", None)], "id long, question string, answer string, origin_id long")
+    ids = spark.createDataFrame([(2,), (2,), (77,)], "id long")
+    kept, left, anew = retry_chunks(chunks, cards, ids, 5)
+    assert {r.id for r in kept.collect()} == {1, 5} and {r.id for r in left.collect()} == {2, 3} and [(r.old_id, r.id) for r in anew.collect()] == [(2, 6)]
+    assert sorted((r.old_id, r.extra_context) for r in resubmitted(chunks, ids.union(spark.range(1, 2))).collect()) == [(1, None), (2, "c")]
+
+
+# --- rules ---
+
+
+def generation(rules, *tokens, control=frozenset()):
+    now = Generation(rules, control)
+    met = [now.accept(t) for t in tokens]
+    return now, met
+
+
+@pytest.mark.parametrize("rule, expected", [(Rule("ban", "text", "llo worl"), (4, "Hel", 0, 3)), (Rule("ban", "text", " worl"), (2, " wor", 2, 3)), (Rule("ban", "text", "llo worl", ban_last=True), (1, "ld", 3, 3)), (Rule("ban", "text", "XYZ"), None), (Rule("ban", "tokens", ("lo", " wor", "ld"), 0, 7), (3, "lo", 1, 7)), (Rule("ban", "text", "llo", 9), None)])
+def test_text_bans(rule, expected):
+    now, met = generation(RuleSet().add(rule), "Hel", "lo", " wor", "ld")
+    assert next((m for m in met if m), None) == expected
+
+
+def test_rewind_and_bans_in_force():
+    rules = RuleSet().ban_texts(["quick brown"])
+    now, met = generation(rules, "The", " quick", " brown")
+    now.rewind(met[-1][0])
+    assert now.text == "The" and now.at == 1 and not now.allows(" quick") and now.allows(" fast") and not now.allows("quick brown")
+    for t in (" fast", " yellow", " fox"):
+        assert now.accept(t) is None
+    assert now.text == "The fast yellow fox" and now.allows(" quick")
+    now.rewind(99)
+    assert now.text == "" and now.at == 0
+    both, met = generation(RuleSet().add(Rule("ban", "tokens", ("b", "c")), Rule("ban", "text", "abc")), "a", "b", "c")
+    assert met[-1][0] == 3  # the longer of both rewinds
+
+
+def test_allowed_texts_and_tokens():
+    texts = lambda *words: RuleSet().add(*(Rule("allow", "text", w) for w in words))
+    assert [generation(texts("Hello"))[0].allows(t) for t in ("He", "H", "llo", "World")] == [True, True, False, False]
+    assert generation(texts("Hello"), "He")[0].allows("llo") and generation(texts("Hello", "World"), "He")[0].allows("lloWorld")
+    assert generation(texts("A", "B"), "A")[0].allows("B") and not generation(texts("A", "B"), "A")[0].allows("C") and not generation(texts("A", "AB"), "A")[0].allows("B")
+    now, _ = generation(texts("AB", "AC"), "A", "B")
+    now.rewind(1)
+    assert now.allows("B") and now.allows("C")
+    rules = RuleSet(ends=frozenset({"</s>"})).add(Rule("allow", "tokens", ("a", "b")), Rule("ban", "token", "b"))
+    now, _ = generation(rules, control=frozenset({"</s>"}))
+    assert now.allows("a") and not now.allows("b") and now.allows("</s>")
+    now.accept("a")
+    assert not now.allows("b") and now.allows("</s>")  # a ban beats an allowance
+    with pytest.raises(ValueError):
+        rules.add(Rule("ban", "token", "</s>"))
+    with pytest.raises(ValueError):
+        rules.add(Rule("ban", "tokens", ("x", "</s>")))
+
+
+def test_rule_sets():
+    rules = RuleSet().ban_texts(["ab", "", "c"], at=5, duration=3).add(Rule("allow", "text", "abc"))
+    assert [rules.rules[0].active(n) for n in (4, 5, 7, 8)] == [False, True, True, False] and len(rules.rules) == 3
+    assert rules.longest("text") == 3 and rules.longest("tokens") == 0 and len(rules.clear("ban", "text").rules) == 1 and not rules.reset().rules
+
+
+def test_replay_frames(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], "x"), (2, None, "x"), (3, [], None)], "k long, t array<string>, text string")
+    got = {r.k: r for r in replay(df, "k", F.col("t"), RuleSet().ban_texts(["bc"])).collect()}
+    assert got[1].text == "a" and [tuple(e) for e in got[1].events] == [(2, 2, "b", 1, 3)] and got[2].text == "" and got[3].n_tokens == 0
+    assert permitted(df.limit(0), "k", F.col("t"), ["a"], RuleSet()).count() == 0
+
+
+def test_steps(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * (i + 1)) for i in range(7)] + [(8, None), (9, "")], "id long, p string").coalesce(1)
+    for continuous in (True, False):
+        got = {r.id: r for r in run_steps(df, "id", "p", width=3, max_tokens=5, continuous=continuous).collect()}
+        assert len(got) == 9 and got[6].response == " ".join(["w6"] * 5) and got[2].n_tokens == 3 and got[8].response == "" and not any(r.error for r in got.values())
+
+    def failing(items):
+        if any(p.startswith("w1") and len(t.split()) == 1 for p, t in items):
+            raise RuntimeError("full")
+        from cardloom.operators.steps import stub_step
+
+        return stub_step(items)
+
+    got = {r.id: r for r in run_steps(df, "id", "p", failing, width=2).collect()}
+    assert len(got) == 9 and sum(r.error is not None for r in got.values()) >= 1 and all(r.error == "Inference Failed" for r in got.values() if r.error)
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("Mistral-Small-3.2-24B-Instruct-2506", "USER", "hi"), (None, "assistant", "yo"), ("x", "user", "")], "model string, role string, text string").withColumn("t", template_of(F.col("model")))
+    got = [tuple(r) for r in df.select("t", wrapped(F.col("role"), F.col("text"), F.col("t")).alias("a"), wrapped(F.col("role"), F.col("text"), F.col("t"), before=False).alias("b")).collect()]
+    assert got[0] == ("mistral", "[INST]hi[/INST]", "hi[/INST]") and got[1][:2] == ("chatml", "yo<|im_end|>\n") and got[2][1].endswith("<|im_start|>assistant\n")
+    assert parse_response("<think>Q: no</think>Q: a\nQ: b\nA: c\nA: d") == [("b", "c\nA: d")] and parse_response(None) == []
 
 
 CHUNKS = [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 3, 1)), (3, dt.datetime(2024, 1, 1)), (3, dt.datetime(2024, 1, 1)), (4, None)]
