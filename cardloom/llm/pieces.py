@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,7 @@ LEVELS = tuple(
     )
 )
 SENTENCE = 3
+_BLANKS = regex.compile(r"\s+")
 
 
 def utf16_length(text: str) -> int:
@@ -33,58 +37,65 @@ def tokens_estimate(content: Column) -> Column:
     return F.floor(F.octet_length(F.encode(content, "UTF-16BE")) / 2 / CHARS_PER_TOKEN)
 
 
-def _cut(text: str, level: int) -> list[str]:
-    ends = [m.end() for m in LEVELS[level].finditer(text) if 0 < m.end() < len(text)]
-    bounds = [0, *ends, len(text)]
-    return [text[a:b] for a, b in zip(bounds, bounds[1:]) if a < b]
-
-
-def _units(text: str, limit: int, level: int, out: list[tuple[str, int]]) -> None:
-    """Append the parts of ``text``, each within ``limit`` and as large as the hierarchy allows, with their level."""
-    if utf16_length(text) <= limit:
-        out.append((text, level))
-    elif level == len(LEVELS):
-        part, size = [], 0
-        for c in text:
-            width = 1 + (c > "￿")
-            if size + width > limit:
-                out.append(("".join(part), level))
-                part, size = [], 0
-            part.append(c)
-            size += width
-        out.append(("".join(part), level))
-    else:
-        for part in _cut(text, level):
-            _units(part, limit, level + 1, out)
+class _Text:
+    """A text with its boundaries: ``bounds[k]`` are the places where a unit of level ``k`` or stronger ends, in characters,
+    and ``units[i]`` is the place of character ``i`` in UTF-16 units."""
+
+    def __init__(self, text: str):
+        self.text, self.bounds = text, []
+        found: set[int] = {len(text)}
+        for level in LEVELS:
+            # blanks belong to what stands before them: no boundary among those that lead to a stronger one
+            weak = (m.end() for m in level.finditer(text) if m.end() > 0)
+            found.update([b for b in weak if b not in found and not ((m := _BLANKS.match(text, b)) and m.end() in found)])
+            self.bounds.append(sorted(found))
+        if text.isascii():
+            self.units = range(len(text) + 1)
+        else:
+            self.units = [0, *accumulate(1 + (c > "\uffff") for c in text)]
+
+    def size(self, a: int, b: int) -> int:
+        return self.units[b] - self.units[a]
+
+    def cut(self, start: int, begin: int, limit: int, overlap: int) -> int:
+        """Where the piece that begins at ``begin`` (its own text at ``start``) ends.
+
+        All units of the strongest level that fit are taken. The unit that fits no more is left whole for the next
+        piece if it fits there behind the overlap, and also if this piece is half full already; else its parts of the
+        next weaker level are taken in the same way. After the last level the text is cut between characters.
+        """
+        far = bisect_right(self.units, self.units[begin] + limit) - 1
+        if far == len(self.text):
+            return far
+        end = start
+        for bounds in self.bounds:
+            k = bisect_right(bounds, far)
+            if k and bounds[k - 1] > end:
+                end = bounds[k - 1]
+            if end > start:
+                head = _overlap(self.text[begin:end], overlap)
+                if self.size(end - head, bounds[k]) <= limit or 2 * self.size(start, end) >= limit:
+                    return end
+        return far
 
 
 def split_text(text: str, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> list[tuple[str, int, int]]:
     """Pieces ``(content, start, end)`` of ``text`` in UTF-16 units; a text within the limit is one piece.
 
-    Units of the strongest possible level are packed greedily. A piece after the first begins with the end of the
-    one before, about ``overlap_tokens`` of it, from a sentence start if one lies near, else from a word start. Every
-    piece is an exact substring; without their overlaps the pieces are the text.
+    The text is cut at the strongest boundaries that serve: a unit is cut inside only if it fits no piece whole. A
+    piece after the first begins with the end of the one before, about ``overlap_tokens`` of it, from a sentence start
+    if one lies near, else from a word start. Every piece is an exact substring; without their overlaps the pieces are
+    the text.
     """
     limit = max_tokens * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1
     if utf16_length(text) <= limit:
         return [(text, 0, utf16_length(text))] if text else []
-    overlap = min(overlap_tokens * CHARS_PER_TOKEN, limit // 2)
-    room = limit - overlap - overlap // 2  # an overlap may be half as long again to begin at a sentence
-    units: list[tuple[str, int]] = []
-    _units(text, room, 0, units)
-    pieces, at, start, k = [], 0, 0, 0
-    while k < len(units):
-        head = _overlap(text[start:at], overlap)
-        size = utf16_length(text[at - head : at])
-        end = at
-        while k < len(units) and size + (width := utf16_length(units[k][0])) <= limit:
-            end, size, k = end + len(units[k][0]), size + width, k + 1
-        pieces.append((at - head, end))
-        start, at = at - head, end
-    out = []
-    for a, b in pieces:
-        begin = utf16_length(text[:a])
-        out.append((text[a:b], begin, begin + utf16_length(text[a:b])))
+    overlap = min(overlap_tokens * CHARS_PER_TOKEN, limit // 4)  # it may be half as long again to begin at a sentence
+    whole, out, at, begin = _Text(text), [], 0, 0
+    while at < len(text):
+        end = whole.cut(at, begin, limit, overlap)
+        out.append((text[begin:end], whole.units[begin], whole.units[end]))
+        begin, at = end - _overlap(text[begin:end], overlap), end
     return out
 
 
@@ -104,8 +115,8 @@ def _overlap(before: str, units: int) -> int:
             best[level] = min(starts, key=lambda s: abs(utf16_length(tail[s:]) - units))
     if SENTENCE in best and utf16_length(tail[best[SENTENCE] :]) >= units // 2:
         return len(tail) - best[SENTENCE]
-    if best:
-        return len(tail) - best[max(best)]
+    if SENTENCE + 1 in best and utf16_length(tail[best[SENTENCE + 1] :]) >= units // 2:
+        return len(tail) - best[SENTENCE + 1]
     while utf16_length(tail) > units:
         tail = tail[1:]
     return len(tail)

@@ -50,6 +50,31 @@ def test_pieces_cut_at_natural_ends():
     assert split_text("short") == [("short", 0, 5)] and split_text("") == []
 
 
+@pytest.mark.parametrize("n", [2400, 2503, 2590, 2699, 2750, 2801])
+def test_no_cut_inside_a_paragraph_that_fits(n):
+    paragraphs = [(" ".join(f"Word {i % 9} is here." for i in range(k, 220 + k))[: n - 1]).rstrip() + "." for k in range(4)]
+    text = "\n\n".join(paragraphs)
+    ends, at = [], 0
+    for p in paragraphs:
+        at += len(p) + 2
+        ends.append(min(at, len(text)))
+    cuts = [b for _, _, b in split_text(text)]
+    assert cuts[0] == ends[0]  # the end of the first paragraph fits, so no word of the second comes before the cut
+    if n <= 2590:  # with its overlap every paragraph fits a piece
+        assert cuts == ends
+    assert all(text[b - 1].isspace() or b == len(text) for b in cuts)  # at sentence ends and better
+
+
+def test_pieces_of_random_texts():
+    rng = random.Random(11)
+    for _ in range(25):
+        text = "".join(rng.choice(["word ", "A sentence ends. ", "\n\n", "\n", "x" * rng.choice([1, 50, 3000]), "日本。", "🧬", "# H\n"]) for _ in range(rng.randrange(200, 900)))
+        pieces, units = split_text(text), text.encode("utf-16-le")
+        assert pieces[0][1] == 0 and pieces[-1][2] == len(units) // 2
+        assert all(utf16_length(c) // 4 <= 700 and units[2 * a : 2 * b].decode("utf-16-le") == c for c, a, b in pieces)
+        assert all(a < c < b < d and (100 <= b - c <= 302 or b - a <= 302) for (_, a, b), (_, c, d) in zip(pieces, pieces[1:]))
+
+
 def test_pieces_frame(spark, duck, data):
     df = spark.createDataFrame([(1, "w " * 2000, 5, "x"), (1, "w " * 2000, 5, "x"), (2, None, 0, "x"), (3, "", 0, "x"), (4, "z" * 2803, None, "x"), (5, "z" * 2804, None, "x")], "id long, content string, start_position int, piece string")
     rows = oversized_pieces(df).orderBy("id", "piece").collect()
