@@ -10,85 +10,116 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .bpe import TOKENIZERS, encode_column
 
-#: Tokens of a source's budget that exact subset-sum fitting covers; the rest is taken evenly over all lengths.
-EXACT_WINDOW = 1 << 15
+#: Tokens left to exact subset-sum fitting at first, and the most it is widened to where that does not reach the budget.
+EXACT_WINDOW, WIDEST_WINDOW = 1 << 12, 1 << 22
 SEED = 17
 
 
+def _reach(sizes: np.ndarray, left: np.ndarray, target: int) -> tuple[np.ndarray, int]:
+    """How many of each size make the largest sum up to ``target``, and that sum: a bounded knapsack.
+
+    Counts are split into powers of two. For each sum the item that reached it first is kept; the sum before it was
+    reached by earlier items, so following these back uses every item once.
+    """
+    first = np.full(target + 1, -1, np.int32)
+    reached = np.zeros(target + 1, bool)
+    reached[0] = True
+    items: list[tuple[int, int]] = []
+    for i in np.argsort(-sizes):
+        rest, step = min(int(left[i]), target // int(sizes[i])), 1
+        while rest > 0:
+            n = min(step, rest)
+            weight = n * int(sizes[i])
+            new = reached[: target + 1 - weight] & ~reached[weight:]
+            first[weight:][new] = len(items)
+            reached[weight:] |= new
+            items.append((int(i), n))
+            rest, step = rest - n, step * 2
+        if reached[target]:
+            break
+    total = at = int(np.flatnonzero(reached)[-1])
+    taken = np.zeros(len(sizes), np.int64)
+    while at:
+        i, n = items[first[at]]
+        taken[i] += n
+        at -= n * int(sizes[i])
+    return taken, total
+
+
 def fit_subset(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = EXACT_WINDOW) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to ``budget`` or as little below as possible.
 
-    Most of the budget is taken in the same proportion from every size; what remains is fitted by a bounded
-    knapsack over the counts left, as a bit set of reachable sums.
+    The same proportion of every size is taken for all of the budget but a window; the window is filled by a bounded
+    knapsack over what is left of every size. If that does not meet the budget (or the nearest multiple of the sizes'
+    common divisor below it, which nothing can pass) the window is widened, up to the whole budget: the result is the
+    optimum for budgets up to ``WIDEST_WINDOW`` tokens, and beyond wherever it meets the budget.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = (counts * (budget / total)).astype(np.int64)
-    while int((sizes * taken).sum()) > budget:  # rounding of the ratio
-        taken = np.maximum(taken - 1, 0)
-    rest = budget - int((sizes * taken).sum())
-    order = np.argsort(-sizes)
-    for i in order:  # few documents: at most one of each size was rounded away
-        if rest <= window:
-            break
-        more = min(int(counts[i] - taken[i]), (rest - window + int(sizes[i]) - 1) // int(sizes[i]), rest // int(sizes[i]))
-        taken[i] += more
-        rest -= more * int(sizes[i])
-    items, layers, reach, mask = [], [], 1, (1 << (rest + 1)) - 1
-    for i in order:
-        left = min(int(counts[i] - taken[i]), rest // int(sizes[i]))
-        step = 1
-        while left > 0:
-            n = min(step, left)
-            items.append((i, n))
-            layers.append(reach)
-            reach = (reach | (reach << (n * int(sizes[i])))) & mask
-            left, step = left - n, step * 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for (i, n), before in zip(reversed(items), reversed(layers)):
-        if not before >> at & 1:
-            taken[i] += n
-            at -= n * int(sizes[i])
-    return taken
+    if budget <= 0:
+        return np.zeros_like(counts)
+    step = int(np.gcd.reduce(sizes[counts > 0]))
+    # budgets count in units of the common divisor
+    sizes, budget, total = sizes // step, budget // step, total // step
+    window = max(window, 2 * int(sizes[counts > 0].max()))
+    while True:
+        even = (counts * max(0, budget - window) // total).astype(np.int64)
+        rest = budget - int((sizes * even).sum())
+        if rest > 2 * WIDEST_WINDOW:  # many sizes were rounded down: take more of them until the window is met
+            for i in np.argsort(-sizes):
+                more = min(int(counts[i] - even[i]), max(0, rest - window) // int(sizes[i]))
+                even[i] += more
+                rest -= more * int(sizes[i])
+        taken, reached = _reach(sizes, counts - even, rest)
+        if reached == rest or window >= budget or 4 * window > WIDEST_WINDOW:
+            return even + taken
+        window *= 4
 
 
 def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per document size of one source: copies of every document, and how many documents get one copy more."""
+    """Per document size of one source: copies of every document, and how many documents get one copy more.
+
+    Documents are repeated evenly; only where that misses the budget some sizes are repeated more than others.
+    """
     sizes, counts = pdf["n_tokens"].to_numpy(), pdf["n_documents"].to_numpy()
     budget, most, total = int(pdf["budget_tokens"].iloc[0]), int(pdf["max_repeats"].iloc[0]), int((sizes * counts).sum())
     base = min(budget // total, most)
-    extra = fit_subset(sizes, counts, budget - base * total) if base < most else np.zeros_like(counts)
-    return pd.DataFrame({"source": pdf["source"], "n_tokens": sizes, "base": base, "extra": extra, "budget_tokens": budget})
+    rest, more = budget - base * total, np.zeros_like(counts)
+    for repeats in sorted({1, most - base}) if base < most else ():
+        tried = fit_subset(sizes, counts * repeats, rest)
+        if (sizes * tried).sum() > (sizes * more).sum():
+            more = tried
+    return pd.DataFrame({"source": pdf["source"], "n_tokens": sizes, "base": base + more // counts, "extra": more % counts, "budget_tokens": budget, "used_tokens": sizes * (base * counts + more)})
 
 
 def budgets(sized: DataFrame, targets: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
     """Document counts by source and exact length, and each source's budget.
 
-    The whole mixture has as many tokens as the listed sources have together; with ``strict``, the largest number at
-    which no source falls short of its share with all its repeats.
+    With ``strict`` the whole is the largest number of tokens at which no source that has any falls short of its share
+    with all its repeats, so all shares are reached. Without it the whole is as many tokens as the listed sources have
+    together: larger, but sources that are too small for it give all they may and fall short.
     """
     wanted = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
     lengths = sized.where("n_tokens > 0").groupBy("source", "n_tokens").agg(F.count("*").alias("n_documents"))
     held = lengths.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_documents")).alias("held_tokens"), F.sum("n_documents").alias("held_documents"))
     per_source = wanted.join(held, "source", "left").fillna(0, ["held_tokens", "held_documents"])
     if strict:
-        whole = F.min(F.when(F.col("target_share") > 0, F.floor(F.col("held_tokens") * F.col("max_repeats") / F.col("target_share"))))
+        whole = F.min(F.when((F.col("target_share") > 0) & (F.col("held_tokens") > 0), F.floor(F.col("held_tokens") * F.col("max_repeats") / F.col("target_share"))))
     else:
         whole = F.sum("held_tokens")
+    whole = F.coalesce(whole, F.lit(0))
     total = per_source.agg(whole.alias("whole_tokens"))
     per_source = per_source.crossJoin(F.broadcast(total)).withColumn("budget_tokens", F.round(F.col("target_share") * F.col("whole_tokens")).cast("long"))
     return lengths, per_source
 
 
-def mix(documents: DataFrame, targets: DataFrame, strict: bool = False, seed: int = SEED, tokenizers: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, strict: bool = True, seed: int = SEED, tokenizers: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """The mixture (``doc_id``, ``source``, ``n_tokens``, ``copies``) and the shares really reached.
 
-    A source whose share needs more than ``max_repeats`` copies of all it has gives those and falls short; the report
-    says so. Documents without tokens (null, empty) and sources that are not listed are left out; a listed source
+    See ``budgets`` for ``strict``. A source whose share needs more than ``max_repeats`` copies of all it has gives
+    those and falls short; the report says so. Documents without tokens (null, empty) and sources that are not listed are left out; a listed source
     without documents reaches 0. Which documents of one length get the extra copy follows a seeded hash of the id, so
     the result is the same in every run. The documents of one length may be very many: they are counted in 256
     buckets of that hash, and only the one bucket in which the choice ends is ordered.
@@ -99,7 +130,7 @@ def mix(documents: DataFrame, targets: DataFrame, strict: bool = False, seed: in
     plan = cut(
         lengths.join(per_source.select("source", "max_repeats", "budget_tokens"), "source")
         .groupBy("source")
-        .applyInPandas(_plan_source, "source string, n_tokens long, base long, extra long, budget_tokens long")
+        .applyInPandas(_plan_source, "source string, n_tokens long, base long, extra long, budget_tokens long, used_tokens long")
     )
     drawn = sized.where("n_tokens > 0").withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("draw", 56))
     by_bucket = drawn.groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("n"))
@@ -115,8 +146,8 @@ def mix(documents: DataFrame, targets: DataFrame, strict: bool = False, seed: in
     parted = placed.where("quota > 0 and quota < n").withColumn("copies", F.col("base") + (rank <= F.col("quota")).cast("long"))
     columns = ["doc_id", "source", "n_tokens", "copies"]
     mixture = whole.select(columns).unionByName(parted.select(columns)).where("copies > 0")
-    used = plan.groupBy("source").agg(F.sum(F.col("extra") * F.col("n_tokens")).alias("extra_tokens"), F.max("base").alias("base"))
-    report = per_source.join(used, "source", "left").withColumn("used_tokens", F.coalesce(F.col("base") * F.col("held_tokens") + F.col("extra_tokens"), F.lit(0)))
+    used = plan.groupBy("source").agg(F.sum("used_tokens").alias("used_tokens"))
+    report = per_source.join(used, "source", "left").fillna(0, ["used_tokens"])
     everything = report.agg(F.sum("used_tokens").alias("all_tokens"))
     shares = report.crossJoin(F.broadcast(everything)).select(
         "source", "target_share", "max_repeats", "held_documents", "held_tokens", "budget_tokens", "used_tokens",
