@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +57,39 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's own ``spark.checkpoint.dir``. Only a session without that setting (a local test)
     gets a folder made here.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a table: columns that a later step does not ask for are not read again, and it takes far less
+    room than a checkpoint of the same rows. The table goes with the session's end."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_tables() -> None:
+    for spark, path in _tables:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session is gone already
+            return
