@@ -6,13 +6,17 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("cardloom.llm")
 
 from cardloom.llm.bpe import PATTERN, TOKENIZERS, Encoder, encode_column, vocabulary  # noqa: E402
 from cardloom.llm import cutoff  # noqa: E402
-from cardloom.llm.cutoff import model_of, open_structures, train  # noqa: E402
-from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled_words, truncated  # noqa: E402
+from cardloom.llm import defects as defects_module  # noqa: E402
+from cardloom.llm.cutoff import open_structures  # noqa: E402
+from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled, truncated  # noqa: E402
 from cardloom.llm.fmindex import FMIndex  # noqa: E402
 from cardloom.llm.language import language_of  # noqa: E402
 from cardloom.llm.markup import LABELLED, clean_text, cleaned, kinds_of, markup_kinds  # noqa: E402
@@ -210,7 +214,7 @@ def test_copies():
     for a in (q, q.lower()[:-1], f"A: {q}", f"“{q}”", "Rigid tunnel, what does a peimisk do to the?"):
         assert is_copy(q, a)
     assert not is_copy(q, "A peimisk lines the rigid tunnel with a resin that hardens.") and not is_copy(None, "x") and not is_copy(q, "the rigid tunnel")
-    assert tiled_words(list("abcd"), list("cdab")) == 4
+    assert tiled("abcd", "cdab") == 4 and tiled("abcd", "dcba") == 0 and tiled("abcabc", "abc") == 3
 
 
 def test_copies_that_repeat_the_question():
@@ -278,17 +282,61 @@ def test_marks_that_end_no_sentence(spark):
     assert {r.id for r in defects(df).collect() if r.defect == "truncated"} == set(range(len(cut)))
 
 
-def test_rare_contexts_find_no_strangers_counts(spark):
-    """Many distinct words leave the counts of a word that occurs once where they are: at one."""
-    texts = [" ".join(f"{a}{b}{chr(97 + i % 26)}" for a in WORDS for b in ("al", "eg", "is", chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26))) + "." for i in range(4000)]
-    df = spark.createDataFrame([(t,) for t in texts + ["zyxwv"]], "text string")
-    model = model_of(train(df))
-    one = np.array([cutoff._place("word", "zyxwv")] + [cutoff._place("word", f"unseen{i}") for i in range(20_000)])
-    assert (model.counts(cutoff._WORD, one)[0] < 0).all()  # of one occurrence none is left without its own text
+def test_counts_are_exact(spark):
+    """Many distinct words leave the counts of a word that occurs once where they are, and rare contexts are dropped."""
+    texts = [" ".join(f"{a}{b}{chr(97 + i % 26)}" for a in WORDS for b in ("al", "eg", "is", chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26))) + "." for i in range(3000)] + ["zyxwv"]
+    df = spark.createDataFrame([(i, None, t, i) for i, t in enumerate(texts)], "id long, question string, answer string, row long")
+    told = df.mapInArrow(defects_module._read(True), defects_module.READ)
+    known = cutoff.trusted(told.where("id is null").select("kind", "key", "n", "yes", "over")).where(F.col("kind") == cutoff._WORD)
+    got = {r.key: r.n for r in known.collect()}
     counted = Counter(w for t in texts for w in re.findall(r"\w+", t))
-    often = [w for w, n in counted.items() if n > cutoff.EVIDENCE]
-    assert often and model.counts(cutoff._WORD, np.array([cutoff._place("word", w) for w in often]))[0].tolist() == [counted[w] - 1 for w in often]
-    assert len(model.tables[cutoff._WORD][0]) == len(often)
+    assert got == {cutoff._place("word", w): n for w, n in counted.items() if n > cutoff.EVIDENCE}
+
+
+def test_sentences_have_keys_of_their_own():
+    """The key of all of the sentence so far, computed over many texts at once, is that of the text alone."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["The", "a", "cat", "3.", "No.", "it ends.", "line\nnext", "x, y"]) for _ in range(rng.randrange(1, 90))) for _ in range(900)]
+    whole = cutoff.ValueTexts(texts, ["en"] * len(texts))
+    for i in rng.sample(range(len(texts)), 60):
+        alone = cutoff.ValueTexts([texts[i]], ["en"])
+        assert [int(x[i]) for x in whole.contexts(whole.token_ends)] == [int(x[0]) for x in alone.contexts(alone.token_ends)]
+    one, other = (cutoff.ValueTexts([t], ["en"]).contexts for t in ("He ran. The a", "It sat! The a"))
+    ends = [cutoff.ValueTexts([t], ["en"]).token_ends for t in ("He ran. The a", "It sat! The a")]
+    assert one(ends[0])[-1] == other(ends[1])[-1]  # after a sentence's end only the new sentence counts
+
+
+@pytest.mark.parametrize("language", ["en", "de", "fr", "es"])
+def test_no_refusal_is_left_out_before_its_grammar(language):
+    """The words asked for first are in every match of the grammars."""
+    pattern = re.compile(defects_module._REFUSALS[language].pattern, re.I | (re.X if language == "en" else 0))
+
+    @settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def check(text):
+        if defects_module._REFUSALS[language].search(text):
+            assert language in defects_module.may_refuse(set(defects_module.words_of(text.replace("ſ", "s"))))
+
+    check()
+
+
+def test_former_cuts_are_gone():
+    for a in ("Sorry.\nI cannot answer this question.", "(I cannot provide that)", "Unfortunately,\nI cannot help here.", "The passage isnt educational.", "The text is\nnot educational.", "No\nflashcards can be made from this."):
+        assert is_refusal(a)
+    q = "What is osmosis and why does it matter here?"
+    assert is_copy(q, ", ".join(q.split())) and is_copy(q, " ... ".join(q.split()))
+    assert is_other_language("What is the film about?", "La película Under the Sea es la que trata de los peces y de las algas en el mar.")
+    assert is_empty("«" + " . " * 40 + "» N/A") and not is_empty("no answer is known to this day by anyone at all")
+
+
+@pytest.mark.parametrize("text", ['He said "we must go now.', "```py x = 1.", "as shown (see figure 2.", "the sum $x + 1", "\\begin{align} a = b.", "<b>one</b> and <b>two", "it is **strong", "- one\n-", "1. one\n2. two\n3.", "\\(x + y"])
+def test_structures_left_open(text):
+    assert open_structures(text)
+
+
+@pytest.mark.parametrize("text", ["It costs $5 to $9.", "a < b and c > d", "2 ** 3", "- one\n- two", "1) first", "<b>x</b> and $y$ in \\begin{a}z\\end{a} **k**", "The <id> of it", "", "<p>open paragraph"])
+def test_structures_closed(text):
+    assert not open_structures(text)
 
 
 # --- near copies ---
