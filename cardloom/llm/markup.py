@@ -2,13 +2,15 @@
 
 A lexer reads a text into words and candidates of markup syntax. Each candidate has features (its form, what stands
 beside it); weights learned from labelled pages say how strongly each feature speaks for words (positive) or for tags
-(negative). The kinds of a text are those of its candidates with a negative score. The content of a text with HTML is
-its maximum-scoring contiguous run of words and tags, found by one linear scan; tags and scripts beyond it go.
+(negative). The content of a text is its maximum-scoring contiguous run of words and tags, found by one linear scan;
+where little but tags stands beyond it, it goes. With the scores turned round the same scan finds the region of each
+kind of markup, and a text holds the kinds that have one.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -25,19 +27,20 @@ SIGNS = r"(?m)[<\\$`*{\[]|&[a-zA-Z#]|''|!\[|(?<!\w)_|~[~\\]|^[ \t]*[#=|!>+\-~_]"
 
 #: Names of HTML elements.
 ELEMENTS = "a abbr address article aside audio b blockquote body br button canvas caption center cite code col dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video"
-_E = "(?:" + "|".join(sorted(ELEMENTS.split(), key=len, reverse=True)) + ")"
+_E = "(?i:" + "|".join(sorted(ELEMENTS.split(), key=len, reverse=True)) + ")"
 
 #: The forms of candidates, tried in this order at each place. Group names are ``kind__form``.
 _FORMS = [
     ("latex", "environment", r"\\(?:begin|end)\s*\{[^{}\n]*\}?"),
     ("latex", "display", r"\$\$[^$]*(?:\$\$)?|\\\[(?:[^\\]|\\(?!\]))*(?:\\\])?"),
     ("latex", "inline", r"\\\((?:[^\\\n]|\\(?!\)))*(?:\\\))?"),
-    ("latex", "math", r"(?<![\w$\\])\$(?=\S)[^$\n]{1,120}?(?<=\S)\$(?![\w$])"),
+    ("latex", "math", r"(?<![\w$\\])\$(?=\S)[^$\n]+?(?<=\S)\$(?![\w$])"),
+    ("latex", "cut_math", r"(?<![\w$\\])\$(?=[^\s\d$])[^$\n]*[\\^_{=][^$\n]*\Z"),
     ("latex", "command", r"~?\\[a-zA-Z]+\*?(?:\s*\[[^\]\n]*\])?(?:\s*\{[^{}\n]*\}?)*"),
     ("latex", "escape", r"\\[,;:!%&#_$~{}]|\\\\(?=\s*$)"),
     ("html", "comment", r"<!--(?:(?!-->).)*(?:-->)?"),
-    ("html", "script", rf"<(?:script|style)\b[^>]*>(?:(?!</(?:script|style)).)*(?:</(?:script|style)\s*>?)?"),
-    ("html", "doctype", r"<!DOCTYPE[^>\n]*>?"),
+    ("html", "script", r"(?i:<(?:script|style)\b[^>]*>(?:(?!</(?:script|style)).)*(?:</(?:script|style)\s*>?)?)"),
+    ("html", "doctype", r"(?i:<!DOCTYPE)[^>\n]*>?"),
     ("html", "tag", rf"</?{_E}(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*\s*/?>"),
     ("html", "cut_tag", rf"</?{_E}(?:\s+[\w:-]+\s*=\s*[\"'][^<>\n]*|\s*)$|<{_E}\s+[\w:-]+\s*=\s*(?:\"[^\"<>\n]*|'[^'<>\n]*)[^<>\n]*|</{_E}\b"),
     ("html", "entity", r"&(?:[a-zA-Z][a-zA-Z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});"),
@@ -112,30 +115,55 @@ LABELLED = [
 ]
 
 
+#: How many pages the weights are learned from, the seed of their composition, and what is added to each count.
+PAGES, SEED, SMOOTHING = 600, 29, 0.5
+#: Words of the ordinary sentences between the labelled passages.
+_ORDINARY = "the water of a valley falls while every house near it keeps its light and no road leads to an old bridge after rain so two farmers measure what is left in their fields each year".split()
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Pages composed of ordinary sentences and passages of LABELLED, with the labels of the passages: (text, [(start, end,
+    kinds)]). The same in every run."""
+    rng, pages = random.Random(seed), []
+    for _ in range(n):
+        parts, spans, size = [], [], 0
+        for k in range(rng.randrange(2, 7)):
+            if k % 2:
+                text, kinds = rng.choice(LABELLED)
+                spans.append((size, size + len(text), kinds))
+            else:
+                text = " ".join(rng.choice(_ORDINARY) for _ in range(rng.randrange(5, 25))).capitalize() + "."
+            parts.append(text)
+            size += len(text) + 1
+        pages.append(("\n".join(parts), spans))
+    return pages
+
+
 @lru_cache(1)
-def weights(smoothing: float = 0.5) -> dict[str, float]:
-    """Log-odds of each feature for ordinary words against tags, learned from the labelled pages.
+def weights() -> dict[str, float]:
+    """Log-odds of each feature for ordinary text against tags, learned from the labelled pages; ``word`` is that of a word.
 
-    A page's candidates of its own kinds are tags, all others ordinary. A sign of ordinary text weighs more than the
-    form it stands beside.
+    A candidate is a tag if it begins in a passage of its kind, else ordinary. It counts for its most special feature: a
+    sign of ordinary text stands for the form beside it. A form that no page has counts as a tag seen once.
     """
-    tag, word = Counter(), Counter()
-    for text, kinds in LABELLED:
+    tag, other, words = Counter(), Counter(), Counter()
+    for text, spans in labelled_pages():
+        inside = 0
         for m in _LEXER.finditer(text):
-            seen = features(text, m)
-            for f in seen[-1:]:  # a sign of ordinary text stands for the form beside it
-                (tag if m.lastgroup.split("__")[0] in kinds.split() else word)[f] += 1
+            kinds = next((k for a, b, k in spans if a <= m.start() < b), "")
+            is_tag = m.lastgroup.split("__")[0] in kinds.split()
+            (tag if is_tag else other)[features(text, m)[-1]] += 1
+            inside += is_tag and len(_WORD.findall(m.group()))
+        words["tag"] += inside
+        words["all"] += len(_WORD.findall(text))
     forms = {f"{kind}.{form}" for kind, form, _ in _FORMS}
     out = defaultdict(float)
-    for f in {*tag, *word, *forms}:
-        prior = smoothing if f not in forms else smoothing + (f not in tag and f not in word)
-        out[f] = log((word[f] + smoothing) / (tag[f] + prior)) * (1 if f in forms else 3)
+    for f in {*tag, *other, *forms}:
+        out[f] = log((other[f] + SMOOTHING) / (tag[f] + SMOOTHING + (f not in tag and f not in other)))
+    out["word"] = log((words["all"] - words["tag"] + SMOOTHING) / (words["tag"] + SMOOTHING))
     return dict(out)
 
 
-WORD_SCORE = 0.35  #: what a word adds to the score of a run
-
-
 def lex(text: str) -> list[tuple[int, int, str, str, float]]:
     """Tags of a text: (start, end, kind, form, score), all with a negative score."""
     known, out, at = weights(), [], 0
@@ -144,7 +172,7 @@ def lex(text: str) -> list[tuple[int, int, str, str, float]]:
         if not m:
             at = place.start() + 1
             continue
-        score = sum(known.get(f, 0.0) for f in features(text, m))
+        score = known.get(features(text, m)[-1], 0.0)
         kind, form = m.lastgroup.split("__")
         if score < 0 and m.end() > m.start():
             out.append((m.start(), m.end(), kind, form, score))
@@ -174,34 +202,66 @@ def _lead(form: str, found: str) -> int:
     return len(found)
 
 
+def best_run(parts: list[tuple[int, int, float]]) -> tuple[int, int, float]:
+    """The contiguous run of scored parts with the greatest sum, as (start, end, sum), by one linear scan; (0, 0, 0) if no
+    part has a positive score."""
+    best, total, begin = (0, 0, 0.0), 0.0, 0
+    for i, (_, end, score) in enumerate(parts):
+        if total <= 0:
+            total, begin = 0.0, i
+        total += score
+        if total > best[2]:
+            best = (parts[begin][0], end, total)
+    return best
+
+
+def _parts(text: str, tags: list[tuple[int, int, str, str, float]], word: float, tag) -> list[tuple[int, int, float]]:
+    """Words and tags of a text in order with their scores; words within a tag belong to it."""
+    parts, at = [], 0
+    for found in tags:
+        start, end = found[:2]
+        if start < at:
+            continue
+        parts += [(m.start(), m.end(), word) for m in _WORD.finditer(text, at, start)]
+        parts.append((start, end, tag(found)))
+        at = end
+    return parts + [(m.start(), m.end(), word) for m in _WORD.finditer(text, at)]
+
+
+def markup_regions(text: str) -> dict[str, tuple[int, int]]:
+    """Per kind of markup the region of a text that is most markup of that kind: the maximum-scoring run where its tags
+    score positive, words negative and other tags nothing. Kinds without a run of positive sum are absent.
+
+    The scores are those of ``content_region`` turned round. Tags within other tags are of the run too.
+    """
+    tags = lex(text)
+    out = {}
+    for kind in dict.fromkeys(t[2] for t in tags):
+        own = [t for t in tags if t[2] == kind]
+        start, end, total = best_run(_parts(text, own, -weights()["word"], lambda t: -t[4]))
+        if total > 0:
+            out[kind] = (start, end)
+    return out
+
+
 def kinds_of(text: str | None) -> list[str]:
-    """The kinds of markup a text holds, complete or cut off, in the order of KINDS. Null and empty texts hold none."""
+    """The kinds of markup a text holds, complete or cut off, in the order of KINDS: those that have a region. Null and
+    empty texts hold none."""
     if not text:
         return []
-    found = {kind for _, _, kind, _, _ in lex(text)}
+    found = markup_regions(text)
     return [k for k in KINDS if k in found]
 
 
 def content_region(text: str, tags: list[tuple[int, int, str, str, float]]) -> tuple[int, int]:
-    """The contiguous region with the greatest sum of word and tag scores: one linear scan."""
-    parts: list[tuple[int, int, float]] = []
-    at = 0
-    for start, end, kind, form, score in tags:
-        if start < at:
-            continue
-        parts += [(m.start(), m.end(), WORD_SCORE) for m in _WORD.finditer(text, at, start)]
-        inner = form in ("script", "comment")
-        parts.append((start, end, min(score, -1.0) * (3 if inner else 0.3)))
-        at = end
-    parts += [(m.start(), m.end(), WORD_SCORE) for m in _WORD.finditer(text, at)]
-    best, best_range, total, begin = 0.0, (0, len(text)), 0.0, 0
-    for i, (_, _, score) in enumerate(parts):
-        if total <= 0:
-            total, begin = 0.0, i
-        total += score
-        if total > best:
-            best, best_range = total, (parts[begin][0], parts[i][1])
-    return best_range
+    """The contiguous region with the greatest sum of word and tag scores; the whole text where nothing is positive.
+    Scripts and comments count for each of their words."""
+
+    def score(t: tuple[int, int, str, str, float]) -> float:
+        return t[4] * (1 + len(_WORD.findall(text, t[0], t[1])) if t[3] in ("script", "comment") else 1)
+
+    start, end, total = best_run(_parts(text, tags, weights()["word"], score))
+    return (start, end) if total > 0 else (0, len(text))
 
 
 def _without_tag_lines(part: str, tags: list[tuple[int, int, str, str, float]], offset: int) -> str:
@@ -265,7 +325,7 @@ def _html(s: str, hold) -> str:
 
 
 def _latex(s: str, hold) -> str:
-    s = regex.sub(r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\((?:[^\\\n]|\\(?!\)))*(?:\\\))?|(?<![\w$\\])\$(?=\S)(?!\d[\d.,]*\s)[^$\n]{1,120}?(?<=\S)\$(?![\w$])", lambda m: hold(m[0]), s)
+    s = regex.sub(r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\((?:[^\\\n]|\\(?!\)))*(?:\\\))?|(?<![\w$\\])\$(?=\S)(?!\d[\d.,]*\s)[^$\n]+?(?<=\S)\$(?![\w$])", lambda m: hold(m[0]), s)
     s = regex.sub(r"(?s)\\begin\{(equation|align|math|displaymath|verbatim|lstlisting)\*?\}\n?(.*?)(?:\\end\{\1\*?\}|\n\n|$)", lambda m: hold(m[2].strip("\n")) + "\n", s)
     s = regex.sub(r"\\(?:(sub)*section|chapter|paragraph)\*?\{([^{}\n]*)\}?", lambda m: f"{hold('#' * (1 + len(m.captures(1))))} {m[2]}", s)
     s = regex.sub(r"(?s)\\begin\{tabular\}(?:\{[^{}]*\})?(.*?)(?:\\end\{tabular\}|\n\n|$)", lambda m: regex.sub(r"[ \t]*\\\\[ \t]*", "\n", m[1].replace("\\hline", "").replace("&", "|")), s)
@@ -279,7 +339,8 @@ def _latex(s: str, hold) -> str:
 
 
 def _wiki(s: str) -> str:
-    s = regex.sub(r"\{\{[^{}]*\}\}|\{\{[^{}\n]*", "", s)
+    s = regex.sub(r"\{\{(?=[^{}]*[|:#])[^{}]*\}\}|\{\{[^{}\n]*[|:#][^{}\n]*", "", s)
+    s = regex.sub(r"\{\{([^{}\n]*)(?:\}\})?", r"\1", s)  # a name alone may be a word of the sentence
     s = regex.sub(r"\[\[(?:Category|Kategorie|Catégorie|Categoría)\s*:[^\[\]\n]*(?:\]\])?", "", s)
     s = regex.sub(r"\[\[(?:File|Image|Datei|Bild|Fichier|Archivo)\s*:[^\[\]\n|]*((?:\|[^\[\]\n|]*)*)(?:\]\])?", lambda m: m[1].rpartition("|")[2] if "|" in m[1] else "", s)
     s = regex.sub(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n|]*)(?:\]\])?", r"\1", s)

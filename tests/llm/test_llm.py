@@ -19,7 +19,7 @@ from cardloom.llm.cutoff import open_structures  # noqa: E402
 from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled, truncated  # noqa: E402
 from cardloom.llm.fmindex import FMIndex  # noqa: E402
 from cardloom.llm.language import language_of  # noqa: E402
-from cardloom.llm.markup import LABELLED, clean_text, cleaned, kinds_of, markup_kinds  # noqa: E402
+from cardloom.llm.markup import LABELLED, best_run, clean_text, cleaned, kinds_of, labelled_pages, markup_kinds, markup_regions, weights  # noqa: E402
 from cardloom.llm.mixture import fit_subset, mix  # noqa: E402
 from cardloom.llm.nearcopies import near_copy_groups, near_copy_pairs, needed  # noqa: E402
 from cardloom.llm.pieces import oversized_pieces, split_text, utf16_length  # noqa: E402
@@ -178,18 +178,42 @@ def test_labelled_pages(text, kinds):
     assert kinds_of(text) == kinds.split()
 
 
-@pytest.mark.parametrize("text, kinds", [("<b>x", "html"), ("a <script>var s = 1", "html"), ("```py\nx\n\nthen <i>y</i>", "html markdown"), ("[[a|b", "wiki"), ("{{cite|x", "wiki"), ("\\begin{equation}\n p = 2", "latex"), ("5 < 6 and 7 > 3", ""), ("a_b_c * d", ""), ("", ""), (None, "")])
+@pytest.mark.parametrize("text, kinds", [("<b>x", "html"), ("a <script>var s = 1", "html"), ("```py\nx\n\nthen <i>y</i>", "html markdown"), ("[[a|b", "wiki"), ("{{cite|x", "wiki"), ("\\begin{equation}\n p = 2", "latex"), ("5 < 6 and 7 > 3", ""), ("a_b_c * d", ""), ("<EM>loud</EM> words", "html"), ("</P", "html"), ("so $" + " + ".join(f"x_{i}" for i in range(60)) + "$ holds", "latex"), ("thus $y = \\frac{1}{2", "latex"), ("", ""), (None, "")])
 def test_cut_off_markup(text, kinds):
     assert kinds_of(text) == kinds.split()
 
 
+def test_weights_on_held_out_pages():
+    """Pages of another seed: which passage holds what, told by the regions of the whole page."""
+    right = found = true = 0
+    for text, spans in labelled_pages(300, seed=77):
+        want, got = {k for *_, kinds in spans for k in kinds.split()}, set(kinds_of(text))
+        right, found, true = right + len(want & got), found + len(got), true + len(want)
+    assert right >= 0.98 * true and right >= 0.98 * found
+    assert weights()["word"] > 0 and all(weights()[f"{k}.{f}"] < 0 for k, f in (("html", "tag"), ("markdown", "strong"), ("wiki", "link"), ("latex", "environment")))
+
+
+def test_best_run_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        scores = [rng.uniform(-3, 2) for _ in range(rng.randrange(1, 14))]
+        best = max([sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)] + [0.0])
+        assert abs(best_run([(i, i + 1, x) for i, x in enumerate(scores)])[2] - best) < 1e-9
+    text = "plain words here <b>bold</b> and more plain words until $x_1 = 2$ ends"
+    a, b = markup_regions(text)["html"]
+    assert text[a:b].startswith("<b>") and set(markup_regions(text)) == {"html", "latex"}
+
+
 def test_clean_text_keeps_structure():
     page = "<h2>Head</h2><ul><li>a</li><li>b</li></ul><table><tr><td>1</td><td>2</td></tr></table><pre><code>x = 1\n  y</code></pre><p>One &amp; two</p><script>bad()</script>"
     got = clean_text(page)
     assert "## Head" in got and "- a\n- b" in got and "1 | 2" in got and "x = 1\n  y" in got and "One & two" in got and "bad" not in got
     assert clean_text("# T\n\n- [x] a\n**b** and `c`\n") == "# T\n\n- a\nb and c"
-    assert clean_text("== T ==\n'''b''' [[x|y]] {{z}} ok") == "## T\nb y  ok"
+    assert clean_text("== T ==\n'''b''' [[x|y]] {{z|1}} ok") == "## T\nb y  ok"
     assert clean_text("\\section{T} \\textbf{b} costs 5\\% and $x^2$ \\item q") == "# T b costs 5% and $x^2$ - q"
+    assert clean_text("Dear {{name}}, see {{cite|x}}''''it''''.") == "Dear name, see it."
+    long = "$" + " + ".join(f"\\frac{{a_{i}}}{{b}}" for i in range(40)) + "$"
+    assert clean_text(f"So {long} holds \\textbf{{here}}.") == f"So {long} holds here."
     for plain in ("It costs $5 to $9, see #4.", "C:\\a\\b.txt", "x < 2\n- a\n- b", None, ""):
         assert clean_text(plain) == plain
 
