@@ -31,7 +31,7 @@ SIMILARITY = (7, 10)
 #: Sizes from FIRST * WIDTH**(c-1) to below FIRST * WIDTH**c are class c.
 FIRST, WIDTH = 10, 4
 #: Buckets of the sketches of words and of partition contents: what the driver and the executors hold of a collection.
-WORD_SKETCH, CONTENT_SKETCH, ASKED_BITS = 1 << 19, 1 << 22, 1 << 24
+WORD_SKETCH, CONTENT_SKETCH, ASKED_BITS, LACKING_BITS = 1 << 19, 1 << 22, 1 << 24, 1 << 22
 #: A word is rare if at most this many records, or this share of them, have it.
 RARE_RECORDS, RARE_SHARE = 64, 1 / 4096
 #: Numbers of rare bits that are told apart; more count as the last.
@@ -40,12 +40,10 @@ MOST_RARE, MOST_CLASSES = 64, 16
 PARITY_BITS, COMMON_PARITY_BITS, SIZE_BITS, SIGNATURE_BITS = 64, 32, 14, 44
 #: Ids broadcast to leave out copies or to fetch candidates; beyond that number the join is a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Records without enough partitions that one pass compares with all others.
-BLOCK = 4096
+#: Half hashes broadcast to tell pairs that need whole ones; beyond that number all pairs get them.
+AMBIGUOUS = 1_000_000
 #: Packed into the signature: its own bits, the rare bits and the size (0 rare bits in a row of a rare word).
 RARE_BITS = 6
-#: In place of an id: stands for all that a record without enough partitions has to be compared with.
-EVERYTHING = -(1 << 63)
 
 
 def words_of(*columns: Column) -> Column:
@@ -123,12 +121,22 @@ class Batch:
         np.bitwise_xor.at(out, record, np.uint64(1) << (bits % np.uint64(groups)))
         return out
 
+    def rarest(self, record: int, similarity: tuple[int, int]) -> np.ndarray:
+        """Bits of a record of which every similar record that is not larger has one: so many that a record without any
+        of them has too few bits in common, the rarest first."""
+        p, q = similarity
+        a, b = np.searchsorted(self.bit_record, [record, record + 1])
+        size = b - a
+        missed = size - least_overlap(size + -(-p * size // q), similarity)
+        return self.bits[a:b][np.argsort(self.count[self.bit_word[a:b]], kind="stable")[: missed + 1]]
+
     def buckets(self) -> np.ndarray:
         return (self.word % np.uint64(WORD_SKETCH)).astype(np.int64)
 
-    def split(self, rare: np.ndarray) -> None:
-        """Tell rare words from common ones and count each record's rare bits."""
-        self.rare = rare[self.buckets()]
+    def split(self, counts: np.ndarray, most: int) -> None:
+        """Tell rare words (of at most ``most`` on the scale of the counts) from common ones, count each record's rare bits."""
+        self.count = counts[self.buckets()]
+        self.rare = self.count <= most
         bits = np.bincount(self.record[self.rare], weights=self.times[self.rare], minlength=len(self.size)).astype(np.int64)
         self.rare_bits = np.minimum(bits, MOST_RARE - 1)
 
@@ -173,11 +181,11 @@ def _count_words(batches):
     yield from _rows(chunks(counts, 0), chunks(records, 1))
 
 
-def _count_contents(words):
+def _count_contents(words, most: int):
     def run(batches):
         counts, held = np.zeros(CONTENT_SKETCH, np.int64), np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
         for batch, _ in _batches(batches, "words"):
-            batch.split(words.value)
+            batch.split(words.value, most)
             np.add.at(held, (np.minimum(batch.classes, MOST_CLASSES - 1), batch.rare_bits), 1)
             for c in np.unique(batch.classes):
                 rows = np.flatnonzero(batch.classes == c)
@@ -204,40 +212,43 @@ def allot(costs: np.ndarray, filled: np.ndarray, need: np.ndarray) -> np.ndarray
     return filled & (ranked < need[:, None])
 
 
-def _signature_rows(words, sketch, held: np.ndarray, dropped, similarity: tuple[int, int], asked=None):
+def _signature_rows(words, most: int, sketch, held: np.ndarray, dropped, similarity: tuple[int, int], asked=None, told=None):
     """Rows (packed signature, id, parity): the contents a record asks for, or, given the bits of what all records ask
     for, those of its own contents that are asked for.
 
     Two similar records, the larger asking, have a signature in common. Rows of rare words carry the parity of all
     bits; rows of contents that of the common bits, and the number of rare bits, as they are for records without a
-    common rare word. A record without enough partitions asks with signature 0, which the row EVERYTHING has.
+    common rare word. A record without enough partitions asks for its rarest bits instead, of which each similar record
+    has one; records tell of such bits only if one that lacks partitions asks for them.
     """
 
     def run(batches):
         counts, table, asking = sketch.value, {}, asked is None
-        if not asking:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (0, EVERYTHING, 0)], names=["packed", "id", "parity"])
         for batch, source in _batches(batches, "words", dropped.value):
             ids = np.asarray(source.column("id"))
-            batch.split(words.value)
+            batch.split(words.value, most)
             size = np.minimum(batch.size, (1 << SIZE_BITS) - 1).astype(np.uint64)
             common = size | (batch.rare_bits.astype(np.uint64) << np.uint64(SIZE_BITS))
             full_parity, common_parity = batch.parity(PARITY_BITS), batch.parity(COMMON_PARITY_BITS, ~batch.rare)
             parts: list[tuple] = []
+            lacked: list[np.ndarray] = []
 
             def out(sums, record, rare=False):
                 meta, parity = (size, full_parity) if rare else (common, common_parity)
                 parts.append(((sums & np.uint64(-(1 << (64 - SIGNATURE_BITS)) & (1 << 64) - 1)) | meta[record], ids[record], parity[record]))
 
             out(_mix(batch.word[batch.rare] + np.uint64(11)), batch.record[batch.rare], rare=True)
+            if not asking:
+                bits = _lacking(batch.bits)
+                wanted = _is_set(asked.value[1], bits, LACKING_BITS)
+                out(bits[wanted], batch.bit_record[wanted], rare=True)
             for c in range(int(batch.classes.max(initial=0)) + 1):
                 step = rare_step(c)
                 if not asking:
                     own = np.flatnonzero(batch.classes == c)
                     sums, filled = batch.contents(own, c)
                     contents, record = _with_rare(sums, batch.rare_bits[own][:, None] // step)[filled], own[np.nonzero(filled)[0]]
-                    at = _asked_place(contents)
-                    wanted = (asked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+                    wanted = _is_set(asked.value[0], contents, ASKED_BITS)
                     out(contents[wanted], record[wanted])
                     continue
                 rows = np.flatnonzero((batch.classes == c) | (batch.classes == c + 1))
@@ -263,27 +274,47 @@ def _signature_rows(words, sketch, held: np.ndarray, dropped, similarity: tuple[
                     # a content that the sketch has never seen has no indexed row, so asking for it would find nothing
                     use = allot(cost, filled[some], need[some] - fewest) & ~short[:, None] & (cost > 0)
                     out(keyed[use], rows[some][np.nonzero(use)[0]])
-                if lacking.any():
-                    alone = np.unique(rows[lacking])
-                    parts.append((np.zeros(len(alone), np.uint64), ids[alone], np.zeros(len(alone), np.uint64)))
+                for alone in np.unique(rows[lacking]).tolist():
+                    bits = _lacking(batch.rarest(alone, similarity))
+                    out(bits, np.full(len(bits), alone), rare=True)
+                    lacked.append(bits)
             columns = [np.concatenate([part[k] for part in parts]) for k in range(3)]
+            if told is not None:
+                told(columns[0], lacked)
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["packed", "id", "parity"])
 
     return run
 
 
-def _asked_place(sums: np.ndarray) -> np.ndarray:
-    return ((sums >> np.uint64(64 - SIGNATURE_BITS)) % np.uint64(ASKED_BITS)).astype(np.int64)
+def _place(sums: np.ndarray, length: int) -> np.ndarray:
+    return ((sums >> np.uint64(64 - SIGNATURE_BITS)) % np.uint64(length)).astype(np.int64)
+
+
+def _is_set(bits: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
+    at = _place(sums, length)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _lacking(bits: np.ndarray) -> np.ndarray:
+    """The signatures of bits that stand for records without enough partitions."""
+    return _mix(bits + np.uint64(23))
 
 
 def _asked_bits(*settings):
-    """The bits of all that the records of a task ask for."""
+    """The bits of all that the records of a task ask for, and of what those without enough partitions ask for."""
 
     def run(batches):
-        bits = np.zeros(ASKED_BITS, bool)
-        for batch in _signature_rows(*settings)(batches):
-            bits[_asked_place(np.asarray(batch.column(0)).view(np.uint64))] = True
-        yield from _rows(bit_chunks(bits))
+        bits, lacking = np.zeros(ASKED_BITS, bool), np.zeros(LACKING_BITS, bool)
+
+        def told(packed: np.ndarray, lacked: list[np.ndarray]) -> None:
+            bits[_place(packed, ASKED_BITS)] = True
+            for sums in lacked:
+                lacking[_place(sums, LACKING_BITS)] = True
+
+        for _ in _signature_rows(*settings, told=told)(batches):
+            pass
+        yield from _rows(bit_chunks(bits), bit_chunks(lacking, 1))
 
     return run
 
@@ -308,38 +339,34 @@ def _spread(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(lists.offsets, pa.array(values.view(np.int64)))
 
 
-def _similar(similarity: tuple[int, int]):
+def _similar(similarity: tuple[int, int], ambiguous):
+    """Pairs that reach the similarity by half hashes, and whether the half hashes leave no doubt: none of the first
+    record's stands for two words of the collection."""
+
     def run(batches):
+        doubtful = ambiguous.value
         for whole in batches:
             for batch in (whole.slice(i, 8192) for i in range(0, whole.num_rows, 8192)):
                 keep = similar_pairs(_spread(batch.column(2)), _spread(batch.column(3)), similarity)
-                yield batch.select([0, 1]).filter(pa.array(keep))
+                kept = batch.filter(pa.array(keep))
+                if doubtful is None:
+                    sure = np.zeros(kept.num_rows, bool)
+                else:
+                    lists = kept.column(2)
+                    hit = np.isin(np.asarray(lists.values)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()], doubtful)
+                    counts = np.concatenate(([0], np.cumsum(hit)))
+                    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                    sure = counts[offsets[1:]] == counts[offsets[:-1]]
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(sure)], names=["a", "b", "sure"])
 
     return run
 
 
-def _against_block(block, dropped, similarity: tuple[int, int]):
-    """Pairs of any record with those of a broadcast block: the parities are compared all at once, what they leave
-    exactly."""
-    p, q = similarity
-
+def _exactly(similarity: tuple[int, int]):
     def run(batches):
-        ids, lists = block.value
-        lists = pa.array(lists, pa.list_(pa.int64()))
-        mine = Batch(lists)
-        parity, size = mine.parity(PARITY_BITS), mine.size
-        most = [max(needed(int(s), c, similarity) for c in range(int(size_class(s)) + 1)) + needed(int(s * q // p), int(size_class(s * q // p)), similarity) for s in size]
-        most = [min(m, PARITY_BITS) for m in most]
-        for batch, source in _batches(batches, "words", dropped.value):
-            theirs, sizes, other = batch.parity(PARITY_BITS), batch.size, np.asarray(source.column("id"))
-            for k in range(len(ids)):
-                row = np.flatnonzero(np.bitwise_count(theirs ^ parity[k]) <= most[k])
-                total = sizes[row] + size[k]
-                row = row[(np.bitwise_count(theirs[row] ^ parity[k]) <= total - 2 * least_overlap(total, similarity)) & (sizes[row] * q >= size[k] * p) & (size[k] * q >= sizes[row] * p) & (other[row] != ids[k])]
-                if len(row):
-                    kept = similar_pairs(source.column("words").take(pa.array(row)), lists.take(pa.array(np.full(len(row), k))), similarity)
-                    x = other[row[kept]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, ids[k])), pa.array(np.maximum(x, ids[k]))], names=["a", "b"])
+        for whole in batches:
+            for batch in (whole.slice(i, 8192) for i in range(0, whole.num_rows, 8192)):
+                yield batch.select([0, 1]).filter(pa.array(similar_pairs(batch.column(2), batch.column(3), similarity)))
 
     return run
 
@@ -362,12 +389,12 @@ def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int
     context = records.sparkSession.sparkContext
     # kept by the executors for the passes below; what is lost with one of them is computed again
     keyed = keyed_words(records, texts).persist(StorageLevel.MEMORY_AND_DISK)
-    counted = summed(keyed.select("words").mapInArrow(_count_words, COUNTS))
-    most = max(RARE_RECORDS, int(counted[1][0] * RARE_SHARE)) if counted else 0
-    # each executor keeps its own copy of a broadcast on disk: one byte a bucket is enough
-    words = context.broadcast(counted.get(0, np.zeros(WORD_SKETCH, np.int64)) <= most)
-    counted = summed(keyed.select("words").mapInArrow(_count_contents(words), COUNTS))
-    sketch = context.broadcast(scaled(counted.get(0, np.zeros(CONTENT_SKETCH, np.int64))))
+    # all words and contents are counted; each executor keeps its own copy of a broadcast on disk: a byte a bucket serves
+    counted = summed(keyed.select("words").mapInArrow(_count_words, COUNTS), lambda kind, x: x if kind else scaled(x))
+    most = int(scaled(np.array([max(RARE_RECORDS, int(counted[1][0] * RARE_SHARE)) if counted else 0]))[0])
+    words = context.broadcast(counted.get(0, np.zeros(WORD_SKETCH, np.uint8)))
+    counted = summed(keyed.select("words").mapInArrow(_count_contents(words, most), COUNTS), lambda kind, x: x if kind else scaled(x))
+    sketch = context.broadcast(counted.get(0, np.zeros(CONTENT_SKETCH, np.uint8)))
     held = counted[1].reshape(MOST_CLASSES, MOST_RARE) if counted else np.zeros((MOST_CLASSES, MOST_RARE), np.int64)
 
     # only classes of several records need a list of members; all other records stand for themselves
@@ -381,8 +408,8 @@ def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int
         dropped = context.broadcast(np.zeros(0, np.int64))
         reps = reps.join(copies, "id", "left_anti")
 
-    settings = (words, sketch, held, dropped, similarity)
-    wanted = context.broadcast(united(reps.mapInArrow(_asked_bits(*settings), COUNTS), ASKED_BITS))
+    settings = (words, most, sketch, held, dropped, similarity)
+    wanted = context.broadcast(united(reps.mapInArrow(_asked_bits(*settings), COUNTS), [ASKED_BITS, LACKING_BITS]))
 
     def rows(names: list[str], *more) -> DataFrame:
         return reps.mapInArrow(_signature_rows(*settings, *more), "packed long, id long, parity long").toDF(*names)
@@ -398,29 +425,40 @@ def near_copies(records: DataFrame, texts: list[str], similarity: tuple[int, int
     # a sort-merge join: the rows outgrow any size that is estimated from the texts
     asked, indexed = rows(["x", "a", "px"]), rows(["y", "b", "py"], wanted)
     same = F.shiftright(F.col("x"), meta_bits) == F.shiftright(F.col("y"), meta_bits)
-    found = asked.hint("merge").join(indexed, same & ((near & smaller & (size_b * q >= size_a * p)) | ((F.col("x") == 0) & (F.col("b") == EVERYTHING))))
+    found = asked.hint("merge").join(indexed, same & near & smaller & (size_b * q >= size_a * p))
     candidates = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    pairs = _verified(candidates.where(F.col("a") != EVERYTHING), keyed.select("id", "words"), similarity)
-    lacking = candidates.where(F.col("a") == EVERYTHING).select(F.col("b").alias("id"))
-    n = lacking.count()
-    passes = -(-n // BLOCK)
-    for k in range(passes):
-        part = lacking.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)
-        held_rows = keyed.select("id", "words").join(F.broadcast(part), "id", "left_semi").dropDuplicates(["id"]).collect()
-        block = context.broadcast((np.array([r.id for r in held_rows], np.int64), [r.words for r in held_rows]))
-        pairs = pairs.unionByName(reps.mapInArrow(_against_block(block, dropped, similarity), "a long, b long"))
-    return pairs.distinct(), members
+    pairs = cut(_verified(candidates, keyed.select("id", "words"), similarity).distinct())
+    keyed.unpersist()
+    return pairs, members
 
 
 def _verified(candidates: DataFrame, texts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    # half of a word's hash is enough to compare two records
-    held = texts.join(ids, "id", "left_semi").withColumn("words", F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    joined = candidates.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    return joined.select("a", "b", "words_a", "words_b").mapInArrow(_similar(similarity), "a long, b long")
+    """The candidates that reach the similarity, exactly on the hashes of whole words.
+
+    Most pairs are decided by half hashes, which are half the data to move: two words with one half hash make a pair more
+    similar, never less, so none is lost; and where no half hash of a pair stands for two words of the collection it is
+    as good as the whole. The other pairs that seem similar are compared by whole hashes.
+    """
+    context = texts.sparkSession.sparkContext
+    half = lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    spoken = texts.select(F.explode("words").alias("w")).groupBy(half(F.col("w")).alias("h")).agg(F.min("w").alias("low"), F.max("w").alias("high"))
+    doubtful = cut(spoken.where("low < high").select("h"))
+    few = doubtful.count() <= AMBIGUOUS
+    ambiguous = context.broadcast(doubtful.toPandas()["h"].to_numpy(np.int32) if few else None)
+
+    def joined(pairs: DataFrame, form) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        held = texts.join(ids, "id", "left_semi").withColumn("words", F.transform("words", form))
+        with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
+        return with_a.join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
+
+    seeming = cut(joined(candidates, half).mapInArrow(_similar(similarity, ambiguous), "a long, b long, sure boolean"))
+    sure, unsure = seeming.where("sure").select("a", "b"), seeming.where("not sure").select("a", "b")
+    if unsure.isEmpty():
+        return sure
+    return sure.unionByName(joined(unsure.distinct(), lambda w: w).mapInArrow(_exactly(similarity), "a long, b long"))
 
 
 def near_copy_pairs(records: DataFrame, texts: list[str], similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -436,7 +474,6 @@ def near_copy_groups(records: DataFrame, texts: list[str], similarity: tuple[int
     """One row per record with words: its class (smallest id with the same words), the class's size and the number of
     records outside the class that are similar to it. No pairs of copies are made."""
     pairs, members = near_copies(records, texts, similarity)
-    pairs = cut(pairs)
     sizes = members.groupBy("rep").agg(F.count("*").alias("n_copies"))
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weighed = ends.join(sizes.select(F.col("rep").alias("b"), "n_copies"), "b", "left")

@@ -4,59 +4,67 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
 COUNTS = "kind int, chunk int, counts binary"
+#: Arrays that are merged at once. Three rounds serve 64^3 tasks.
+FAN_IN, ROUNDS = 64, 3
 
 
 def chunks(counts: np.ndarray, kind: int) -> pd.DataFrame:
-    """An array of counts of one task (each below 2^31) as rows of COUNTS."""
+    """An array of counts of one task as rows of COUNTS."""
     parts = [counts[i : i + CHUNK] for i in range(0, len(counts), CHUNK)]
-    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [zlib.compress(p.astype(np.int32).tobytes(), 1) for p in parts]})
+    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts]})
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(zlib.decompress(b), np.int32) for b in pdf["counts"]], axis=0, dtype=np.int64)
-    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
-
-
-def summed(counted: DataFrame) -> dict[int, np.ndarray]:
-    """The sums by kind: arrays of the given lengths, whatever the data. Empty if there was no task."""
-    rows = counted.groupBy("kind", "chunk").applyInPandas(_add, COUNTS).collect()
-    out: dict[int, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r.kind, r.chunk)):
-        out[r.kind].append(np.frombuffer(r.counts, np.int64))
-    return {k: np.concatenate(v) for k, v in out.items()}
-
-
-def bit_chunks(bits: np.ndarray) -> pd.DataFrame:
+def bit_chunks(bits: np.ndarray, kind: int = 0) -> pd.DataFrame:
     """A bit array of one task as rows of COUNTS."""
     parts = [bits[i : i + 8 * CHUNK] for i in range(0, len(bits), 8 * CHUNK)]
-    return pd.DataFrame({"kind": 0, "chunk": range(len(parts)), "counts": [zlib.compress(np.packbits(p).tobytes(), 1) for p in parts]})
+    return pd.DataFrame({"kind": kind, "chunk": range(len(parts)), "counts": [zlib.compress(np.packbits(p).tobytes(), 1) for p in parts]})
+
 
+def _merged(counted: DataFrame, dtype: type, combine: np.ufunc, finish: Callable[[int, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
+    """The arrays of all tasks combined, by kind.
 
-def _either(pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["counts"]])
-    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "counts": [bits.tobytes()]})
+    A tree: groups of FAN_IN tasks are combined first, then groups of these, so that no task ever reads more than FAN_IN
+    arrays of one chunk, however many tasks there are. ``finish`` is applied to the whole chunks before they go to the
+    driver, which gets as many bytes for any input: the length of the arrays is fixed.
+    """
 
+    def merge(last: bool):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.frombuffer(zlib.decompress(pdf["counts"].iloc[0]), dtype).copy()
+            for packed in pdf["counts"].iloc[1:]:
+                combine(total, np.frombuffer(zlib.decompress(packed), dtype), out=total)
+            kind = int(pdf["kind"].iloc[0])
+            body = finish(kind, total).tobytes() if last else zlib.compress(total.tobytes(), 1)
+            return pdf.iloc[:1].assign(counts=[body])
 
-def united(counted: DataFrame, length: int) -> np.ndarray:
-    """The union of the bit arrays of all tasks, packed; empty if there was no task."""
-    rows = counted.groupBy("kind", "chunk").applyInPandas(_either, COUNTS).collect()
-    out = np.zeros(length // 8, np.uint8)
-    for r in rows:
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.uint8)
-    return out
+        return run
+
+    schema = f"{COUNTS}, slot int"
+    rows = counted.withColumn("slot", F.spark_partition_id())
+    for n in range(ROUNDS):
+        rows = rows.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int") if n < ROUNDS - 1 else F.lit(0))
+        rows = rows.groupBy("kind", "chunk", "slot").applyInPandas(merge(n == ROUNDS - 1), schema)
+    out: dict[int, list] = defaultdict(list)
+    for r in sorted(rows.collect(), key=lambda r: (r.kind, r.chunk)):
+        out[r.kind].append(r.counts)
+    return {k: np.frombuffer(b"".join(v), finish(k, np.zeros(0, dtype)).dtype) for k, v in out.items()}
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """Counts for a broadcast: every executor keeps a copy on its disk, so mostly empty arrays are sent compressed."""
-    return zlib.compress(counts.astype(np.int32 if not counts.size or counts.max() < 1 << 31 else np.int64).tobytes(), 1) + (b"\4" if not counts.size or counts.max() < 1 << 31 else b"\10")
+def summed(counted: DataFrame, finish: Callable[[int, np.ndarray], np.ndarray] = lambda _, x: x) -> dict[int, np.ndarray]:
+    """The sums by kind, in the form that ``finish`` gives them. Empty if there was no task."""
+    return _merged(counted, np.int64, np.add, finish)
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed[:-1]), np.int32 if packed[-1:] == b"\4" else np.int64)
+def united(counted: DataFrame, lengths: list[int]) -> list[np.ndarray]:
+    """The unions of the bit arrays of all tasks, packed, for the kinds 0, 1, ...; empty ones if there was no task."""
+    found = _merged(counted, np.uint8, np.bitwise_or, lambda _, x: x)
+    return [found.get(k, np.zeros(n // 8, np.uint8)) for k, n in enumerate(lengths)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("cardloom.llm")
 
 from cardloom.llm.bpe import PATTERN, TOKENIZERS, Encoder, encode_column, vocabulary  # noqa: E402
-from cardloom.llm import cutoff  # noqa: E402
+from cardloom.llm import cutoff, nearcopies, sketches  # noqa: E402
 from cardloom.llm import defects as defects_module  # noqa: E402
 from cardloom.llm.cutoff import open_structures  # noqa: E402
 from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled, truncated  # noqa: E402
@@ -463,3 +463,28 @@ def test_registered_queries_run(spark, data):
         for name, query in module.QUERIES.items():
             df = query(spark, data)
             assert df.columns and df.count() >= 0, name
+
+
+def test_records_without_enough_partitions(spark, monkeypatch):
+    """Records of very few common words ask for their rarest bits, and find all."""
+    rng = random.Random(12)
+    rows = [(i, "", " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(rng.randrange(6, 40)))) for i in range(120)]
+    df = spark.createDataFrame(rows * 1, "id long, question string, answer string")
+    monkeypatch.setattr(nearcopies, "RARE_RECORDS", 1)
+    assert {tuple(r) for r in near_copy_pairs(df, ["question", "answer"]).collect()} == brute_pairs(rows)
+
+
+def test_whole_hashes_decide_where_half_ones_leave_doubt(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, "", " ".join(rng.choice(WORDS) for _ in range(12))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    monkeypatch.setattr(nearcopies, "AMBIGUOUS", -1)  # all pairs are in doubt
+    assert {tuple(r) for r in near_copy_pairs(df, ["question", "answer"]).collect()} == brute_pairs(rows)
+
+
+def test_sketches_of_many_tasks(spark):
+    counts = spark.range(0, 300, 1, 150).mapInPandas(lambda batches: (sketches.chunks(np.bincount(b["id"], minlength=70_000), 3) for b in batches), sketches.COUNTS)
+    got = sketches.summed(counts)
+    assert set(got) == {3} and got[3].sum() == 300 and (got[3][:300] == 1).all()
+    bits = spark.range(0, 300, 1, 150).mapInPandas(lambda batches: (sketches.bit_chunks(np.bincount(b["id"], minlength=1 << 12) > 0) for b in batches), sketches.COUNTS)
+    assert np.unpackbits(sketches.united(bits, [1 << 12, 64])[0])[:301].sum() == 300
