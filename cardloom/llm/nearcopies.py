@@ -37,7 +37,7 @@ RARE_RECORDS, RARE_SHARE = 64, 1 / 4096
 #: Numbers of rare bits that are told apart; more count as the last.
 MOST_RARE, MOST_CLASSES = 64, 16
 #: What travels with a row: the parity of the record's bits in so many groups, its size, its rare bits and flags.
-PARITY_BITS, COMMON_PARITY_BITS, SIZE_BITS, SIGNATURE_BITS = 64, 32, 14, 44
+PARITY_BITS, COMMON_PARITY_BITS, SIZE_BITS, SIGNATURE_BITS = 48, 32, 14, 44
 #: Ids broadcast to leave out copies or to fetch candidates; beyond that number the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Half hashes broadcast to tell pairs that need whole ones; beyond that number all pairs get them.
@@ -341,7 +341,7 @@ def _spread(lists: pa.Array) -> pa.Array:
 
 def _similar(similarity: tuple[int, int], ambiguous):
     """Pairs that reach the similarity by half hashes, and whether the half hashes leave no doubt: none of the first
-    record's stands for two words of the collection."""
+    record's stands for two words of the candidates."""
 
     def run(batches):
         doubtful = ambiguous.value
@@ -436,29 +436,32 @@ def _verified(candidates: DataFrame, texts: DataFrame, similarity: tuple[int, in
     """The candidates that reach the similarity, exactly on the hashes of whole words.
 
     Most pairs are decided by half hashes, which are half the data to move: two words with one half hash make a pair more
-    similar, never less, so none is lost; and where no half hash of a pair stands for two words of the collection it is
-    as good as the whole. The other pairs that seem similar are compared by whole hashes.
+    similar, never less, so none is lost; and where no half hash of a pair stands for two words of all candidates it
+    is as good as the whole. The other pairs that seem similar are compared by whole hashes.
     """
     context = texts.sparkSession.sparkContext
     half = lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    spoken = texts.select(F.explode("words").alias("w")).groupBy(half(F.col("w")).alias("h")).agg(F.min("w").alias("low"), F.max("w").alias("high"))
+
+    def of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    held = of(candidates)
+    spoken = held.select(F.explode("words").alias("w")).groupBy(half(F.col("w")).alias("h")).agg(F.min("w").alias("low"), F.max("w").alias("high"))
     doubtful = cut(spoken.where("low < high").select("h"))
     few = doubtful.count() <= AMBIGUOUS
     ambiguous = context.broadcast(doubtful.toPandas()["h"].to_numpy(np.int32) if few else None)
 
-    def joined(pairs: DataFrame, form) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        held = texts.join(ids, "id", "left_semi").withColumn("words", F.transform("words", form))
-        with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
-        return with_a.join(held.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
+    def joined(pairs: DataFrame, records: DataFrame, form) -> DataFrame:
+        formed = records.withColumn("words", F.transform("words", form))
+        with_a = pairs.join(formed.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
+        return with_a.join(formed.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b").select("a", "b", "words_a", "words_b")
 
-    seeming = cut(joined(candidates, half).mapInArrow(_similar(similarity, ambiguous), "a long, b long, sure boolean"))
+    seeming = cut(joined(candidates, held, half).mapInArrow(_similar(similarity, ambiguous), "a long, b long, sure boolean"))
     sure, unsure = seeming.where("sure").select("a", "b"), seeming.where("not sure").select("a", "b")
     if unsure.isEmpty():
         return sure
-    return sure.unionByName(joined(unsure.distinct(), lambda w: w).mapInArrow(_exactly(similarity), "a long, b long"))
+    return sure.unionByName(joined(unsure.distinct(), of(unsure), lambda w: w).mapInArrow(_exactly(similarity), "a long, b long"))
 
 
 def near_copy_pairs(records: DataFrame, texts: list[str], similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
 COUNTS = "kind int, chunk int, counts binary"
-#: Arrays that are merged at once. Three rounds serve 64^3 tasks.
-FAN_IN, ROUNDS = 64, 3
+#: Arrays that are merged at once.
+FAN_IN = 64
 
 
 def chunks(counts: np.ndarray, kind: int) -> pd.DataFrame:
@@ -50,9 +50,12 @@ def _merged(counted: DataFrame, dtype: type, combine: np.ufunc, finish: Callable
 
     schema = f"{COUNTS}, slot int"
     rows = counted.withColumn("slot", F.spark_partition_id())
-    for n in range(ROUNDS):
-        rows = rows.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int") if n < ROUNDS - 1 else F.lit(0))
-        rows = rows.groupBy("kind", "chunk", "slot").applyInPandas(merge(n == ROUNDS - 1), schema)
+    left = counted._jdf.rdd().getNumPartitions()
+    while True:
+        left = -(-left // FAN_IN)
+        rows = rows.withColumn("slot", F.floor(F.col("slot") / FAN_IN).cast("int")).groupBy("kind", "chunk", "slot").applyInPandas(merge(left <= 1), schema)
+        if left <= 1:
+            break
     out: dict[int, list] = defaultdict(list)
     for r in sorted(rows.collect(), key=lambda r: (r.kind, r.chunk)):
         out[r.kind].append(r.counts)
