@@ -9,11 +9,7 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` (dense symbols) sorted by at least their first ``depth`` symbols, by prefix doubling.
-
-    Ties beyond the depth keep any order: backward search for patterns of up to ``depth`` symbols never tells apart
-    suffixes that agree so far.
-    """
+    """Suffixes of ``text`` (dense symbols) sorted by at least their first ``depth`` symbols, by prefix doubling."""
     n = len(text)
     bits = int(text.max()).bit_length() + 1 if n else 1
     known = min(max(1, 62 // bits), depth)
@@ -62,23 +58,61 @@ class WaveletMatrix:
             at = np.where((symbol >> level) & 1, self.zeros[i] + ones, at - ones)
         return at
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and how often it occurs before it."""
+        one, symbol, at = np.uint64(1), np.zeros(len(at), np.int64), at.copy()
+        for i in range(self.levels):
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            bit = ((self.words[i][word] >> shift) & one).astype(np.int64)
+            ones = self.counts[i][word] + np.bitwise_count(self.words[i][word] & ((one << shift) - one))
+            at = np.where(bit, self.zeros[i] + ones, at - ones)
+            symbol = symbol << 1 | bit
+        return symbol, at - self.begin[symbol]
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
         return self._walk(symbol, at) - self.begin[symbol]
 
 
+#: One in so many places of the text is kept; a suffix that begins elsewhere finds its place by going back to one.
+SAMPLE = 8
+
+
 class FMIndex:
-    """Index of a sequence of dense symbols (0 separates texts and is in no pattern) for patterns up to ``depth``."""
+    """Index of a sequence of dense symbols (0 separates texts and is in no pattern).
+
+    Held are the transform's wavelet matrix, the counts of the symbols and the sampled places of suffixes; neither the
+    text nor the order of its suffixes.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.order = suffix_order(text, depth)
-        self.occurrences = WaveletMatrix(text[self.order - 1])
+    def __init__(self, text: np.ndarray):
+        order = suffix_order(text, max(1, len(text)))  # whole, so that going back from a suffix is exact
+        self.size = len(order)
+        self.occurrences = WaveletMatrix(text[order - 1])
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))))
+        kept = order % SAMPLE == 0
+        self.kept, self.places = np.packbits(kept, bitorder="little"), (order[kept] // SAMPLE).astype(np.int32)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.kept)))).astype(np.int32)
+
+    def places_of(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the text the suffixes of the given rows begin."""
+        out, left, rows = np.empty(len(rows), np.int64), np.arange(len(rows)), rows.copy()
+        for steps in range(SAMPLE):
+            byte, shift = rows >> 3, (rows & 7).astype(np.uint8)
+            held = (self.kept[byte] >> shift) & 1 > 0
+            number = self.before[byte[held]] + np.bitwise_count(self.kept[byte[held]] & ((np.uint8(1) << shift[held]) - np.uint8(1)))
+            out[left[held]] = self.places[number].astype(np.int64) * SAMPLE + steps
+            left, rows = left[~held], rows[~held]
+            if not len(left):
+                break
+            symbol, rank = self.occurrences.access(rows)
+            rows = self.first[symbol] + rank
+        return out
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row the interval of suffixes that begin with it; symbols below 0 are not in the text."""
         low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), len(self.order), np.int64)
+        high = np.full(len(patterns), self.size, np.int64)
         live = np.arange(len(patterns))
         for column in range(patterns.shape[1] - 1, -1, -1):
             symbol = patterns[live, column]
@@ -98,4 +132,4 @@ class FMIndex:
         sizes = np.maximum(high - low, 0)
         row = np.repeat(np.arange(len(low)), sizes)
         within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return self.order[low[row] + within], row
+        return self.places_of(low[row] + within), row

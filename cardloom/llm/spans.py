@@ -20,6 +20,9 @@ from .fmindex import FMIndex
 
 LEAST = 200  #: characters of the shortest span reported
 GRAM = 64  #: characters of a sampled hash
+HOT = 256  #: rows from which a hash is replaced by those of longer stretches
+HOT_HASHES = 1_000_000  #: hot hashes that are broadcast; beyond that number all hashes are replaced
+PARTS = 8  #: stretches that take the place of a hot gram
 SHARD_CHARS = 1 << 20  #: characters aimed at in the index of one shard
 QUERY_BLOCK = 4096  #: documents streamed against one copy of a shard
 _LOW = (1 << 21) - 1
@@ -47,11 +50,13 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def anchors(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, longer: bool = False, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the sampled grams of several texts lying one after another in ``codes``.
 
     Of all grams within any ``least`` characters of one text the one with the smallest hash (the last of equal ones)
-    is chosen, so the choice depends on those characters only.
+    is chosen, so the choice depends on those characters only. With ``longer`` grams (of the hashes ``hot``, or all) are
+    told by hashes of longer stretches around them: a shared run of ``least`` characters that holds the gram goes on for PARTS
+    blocks less one to its left and right together, so it holds one of the PARTS stretches of so many blocks.
     """
     n, width = len(codes) - GRAM + 1, least - GRAM + 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * _UP[: len(codes)])))
@@ -70,7 +75,19 @@ def anchors(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int)
     chosen = smallest[np.cumsum(inside[:-1]) > 0]
     at = (np.uint64(_LOW) - (chosen & np.uint64(_LOW))).astype(np.int64)
     at = np.unique(at)
-    return at, hashes[at].view(np.int64)
+    if not longer:
+        return at, hashes[at].view(np.int64)
+    if hot is not None:
+        at = at[np.isin(hashes[at].view(np.int64), hot)]
+    step, text = (least - GRAM) // PARTS, np.searchsorted(ends, at, side="right")
+    places, keys = [], []
+    for left in range(PARTS):
+        a, b = at - left * step, at + GRAM + (PARTS - 1 - left) * step
+        inside = (a >= starts[text]) & (b <= ends[text])
+        a, b = a[inside], b[inside]
+        places.append(at[inside])
+        keys.append(_mixed(_mixed((sums[b] - sums[a]) * _DOWN[a]) + np.uint64(left + 1)).view(np.int64))
+    return np.concatenate(places), np.concatenate(keys)
 
 
 def _stretches(ids, keys, texts, least: int):
@@ -92,14 +109,14 @@ def _stretches(ids, keys, texts, least: int):
         yield group
 
 
-def _anchor_rows(least: int):
+def _anchor_rows(least: int, hot=None):
     def run(batches):
         for pdf in batches:
             for group in _stretches(pdf["doc_id"], pdf["k1"], pdf["text"], least):
                 sizes = np.array([len(p) for *_, p in group])
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                at, hashes = anchors(np.concatenate([p for *_, p in group]), starts, ends, least)
+                at, hashes = anchors(np.concatenate([p for *_, p in group]), starts, ends, least, hot is not None, hot and hot.value)
                 which = np.searchsorted(ends, at, side="right")
                 offsets = np.array([b for _, _, b, _ in group]) - starts
                 yield pd.DataFrame({
@@ -151,7 +168,7 @@ class _Shard:
         self.text = np.zeros(int(sizes.sum()), np.int32)
         for at, c in zip(self.begins, codes):
             self.text[at : at + len(c)] = np.searchsorted(self.symbols, c) + 1
-        self.index = FMIndex(self.text, self.block)
+        self.index = FMIndex(self.text)
 
     def matches(self, docs: np.ndarray, begins: np.ndarray, parts: list[str], at_once: int = 200_000):
         """Yields arrays (streamed document, indexed document, start, end in the streamed text) of long matches."""
@@ -203,14 +220,16 @@ class _Shard:
         return out
 
 
-def _search(least: int):
-    """Streams the sorted rows of a partition: a shard's index rows come first, then its streamed rows in batches."""
+def _search(least: int, pairs_wanted: bool):
+    """Streams the sorted rows of a partition: a shard's index rows come first, then its streamed rows in batches. Tells
+    either the pairs or what each text shares."""
 
     def answer(shard, rows):
         for a, b, start, end in shard.matches(rows["doc_id"].to_numpy(), rows["begin"].to_numpy(), rows["part"].tolist()):
-            if len(a):
+            if len(a) and pairs_wanted:
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
                 yield pd.DataFrame({"doc_a": pairs[:, 0], "doc_b": pairs[:, 1], "start": np.int64(-1), "end": np.int64(-1)})
+            elif len(a):
                 cover = pd.DataFrame({"doc_a": a, "block": start // (least // 2), "start": start, "end": end})
                 cover = cover.groupby(["doc_a", "block"], as_index=False).agg({"start": "min", "end": "max"})
                 yield cover.assign(doc_b=np.int64(-1))[["doc_a", "doc_b", "start", "end"]]
@@ -250,17 +269,18 @@ def text_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return keyed.join(reps, ["k1", "k2"]).select("doc_id", "rep", "n_copies", "n_chars")
 
 
-def shared_spans(documents: DataFrame, classes: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_spans(documents: DataFrame, classes: DataFrame, least: int = LEAST, pairs: bool = True) -> DataFrame:
     """Matches between different texts, by class representative: ``doc_a, doc_b, start, end``.
 
-    Rows with ``doc_b`` >= 0 are pairs of representatives that share a run of ``least`` characters; rows with
-    ``doc_b`` = -1 say that ``doc_a`` shares the characters from ``start`` to ``end`` with some other text.
-    Null and short texts take no part. A run is counted in code points.
+    With ``pairs`` the rows are pairs of representatives that share a run of ``least`` characters; without, each row says
+    that ``doc_a`` shares the characters from ``start`` to ``end`` with some other text (``doc_b`` is -1), and no pair is
+    made. Null and short texts take no part. A run is counted in code points.
     """
     if least < GRAM + 64:
         raise ValueError(f"least must be {GRAM + 64} or more")
     keyed = documents.where(F.length("text") >= least).select("doc_id", F.xxhash64("text").alias("k1"), "text")
     sampled = cut(keyed.mapInPandas(_anchor_rows(least), "hash long, doc_id long, k1 long, pos int"))
+    sampled = _cooled(sampled, keyed, least)
     # two aggregates of one row per hash are combined before the shuffle, so a hash that all texts have costs little
     shared = sampled.groupBy("hash").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("hash")
     reps = classes.where("doc_id = rep").select("doc_id")
@@ -280,13 +300,30 @@ def shared_spans(documents: DataFrame, classes: DataFrame, least: int = LEAST) -
     rows = documents.select("doc_id", "text").join(plan, "doc_id").dropDuplicates(["doc_id"])
     sent = rows.mapInPandas(_send(least), "shard int, salt int, role int, doc_id long, begin long, part string")
     arranged = sent.repartition(max(shards, 2), "shard", "salt").sortWithinPartitions("shard", "salt", "role")
-    return arranged.mapInPandas(_search(least), "doc_a long, doc_b long, start long, end long")
+    return arranged.mapInPandas(_search(least, pairs), "doc_a long, doc_b long, start long, end long")
+
+
+def _cooled(sampled: DataFrame, keyed: DataFrame, least: int) -> DataFrame:
+    """The sampled hashes, those that very many rows have replaced by hashes of longer stretches around the grams.
+
+    A gram of a licence or a header stands in a large part of all texts, and would send each of them to the index of
+    every other. Texts that share no more than such a piece part here; those that share a run of ``least`` characters
+    still have a hash in common.
+    """
+    hot = cut(sampled.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash"))
+    n = hot.count()
+    if not n:
+        return sampled
+    few = n <= HOT_HASHES
+    shared = sampled.sparkSession.sparkContext.broadcast(hot.toPandas()["hash"].to_numpy(np.int64) if few else None)
+    longer = cut(keyed.mapInPandas(_anchor_rows(least, shared), "hash long, doc_id long, k1 long, pos int"))
+    return sampled.join(F.broadcast(hot), "hash", "left_anti").unionByName(longer) if few else longer
 
 
 def span_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """Each pair of different documents that share a run of at least ``least`` characters, smaller id first."""
     classes = cut(text_classes(documents, least))
-    between = shared_spans(documents, classes, least).where("doc_b >= 0").select("doc_a", "doc_b").distinct()
+    between = shared_spans(documents, classes, least).select("doc_a", "doc_b").distinct()
     of_a = classes.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("a"))
     of_b = classes.select(F.col("rep").alias("doc_b"), F.col("doc_id").alias("b"))
     across = between.join(of_a, "doc_a").join(of_b, "doc_b").select("a", "b")
@@ -302,7 +339,7 @@ def shared_share(documents: DataFrame, least: int = LEAST) -> DataFrame:
     ``n_chars`` and share 0; empty and short ones share 0.
     """
     classes = cut(text_classes(documents, least))
-    cover = shared_spans(documents, classes, least).where("doc_b < 0")
+    cover = shared_spans(documents, classes, least, pairs=False)
     cover = cover.groupBy("doc_a", "start").agg(F.max("end").alias("end")).groupBy("doc_a").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     union = F.aggregate(
         "spans",

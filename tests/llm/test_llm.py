@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("cardloom.llm")
 
 from cardloom.llm.bpe import PATTERN, TOKENIZERS, Encoder, encode_column, vocabulary  # noqa: E402
-from cardloom.llm import cutoff, nearcopies, sketches  # noqa: E402
+from cardloom.llm import cutoff, nearcopies, sketches, spans  # noqa: E402
 from cardloom.llm import defects as defects_module  # noqa: E402
 from cardloom.llm.cutoff import open_structures  # noqa: E402
 from cardloom.llm.defects import cut_share, defect_of, defects, is_copy, is_empty, is_other_language, is_refusal, tiled, truncated  # noqa: E402
@@ -419,15 +419,18 @@ def test_index_equals_scan():
     rng = np.random.default_rng(6)
     text = rng.integers(1, 5, 2000).astype(np.int32)
     text[::400] = 0
-    index = FMIndex(text, 12)
+    index = FMIndex(text)
     patterns = np.stack([text[i : i + 8] for i in range(1, 1900, 13)] + [rng.integers(1, 5, 8) for _ in range(100)])
     low, high = index.search(patterns)
     for p, a, b in zip(patterns, low, high):
         where = [i for i in range(len(text) - 7) if (text[i : i + 8] == p).all()] if (p > 0).all() else []
-        assert sorted(index.order[a:b].tolist()) == where
+        assert sorted(index.places_of(np.arange(a, b)).tolist()) == where
 
 
-def test_spans_equal_brute_force(spark):
+@pytest.mark.parametrize("hot, hashes", [(256, 1_000_000), (2, 1_000_000), (2, 0)])
+def test_spans_equal_brute_force(spark, monkeypatch, hot, hashes):
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "HOT_HASHES", hashes)
     rng = random.Random(7)
     long = lambda n: " ".join(sentence(rng) for _ in range(n))
     shared, texts = [long(9) for _ in range(6)], {}
