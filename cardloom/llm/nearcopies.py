@@ -202,6 +202,9 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.ceil(6 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
 
 
+ONCE = int(scaled(np.ones(1, np.int64))[0])
+
+
 def allot(costs: np.ndarray, filled: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The partitions with threshold 0 for each row: the allotment of least total cost that reaches ``need``.
 
@@ -237,7 +240,8 @@ def _signature_rows(words, most: int, sketch, held: np.ndarray, dropped, similar
                 meta, parity = (size, full_parity) if rare else (common, common_parity)
                 parts.append(((sums & np.uint64(-(1 << (64 - SIGNATURE_BITS)) & (1 << 64) - 1)) | meta[record], ids[record], parity[record]))
 
-            out(_mix(batch.word[batch.rare] + np.uint64(11)), batch.record[batch.rare], rare=True)
+            several = batch.rare & (batch.count > ONCE)  # a word of one record alone leads to no other
+            out(_mix(batch.word[several] + np.uint64(11)), batch.record[several], rare=True)
             if not asking:
                 bits = _lacking(batch.bits)
                 wanted = _is_set(asked.value[1], bits, LACKING_BITS)
@@ -273,6 +277,9 @@ def _signature_rows(words, most: int, sketch, held: np.ndarray, dropped, similar
                     lacking[np.flatnonzero(some)[short]] = True
                     # a content that the sketch has never seen has no indexed row, so asking for it would find nothing
                     use = allot(cost, filled[some], need[some] - fewest) & ~short[:, None] & (cost > 0)
+                    # and one that was seen once is the record's own where it would be indexed itself
+                    own = (batch.classes[rows[some]] == c) & (batch.rare_bits[rows[some]] // step == group)
+                    use &= ~(own[:, None] & (cost == ONCE))
                     out(keyed[use], rows[some][np.nonzero(use)[0]])
                 for alone in np.unique(rows[lacking]).tolist():
                     bits = _lacking(batch.rarest(alone, similarity))
