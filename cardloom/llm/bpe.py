@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Fixed value: the published pattern that splits a text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = "/opt/tokenizers"
@@ -140,7 +142,8 @@ def encode_column(df: DataFrame, keys: list[str], text: str, as_: str, counts: b
 
     A null or empty text has the empty list (0). Special tokens in a text are ordinary text. Only ``keys`` and
     ``text`` are read, so other columns, whatever their names, never meet the result. The vocabulary goes to the
-    executors as one broadcast whose size is that of its file (under 2 MB); texts never leave their partition.
+    executors as one broadcast whose size is that of its file (under 2 MB); texts leave their partition only where the
+    input has fewer splits than half the cores.
     """
     path = f"{tokenizers}/{name}.tiktoken"
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -158,6 +161,6 @@ def encode_column(df: DataFrame, keys: list[str], text: str, as_: str, counts: b
                     column = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], column], names=[*keys, as_])
 
-    read = df.select(*keys, text)
+    read = spread(df.select(*keys, text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: len(keys)])
     return read.mapInArrow(run, f"{fields}, `{as_}` {'bigint' if counts else 'array<int>'}")

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import spread, written
 from .cutoff import BLOCK, DECIDED, KINDS, ContextCounter, ValueTexts, asked, closed, cut_off, end_of, looked_up, trusted
 from .language import NAMES, is_japanese, language_of
 
@@ -279,7 +279,7 @@ def defects(cards: DataFrame, every: bool = True) -> DataFrame:
     no rows.
     """
     read = cards.select(F.col("id").cast("long").alias("id"), "question", "answer", F.xxhash64("question", "answer").alias("row"))
-    told = written(read.mapInArrow(_read(every), READ))
+    told = written(spread(read).mapInArrow(_read(every), READ))
     known = written(trusted(told.where("id is null").select("kind", "key", "n", "yes", "over")))
     values = cards.where(F.trim("answer") != "").count()
     asks = told.where("id is not null and kind >= 0").select("id", "row", "form", "language", "defect", "kind", "key")
