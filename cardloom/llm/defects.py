@@ -85,10 +85,13 @@ def may_refuse(words: set[str]) -> list[str]:
     return [k for k, alternatives in _NEEDED.items() if any(all(not of.isdisjoint(words) for of in sets) for sets in alternatives)]
 
 
-def is_empty(answer: str | None) -> bool:
-    """Null, blank, or without any word but a placeholder."""
+def is_empty(answer: str | None, words: list[str] | None = None) -> bool:
+    """Null, blank, or without any word but a placeholder. A label is one word, so an answer of more ``words`` than the
+    longest placeholder and a label is none."""
     if answer is None:
         return True
+    if words is not None and len(words) > _LONGEST_PLACEHOLDER + 1:
+        return False
     words = words_of(_LABEL.sub("", answer))
     return not words or len(words) <= _LONGEST_PLACEHOLDER and " ".join(words) in PLACEHOLDERS
 
@@ -190,7 +193,7 @@ def is_other_language(question: str | None, answer: str | tuple[str, float], ask
 
 def first_defect(question: str | None, answer: str | None, a: list[str], q: list[str]) -> str | None:
     """``empty`` or ``copy``, which come before a cut."""
-    if is_empty(answer):
+    if is_empty(answer, a):
         return "empty"
     return "copy" if is_copy(question, answer, a, q) else None
 
