@@ -18,14 +18,17 @@ SEED = 17
 def _reach(sizes: np.ndarray, left: np.ndarray, target: int) -> tuple[np.ndarray, int]:
     """How many of each size make the largest sum up to ``target``, and that sum: a bounded knapsack.
 
-    Counts are split into powers of two. For each sum the item that reached it first is kept; the sum before it was
+    Counts are split into powers of two. Sizes come in a seeded order, not the longest first, as the search ends with the
+    first sizes that meet the target and these should not all be long. For each sum the item that reached it first is kept; the sum before it was
     reached by earlier items, so following these back uses every item once.
     """
     first = np.full(target + 1, -1, np.int32)
     reached = np.zeros(target + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
-    for i in np.argsort(-sizes):
+    for i in np.random.default_rng(SEED).permutation(np.argsort(sizes)):
+        if not left[i]:
+            continue
         rest, step = min(int(left[i]), target // int(sizes[i])), 1
         while rest > 0:
             n = min(step, rest)
@@ -49,10 +52,11 @@ def _reach(sizes: np.ndarray, left: np.ndarray, target: int) -> tuple[np.ndarray
 def fit_subset(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = EXACT_WINDOW) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to ``budget`` or as little below as possible.
 
-    The same proportion of every size is taken for all of the budget but a window; the window is filled by a bounded
-    knapsack over what is left of every size. If that does not meet the budget (or the nearest multiple of the sizes'
-    common divisor below it, which nothing can pass) the window is widened, up to the whole budget: the result is the
-    optimum for budgets up to ``WIDEST_WINDOW`` tokens, and beyond wherever it meets the budget.
+    The same proportion of the documents is taken all along the sizes for all of the budget but a window, however few
+    documents one size has; the window is filled by a bounded knapsack over what is left of every size. If that does not
+    meet the budget (or the nearest multiple of the sizes' common divisor below it, which nothing can pass) the window is
+    widened, up to the whole budget: the result is the optimum for budgets up to ``WIDEST_WINDOW`` tokens, and beyond
+    wherever it meets the budget.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
@@ -64,14 +68,14 @@ def fit_subset(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     # budgets count in units of the common divisor
     sizes, budget, total = sizes // step, budget // step, total // step
     window = max(window, 2 * int(sizes[counts > 0].max()))
+    by_size = np.argsort(-sizes)
     while True:
-        even = (counts * max(0, budget - window) // total).astype(np.int64)
+        # one share of the running count, longest first: lengths that one document has get their turn too, and the sum
+        # stays below the share by less than the longest length
+        upto = (np.cumsum(counts[by_size]).astype(object) * max(0, budget - window) // total).astype(np.int64)
+        even = np.zeros_like(counts)
+        even[by_size] = np.diff(upto, prepend=0)
         rest = budget - int((sizes * even).sum())
-        if rest > 2 * WIDEST_WINDOW:  # many sizes were rounded down: take more of them until the window is met
-            for i in np.argsort(-sizes):
-                more = min(int(counts[i] - even[i]), max(0, rest - window) // int(sizes[i]))
-                even[i] += more
-                rest -= more * int(sizes[i])
         taken, reached = _reach(sizes, counts - even, rest)
         if reached == rest or window >= budget or 4 * window > WIDEST_WINDOW:
             return even + taken

@@ -144,6 +144,20 @@ def test_subset_sums_are_optimal():
     assert int((np.array([4, 6]) * even).sum()) == 4_000_000
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_fit_subset_takes_all_lengths_alike(n):
+    rng = np.random.default_rng(n)
+    lengths = np.maximum(1, rng.gamma(2, 150, n).astype(int))
+    sizes, counts = np.unique(lengths, return_counts=True)
+    budget = int(lengths.sum()) * 2 // 5
+    taken = fit_subset(sizes, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all() and (sizes * taken).sum() == budget
+    # two fifths of the tokens are about two fifths of the documents, also where most lengths have one document
+    assert abs(taken.sum() / n - 0.4) < 0.02
+    mixed = rng.permutation(len(sizes))
+    assert (fit_subset(sizes[mixed], counts[mixed], budget) == taken[mixed]).all()  # whatever order the lengths come in
+
+
 def test_mixture(spark):
     rng = random.Random(3)
     rows = [(i, sentence(rng, rng.randrange(3, 30)), "big" if i % 3 else "small") for i in range(300)] + [(900, None, "big"), (901, "", "big"), (902, "x y", "other"), (903, "tiny words here", "tiny")]
