@@ -74,7 +74,9 @@ class WaveletMatrix:
         return self._walk(symbol, at) - self.begin[symbol]
 
 
-#: One in so many places of the text is kept; a suffix that begins elsewhere finds its place by going back to one.
+#: One in so many places of the text is kept, and the first of every text; a suffix that begins elsewhere finds its
+#: place by going back to one. It never goes back over a separator: these stand for each other, and the last one has the
+#: beginning of the whole behind it, so a step over one can lead to another text.
 SAMPLE = 8
 
 
@@ -86,12 +88,13 @@ class FMIndex:
     """
 
     def __init__(self, text: np.ndarray):
-        order = suffix_order(text, max(1, len(text)))  # whole, so that going back from a suffix is exact
+        order = suffix_order(text, max(1, len(text)))  # whole, so that going back inside a text is exact
         self.size = len(order)
-        self.occurrences = WaveletMatrix(text[order - 1])
+        before = text[order - 1]
+        self.occurrences = WaveletMatrix(before)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))))
-        kept = order % SAMPLE == 0
-        self.kept, self.places = np.packbits(kept, bitorder="little"), (order[kept] // SAMPLE).astype(np.int32)
+        kept = (order % SAMPLE == 0) | (before == 0)
+        self.kept, self.places = np.packbits(kept, bitorder="little"), order[kept].astype(np.int32)
         self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.kept)))).astype(np.int32)
 
     def places_of(self, rows: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ class FMIndex:
             byte, shift = rows >> 3, (rows & 7).astype(np.uint8)
             held = (self.kept[byte] >> shift) & 1 > 0
             number = self.before[byte[held]] + np.bitwise_count(self.kept[byte[held]] & ((np.uint8(1) << shift[held]) - np.uint8(1)))
-            out[left[held]] = self.places[number].astype(np.int64) * SAMPLE + steps
+            out[left[held]] = self.places[number].astype(np.int64) + steps
             left, rows = left[~held], rows[~held]
             if not len(left):
                 break

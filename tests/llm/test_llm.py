@@ -429,6 +429,18 @@ def test_near_copies_of_nothing(spark):
 # --- spans ---
 
 
+def test_index_places_near_the_beginning_of_a_text():
+    rng = np.random.default_rng(9)
+    for last in (False, True):  # the first text sorts before or behind the others
+        texts = [np.concatenate(([4 if last else 1], rng.integers(2, 4, 20)))] + [rng.integers(2, 4, n) for n in (9, 14, 11, 13, 9, 10)]
+        text = np.concatenate([np.append(t, 0) for t in texts]).astype(np.int32)
+        index = FMIndex(text)
+        for pattern in {tuple(text[i : i + 3]) for i in range(len(text) - 3)}:
+            if 0 not in pattern:
+                got = np.sort(index.locate(*index.search(np.array([pattern])))[0])
+                assert got.tolist() == [i for i in range(len(text) - 2) if tuple(text[i : i + 3]) == pattern]
+
+
 def test_index_equals_scan():
     rng = np.random.default_rng(6)
     text = rng.integers(1, 5, 2000).astype(np.int32)
